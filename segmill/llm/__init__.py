@@ -6,15 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, tokenfiles
+from . import langid, licenses, neardup, ogg, packing, quality, secrets, tokenfiles, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op3_quality": quality.op3_quality,
+        "op4_topk": topk.op4_topk,
+        "op5_secrets": secrets.op5_secrets,
+        "op6_ogg_media": ogg.op6_ogg_media,
+        "op7_near_duplicates": neardup.op7_near_duplicates,
+        "op8_licenses": licenses.op8_licenses,
         "op9_token_files": tokenfiles.op9_token_files,
         "op10_packing": packing.op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_topk": topk.ORACLE, "op8_licenses": licenses.ORACLE}
