@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, neardup, ogg, packing, quality, secrets, tokenfiles, topk
+from . import langid, licenses, neardup, ogg, packing, pieces, quality, secrets, tokenfiles, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
+        "op2_piece_samples": pieces.op2_piece_samples,
         "op3_quality": quality.op3_quality,
         "op4_topk": topk.op4_topk,
         "op5_secrets": secrets.op5_secrets,

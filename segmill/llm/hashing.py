@@ -1,4 +1,4 @@
-"""64-bit hashes of many runs of bytes at once."""
+"""64-bit hashes of many runs of bytes at once, and look-ups of many keys at once."""
 
 from __future__ import annotations
 
@@ -41,3 +41,34 @@ def mixed(h: np.ndarray) -> np.ndarray:
     h ^= h >> np.uint64(27)
     h *= np.uint64(0x94D049BB133111EB)
     return h ^ (h >> np.uint64(31))
+
+
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Lookup:
+    """From distinct unsigned keys to their numbers in the given list; -1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        home = self._home(keys)
+        order = np.lexsort((keys, home))
+        self.keys, self.numbers = keys[order], order.astype(np.int32)
+        self.first = np.searchsorted(home[order], np.arange((1 << self.bits) + 1)).astype(np.int32)
+        self.keys = np.append(self.keys, keys.dtype.type(0))
+
+    def _home(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * _SPREAD) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        home = self._home(keys)
+        at, end = self.first[home], self.first[home + 1]
+        hit = (self.keys[at] == keys) & (at < end)
+        left = np.flatnonzero(~hit & (at + 1 < end))
+        while len(left):
+            at[left] += 1
+            hit[left] = self.keys[at[left]] == keys[left]
+            left = left[~hit[left] & (at[left] + 1 < end[left])]
+        out = np.full(len(keys), -1, np.int32)
+        out[hit] = self.numbers[at[hit]]
+        return out
