@@ -7,13 +7,16 @@ everything that links reach.
 1. Documents with equal sets (128-bit hash) share one representative, the smallest doc_id; only representatives go on.
 2. Each set gets a SetSketch: register i is floor(1 - log_b x), x the minimum of exponentially distributed hashes of the elements,
    truncated to 16 bits. Sketches of unions are register-wise maxima; with b near 1 two registers agree about as often as sets do.
+   Beside it lie the parities of ``PARITIES`` hashed cells: cells of odd difference never outnumber the elements that only one of
+   two sets has, so too many of them prove that a pair isn't linked.
 3. Registers are banded. Rows (band value, representative) are sorted by ranges, so a bucket of any size spreads over tasks, and the
    sorted rows are read as a stream. Each bucket's members are compared with its first member only, later with one member of each
    component: inside a component no further pair is made.
 4. Compared pairs pass a joint maximum-likelihood estimate of the similarity from both sketches (pairs under the limit by more than
-   five standard deviations end here) and are then verified on their whole sets.
-5. Components grow by hooking and pointer jumping on tables. Rounds repeat until a round links nothing; at the end all remaining
-   pairs between different components of a bucket are compared, so no bucket or candidate is capped.
+   five standard deviations end here) and the parities, and are then verified on their whole sets.
+5. Components grow by hooking and pointer jumping on tables. Rounds repeat while they link a hundredth of the members. At the end all
+   remaining pairs between different components of a bucket are compared by their sketches, block against block of a bucket, and
+   those that may be linked are verified, so no bucket or candidate is capped.
 
 With 32 bands of 6 registers a pair at the limit 0.85 is missed with a probability of about 3e-7, at 0.8 of about 5e-5 (unless other
 links join it anyway).
@@ -39,6 +42,9 @@ from .hashing import mixed, run_hashes
 SHINGLE, BANDS, ROWS = 5, 32, 6
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 MARGIN = 5.0
+PARITIES = 2_048
+#: Members of a bucket's block.
+BLOCK = 1_024
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -85,6 +91,25 @@ def merged(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum(a, b)
 
 
+def parities(elements: np.ndarray) -> np.ndarray:
+    """Bits of the cells that hold an odd number of elements."""
+    return np.packbits(np.bincount((elements >> np.uint64(20)).astype(np.int64) % PARITIES, minlength=PARITIES).astype(np.uint8) & 1)
+
+
+def possible(odd: np.ndarray, na: np.ndarray, nb: np.ndarray, limit: float) -> np.ndarray:
+    """Whether sets of these sizes whose parities differ in ``odd`` cells may have the similarity ``limit``."""
+    return odd <= (na + nb) * (1 - limit) / (1 + limit) + 1e-6
+
+
+WIDTH = 2 * BANDS * ROWS
+
+
+def unpacked(column: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Registers and parities of rows of sketches."""
+    both = np.frombuffer(b"".join(column), np.uint8).reshape(len(column), -1)
+    return np.ascontiguousarray(both[:, :WIDTH]).view(np.uint16), both[:, WIDTH:]
+
+
 def joint_estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Most likely Jaccard similarities; a, b: pairs x registers, na, nb: set sizes. Bisection on the derivative of the likelihood of
     how many registers are larger in a, larger in b, equal."""
@@ -115,7 +140,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (hash of the set), registers (null for empty sets)."""
+    """doc_id, n_shingles, k1, k2 (hash of the set), sketch (registers and parities; null for empty sets)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -124,20 +149,20 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[a:b])
                 k1 = [int(s.sum().astype(np.int64)) if len(s) else 0 for s in sets]
                 k2 = [int(mixed(s ^ _PLACES[0]).sum().astype(np.int64)) if len(s) else 0 for s in sets]
-                registers = pa.array([sketch(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield _batch("doc_id n_shingles k1 k2 registers", batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), registers)
+                both = pa.array([sketch(s).tobytes() + parities(s).tobytes() if len(s) else None for s in sets], pa.binary())
+                yield _batch("doc_id n_shingles k1 k2 sketch", batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), both)
 
-    return unique_columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, registers binary")
+    return unique_columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(np.stack([np.frombuffer(x, np.uint16) for x in batch.column(1).to_pylist()]))
+                keys = band_keys(unpacked(batch.column(1).to_pylist())[0])
                 yield _batch("key id", keys.view(np.int64).ravel(), np.repeat(batch.column(0).to_numpy(), BANDS))
 
-    return reps.select("id", "registers").mapInArrow(run, "key long, id long")
+    return reps.select("id", "sketch").mapInArrow(run, "key long, id long")
 
 
 def _sorted(rows: DataFrame, *by: str) -> DataFrame:
@@ -216,51 +241,93 @@ def _one_per_component(rows: DataFrame, name: str) -> DataFrame:
     return pairs.unionByName(spark.createDataFrame(ends, "a long, b long")) if ends else pairs
 
 
-def _between_components(rows: DataFrame) -> DataFrame:
-    """All pairs of members of different components that share a bucket; rows: key, id, comp. Pairs inside a component never arise."""
-    mixed_keys = materialize(rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("key"), "mixed")
-    rows = materialize(rows.join(mixed_keys, "key"), "mixed-rows")
-    comps = materialize(rows.select("key", "comp").distinct(), "mixed-comps")
-    both = comps.withColumnRenamed("comp", "ca").join(comps.withColumnRenamed("comp", "cb"), "key").filter("ca < cb")
-    left = both.join(rows.select("key", F.col("comp").alias("ca"), F.col("id").alias("x")), ["key", "ca"])
-    right = left.join(rows.select("key", F.col("comp").alias("cb"), F.col("id").alias("y")), ["key", "cb"])
-    return right.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-
-
-def _likely(pairs: DataFrame, reps: DataFrame, limit: float) -> DataFrame:
-    """Pairs whose estimated similarity isn't surely below ``limit``."""
-    least = limit - MARGIN * np.sqrt(limit * (1 - limit) / (BANDS * ROWS))
-    side = lambda k: reps.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("registers").alias(f"r{k}"))
+def _between_components(rows: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+    """All pairs of members of different components that share a bucket and may be linked; rows: key, id, comp. Buckets are dealt into
+    blocks of about BLOCK members, and a task sees two blocks at a time; a pair comes from the first band that it shares only."""
+    keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
+    keys = materialize(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = materialize(rows.join(keys, "key"), "mixed-rows")
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    dealt = rows.join(members, "id").select("key", "id", "comp", "n", "sketch", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "comp", "n", "sketch")
+    least = _least(limit)
+
+    def compare(part: pa.Table) -> pa.Table:
+        key, p, q = (part.column(i)[0].as_py() for i in range(3))
+        block, ids, comp, n = (part.column(i).to_numpy() for i in range(3, 7))
+        registers, odd = unpacked(part.column(7).to_pylist())
+        left, right = np.flatnonzero(block == p), np.flatnonzero(block == q)
+        found = []
+        for at in range(0, len(left), 32):
+            x = left[at : at + 32]
+            for to in range(0, len(right), 256):
+                y = right[to : to + 256]
+                i, j = np.nonzero(comp[x][:, None] != comp[y])
+                i, j = x[i], y[j]
+                if p == q:
+                    i, j = i[i < j], j[i < j]
+                if not len(i):
+                    continue
+                on = possible(np.bitwise_count(odd[i] ^ odd[j]).sum(1, dtype=np.int64), n[i], n[j], limit)
+                i, j = i[on], j[on]
+                if len(i):
+                    shared = (registers[i] == registers[j]).reshape(len(i), BANDS, ROWS).all(2).argmax(1)
+                    on = (band_keys(registers[i]).view(np.int64)[np.arange(len(i)), shared] == key) & (joint_estimate(registers[i], registers[j], n[i], n[j]) >= least)
+                    found.append((ids[i[on]], ids[j[on]]))
+        a, b = (np.concatenate(c) for c in zip(*found)) if found else (np.zeros(0, np.int64),) * 2
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return dealt.groupBy("key", "p", "q").applyInArrow(compare, "a long, b long")
+
+
+def _least(limit: float) -> float:
+    return limit - MARGIN * float(np.sqrt(limit * (1 - limit) / (BANDS * ROWS)))
+
+
+def _likely(pairs: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+    """Pairs whose parities allow a link and whose estimated similarity isn't surely below ``limit``."""
+    least = _least(limit)
+    side = lambda k: members.select(F.col("id").alias(k), F.col("n").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 a, b, na, nb = (batch.column(i).to_numpy() for i in range(4))
-                ra, rb = (np.stack([np.frombuffer(x, np.uint16) for x in batch.column(i).to_pylist()]) for i in (4, 5))
-                on = joint_estimate(ra, rb, na, nb) >= least
+                (ra, oa), (rb, ob) = (unpacked(batch.column(i).to_pylist()) for i in (4, 5))
+                on = possible(np.bitwise_count(oa ^ ob).sum(1, dtype=np.int64), na, nb, limit) & (joint_estimate(ra, rb, na, nb) >= least)
                 yield _batch("a b", a[on], b[on])
 
     joined = pairs.join(side("a"), "a").join(side("b"), "b")
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """a, b, linked: whether their whole sets reach the limit. Texts travel with the pairs; sets are made from them here."""
-    side = lambda k: texts.select(F.col("id").alias(k), F.col("text").alias(f"t{k}"))
+def _whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
+    """id, elements: the members' sets, made from their texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            ta, tb = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-            for lo, hi in slices(list(zip(ta, tb)), size=lambda t: len(t[0]) + len(t[1]), most=500_000):
-                sets = shingle_sets(ta[lo:hi] + tb[lo:hi])
-                linked = []
-                for x, y in zip(sets[: hi - lo], sets[hi - lo :]):
-                    shared = len(np.intersect1d(x, y, assume_unique=True))
-                    linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
-                yield _batch("a b linked", a.slice(lo, hi - lo), b.slice(lo, hi - lo), pa.array(linked, pa.bool_()))
+            texts = batch.column(1).to_pylist()
+            for a, b in slices(texts, most=500_000):
+                yield _batch("id elements", batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary()))
+
+    texts = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("text").alias("text"))
+    return texts.mapInArrow(run, "id long, elements binary")
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long, linked boolean")
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """a, b, linked: whether their whole sets reach the limit."""
+    side = lambda k: sets.select(F.col("id").alias(k), F.col("elements").alias(f"e{k}"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            linked = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                linked.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            yield _batch("a b linked", batch.column(0), batch.column(1), pa.array(linked, pa.bool_()))
+
+    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, linked boolean")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -295,31 +362,31 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
     all_sketches = materialize(sketches(docs), "sketches")
     of = all_sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-    reps = materialize(of.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")), "representatives")
+    reps = materialize(of.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "representatives")
     buckets = materialize(_shared(_bands(reps)), "buckets")
-    members = materialize(buckets.select("id").distinct(), "members")
-    texts = materialize(docs.join(members.withColumnRenamed("id", "doc_id"), "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("text").alias("text")), "texts")
-    tested, links, comps, turn = None, None, None, 0
-    while True:
+    members = materialize(reps.join(buckets.select("id").distinct(), "id").select("id", "n", "sketch"), "members")
+    sets, several = materialize(_whole_sets(docs, members), "sets"), members.count()
+    tested, comps, turn, whole = None, None, 0, several == 0
+    while not whole:
         if comps is None:
             rows = buckets.withColumn("comp", F.col("id"))
         else:
             rows = materialize(buckets.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "bucket-components")
-        whole = turn and not fresh
-        pairs = _between_components(rows) if whole else _one_per_component(rows, f"pairs-{turn}")
-        if turn:
-            pairs = materialize(pairs.distinct(), "distinct").join(tested.select("a", "b"), ["a", "b"], "left_anti")
-        else:  # one attempt for each member: the partner that it met in most buckets
-            pairs = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-        likely = materialize(_likely(materialize(pairs, "candidates"), reps, percent / 100), "likely")
-        result = materialize(_verified(likely, texts, percent), "verified")
+        whole = turn > 0 and new * 100 < several
+        if whole:
+            likely = _between_components(rows, members, percent / 100)
+        else:
+            pairs = _one_per_component(rows, f"pairs-{turn}")
+            if turn:
+                pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
+            else:  # one attempt for each member: the partner that it met in most buckets
+                pairs = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
+            likely = _likely(materialize(pairs, "candidates"), members, percent / 100)
+        result = materialize(_verified(materialize(likely, "likely"), sets, percent), "verified")
         tested = result if tested is None else tested.unionByName(result)
-        links = tested.filter("linked")
-        fresh = not result.filter("linked").isEmpty()
-        if fresh:
-            comps = components(links)
-        if whole or (not turn and likely.isEmpty() and buckets.isEmpty()):
-            break
+        new = result.filter("linked").count()
+        if new:
+            comps = components(tested.filter("linked"))
         turn += 1
     found = materialize(reps.join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id")), "groups") if comps is not None else reps.select("k1", "k2", F.col("id").alias("component_id"))
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
