@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from segmill.llm import langid, neardup, packing, quality, secrets
-from segmill.llm.common import materialize, read_table
+from segmill.llm.common import free_name, materialize, read_table
 
 MOST_BITS = 6.5
 SIMILAR = 80
@@ -24,13 +24,16 @@ SIMILAR = 80
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = read_table(spark, sf_dir, "labels").filter(~quality.held_out())
-    return quality.score(docs, quality.train(docs, labels)).filter(F.col("score") >= quality.THRESHOLD).select(docs.columns)
+    name = free_name(docs, "score")
+    scored = quality.score(docs, quality.train(docs, labels), name)
+    return scored.filter(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = langid.train(docs.filter(langid.remainder(F.col("doc_id"), 4) != 2).select("text", "lang"))
-    found = langid.identify(docs, model)
-    return found.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("bits_per_byte") <= MOST_BITS)).select(docs.columns)
+    lang, score, bits = (free_name(docs, n) for n in ("lang_pred", "score", "bits_per_byte"))
+    found = langid.identify(docs, model, (lang, score, bits))
+    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(bits) <= MOST_BITS)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

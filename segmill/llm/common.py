@@ -55,3 +55,10 @@ def slices(texts: list, size: Callable = len, most: int = 4_000_000, rows: int =
 def unique_columns(df: DataFrame, keep: Iterable[str]) -> DataFrame:
     """Only the named columns, whatever else the table carries (extra columns with clashing names do no harm)."""
     return df.select(*[df[c] for c in keep])
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or that with underscores before it until no column of ``df`` has it."""
+    while name in df.columns:
+        name = f"_{name}"
+    return name

@@ -163,10 +163,10 @@ def train(rows: DataFrame) -> PartialMatching:
     return PartialMatching(samples)
 
 
-def identify(docs: DataFrame, model: PartialMatching) -> DataFrame:
-    """docs with lang_pred, score and bits_per_byte added (columns of these names are replaced)."""
+def identify(docs: DataFrame, model: PartialMatching, names: tuple[str, str, str] = ("lang_pred", "score", "bits_per_byte")) -> DataFrame:
+    """docs with language, score and bits per byte added under ``names`` (columns of these names are replaced)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the sample
-    added = ["lang_pred", "score", "bits_per_byte"]
+    added = [*names]
     docs = docs.drop(*added)
     at = docs.columns.index("text")
 
@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: PartialMatching) -> DataFrame:
                 columns = [*batch.slice(a, b - a).columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())]
                 yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names, *added])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("lang_pred", "string").add("score", "double").add("bits_per_byte", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(added[0], "string").add(added[1], "double").add(added[2], "double"))
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -228,19 +228,19 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     return Scorer(vectors, fit(x, np.array([r["q"] > 0.5 for r in rows], float)))
 
 
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """docs with score added (a column of that name is replaced)."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-    docs = docs.drop("score")
+def score(docs: DataFrame, scorer: Scorer, column: str = "score") -> DataFrame:
+    """docs with the score added (a column of that name is replaced)."""
+    shared = docs.sparkSession.sparkContext.broadcast(scorer)  # BUCKETS vectors and a small network
+    docs = docs.drop(column)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(at).to_pylist()
             for a, b in slices(texts, most=1_000_000):
-                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(shared.value(texts[a:b]), pa.float64())], [*batch.schema.names, "score"])
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(shared.value(texts[a:b]), pa.float64())], [*batch.schema.names, column])
 
-    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add("score", "double"))
+    return docs.mapInArrow(run, StructType([*docs.schema.fields]).add(column, "double"))
 
 
 def held_out(n: int = 5):
