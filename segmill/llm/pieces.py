@@ -37,10 +37,13 @@ _BASE = 0xA24BAED4963EE407 | 3
 _SALT = np.array([0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], np.uint64)
 
 
-def _uniform(seed: np.ndarray, sample: np.ndarray | int, place: np.ndarray, kind: int) -> np.ndarray:
+def _salted(seed: np.ndarray, kind: int, sample: int) -> np.ndarray:
+    return mixed(seed + _SALT[:1] * np.uint64(kind + 1) + _SALT[1:2] * np.uint64(sample))
+
+
+def _uniform(salted: np.ndarray, place: np.ndarray) -> np.ndarray:
     """Numbers in (0, 1) that depend on the arguments only."""
-    h = mixed(seed + _SALT[:1] * np.uint64(kind + 1) + np.atleast_1d(sample).astype(np.uint64) * _SALT[1]) + place.astype(np.uint64) * _SALT[2]
-    return ((mixed(h) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
+    return ((mixed(salted + place.astype(np.uint64) * _SALT[2]) >> np.uint64(11)).astype(np.float64) + 0.5) / 2.0**53
 
 
 class PieceModel:
@@ -96,8 +99,9 @@ def model(path: str) -> PieceModel:
 
 
 class Lattices:
-    """The lattices of several texts. Per character: place, its row in the tables of distinct words. Tables: p (rows x longest),
-    probability of each piece length given that a path comes here; cdf, their running sums; piece (number of the piece, -1: bytes)."""
+    """The lattices of several texts. Per character: its row in the tables of distinct words. Tables, rows x longest piece: logs, log
+    probability of each piece length given that a path comes here; cdf, running sums of the probabilities; piece (its number, -1:
+    bytes); and options, how many lengths are possible."""
 
     def __init__(self, m: PieceModel, texts: list[str]):
         self.m = m
@@ -123,89 +127,130 @@ class Lattices:
         size = sizes[one]
         base = np.append(0, np.cumsum(size))
         self.rows = int(base[-1])
-        offset = np.arange(n) - np.repeat(self.word_start, sizes)
-        self.row = (np.repeat(base[which], sizes) + offset).astype(np.int32)
-        self.word_end = np.repeat(self.word_start + sizes, sizes)
         place = np.repeat(self.word_start[one], size) + np.arange(self.rows) - np.repeat(base[:-1], size)
         left = np.repeat(base[1:], size) - np.arange(self.rows)  # characters to the word's end
-        width = m.longest
-        self.piece = np.full((self.rows, width), -1, np.int32)
-        logs = np.full((self.rows, width), -np.inf)
-        fits = np.arange(self.rows)
-        for k in range(width):
+        # rows are kept by that distance, so that all rows of a distance lie together
+        order = np.argsort(left.astype(np.int32), kind="stable")
+        where = np.empty(self.rows, np.int32)
+        where[order] = np.arange(self.rows, dtype=np.int32)
+        place, left, word_row = place[order], left[order], order
+        offset = np.arange(n) - np.repeat(self.word_start, sizes)
+        self.row = where[np.repeat(base[which], sizes) + offset]
+        self.word_end = np.repeat(self.word_start + sizes, sizes)
+        fits, hits = np.arange(self.rows), []
+        while len(hits) < m.longest and len(fits):
+            k = len(hits)
             fits = fits[left[fits] > k]
             at = place[fits]
             begun = m.lookup((sums[at + k + 1] - sums[at]) * inverse[at])
-            fits, number = fits[begun >= 0], m.number[begun[begun >= 0]]
-            hit = number >= 0
-            self.piece[fits[hit], k] = number[hit]
-            logs[fits[hit], k] = m.logs[number[hit]]
+            on = begun >= 0
+            fits, number = fits[on], m.number[begun[on]]
+            hits.append((fits[number >= 0], number[number >= 0]))
+        while len(hits) > 1 and not len(hits[-1][0]):
+            hits.pop()
+        width = max(1, len(hits))
+        self.piece = np.full((self.rows, width), -1, np.int16 if len(m.ids) < 1 << 15 else np.int32)
+        logs = np.full((self.rows, width), -np.inf)
+        for k, (rows, number) in enumerate(hits):
+            self.piece[rows, k] = number
+            logs[rows, k] = m.logs[number]
         bare = np.flatnonzero(np.isneginf(logs[:, 0]))
         codes = self.codes[place[bare]]
         logs[bare, 0] = m.byte_log * (1 + (codes > 0x7F) + (codes > 0x7FF) + (codes > 0xFFFF))
-        beta = np.zeros(self.rows + 1 + width)
-        order = np.argsort(left, kind="stable")
-        for rows in np.split(order, np.flatnonzero(np.diff(left[order])) + 1) if self.rows else []:
-            reach = min(width, int(left[rows[0]]))
-            if reach > 1:
-                through = logs[rows, :reach]
-                through[:, : reach - 1] += beta[rows[:, None] + 1 + np.arange(reach - 1)]
-                if reach < left[rows[0]]:
-                    through[:, reach - 1] += beta[rows + reach]
-            else:
-                through = logs[rows, :1] + (beta[rows + 1][:, None] if left[rows[0]] > 1 else 0)
-            top = through.max(1, keepdims=True)
-            beta[rows] = (top[:, 0]) + np.log(np.exp(through - top).sum(1))
-            logs[rows, :reach] = through - beta[rows, None]
-        self.p = np.exp(logs)
-        self.options = (self.p > 0).sum(1)
-        cdf = np.cumsum(self.p, 1)
-        self.cdf = (cdf / cdf[:, -1:]).astype(np.float32)
-
-    def walk(self, flags: np.ndarray, at: np.ndarray, seed: np.ndarray, sample: np.ndarray) -> None:
+        beta = np.zeros(self.rows)
+        levels = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if self.rows else np.zeros(0, np.int64)
+        for lo, hi in zip(levels.tolist(), [*levels[1:].tolist(), self.rows]):
+            distance = int(left[lo])
+            through = logs[lo:hi]
+            inner = min(width, distance - 1)  # lengths that stay inside the word
+            if inner:
+                through[:, :inner] += beta[where[word_row[lo:hi, None] + 1 + np.arange(inner)]]
+            top = through.max(1)
+            beta[lo:hi] = top + np.log(np.exp(through - top[:, None]).sum(1))
+            through -= beta[lo:hi, None]
+        self.logs = logs
+        self.options = np.isfinite(logs).sum(1, dtype=np.int8)
+        cdf = logs.astype(np.float32)
+        np.exp(cdf, out=cdf)
+        np.cumsum(cdf, axis=1, out=cdf)
+        cdf /= cdf[:, -1:]
+        self.cdf = cdf
+
+    def walk(self, flags: np.ndarray, at: np.ndarray, seed: np.ndarray) -> None:
         """Samples on from each place to the end of its word; every piece's first character is marked in ``flags``."""
         while len(at):
             flags[at] = True
-            rows = self.row[at]
-            u = np.minimum(_uniform(seed, sample, at - self._home(at), 0).astype(np.float32), np.float32(1 - 2**-24))
-            step = (self.cdf[rows] <= u[:, None]).sum(1, dtype=np.int8).astype(np.int64) + 1
-            at = at + step
+            u = np.minimum(_uniform(seed, at - self.begin[self.owner[at]]).astype(np.float32), np.float32(1 - 2**-24))
+            at = at + (self.cdf[self.row[at]] <= u[:, None]).sum(1, dtype=np.int8) + 1
             on = at < self.word_end[at - 1]
-            at, seed, sample = at[on], seed[on], sample[on]
-
-    def _home(self, at: np.ndarray) -> np.ndarray:
-        return self.begin[self.owner[at]]
+            at, seed = at[on], seed[on]
+
+
+#: Places of a path at which regions are looked for first.
+NEAR = 96
+
+
+def _scores(lat: Lattices, g: np.ndarray, row: np.ndarray, length: np.ndarray, before: np.ndarray, avoided: dict[int, tuple], noise: np.ndarray) -> np.ndarray:
+    """Perturbed scores of the regions that leave paths at their places; all arrays: paths x places, ``before``: log probability of the
+    path up to the place. ``avoided``: by path, the lengths that its first place had to avoid."""
+    rest = -np.expm1(lat.logs[row, length - 1])
+    left = lat.options[row] > 1
+    for i, avoid in avoided.items():
+        rest[i, 0] = 1 - np.exp(lat.logs[row[i, 0], [x - 1 for x in (*avoid, int(length[i, 0]))]]).sum()
+        left[i, 0] = lat.options[row[i, 0]] > len(avoid) + 1
+    mass = np.where(left, before + np.log(np.maximum(rest, 1e-300)), -np.inf)
+    return -np.logaddexp(-g[:, None], np.log(-np.log(noise)) - mass)
+
+
+def _regions(lat: Lattices, g: np.ndarray, avoided: dict[int, tuple], starts: np.ndarray, length: np.ndarray, cum: np.ndarray, begin: np.ndarray, first: np.ndarray, end: np.ndarray, noise: np.ndarray, most: int) -> list[list[tuple[float, int]]]:
+    """For each path (pieces begin[i] to end[i] of all pieces, new from first[i] on) the ``most`` best (score, number of the piece) among
+    the regions that leave it. A region's mass is at most the probability of the path so far, so that pieces near the beginning
+    settle it, unless the rest with the largest noise that it has could still win; then the whole path is looked at."""
+    at = first[:, None] + np.arange(min(NEAR, int((end - first).max())))
+    inside = at < end[:, None]
+    at = np.minimum(at, len(starts) - 1)
+    score = _scores(lat, g, lat.row[starts[at]], length[at], cum[at] - cum[begin][:, None], avoided, noise[at])
+    score[~inside] = -np.inf
+    top = min(most, score.shape[1])
+    few = np.argpartition(-score, top - 1, axis=1)[:, :top]
+    best = np.take_along_axis(score, few, 1)
+    out = [[(s, f + j) for s, j in zip(ss, js) if s > -np.inf] for f, ss, js in zip(first.tolist(), best.tolist(), few.tolist())]
+    rest = np.flatnonzero(first + score.shape[1] < end)
+    if len(rest):
+        ends = np.stack((first[rest] + score.shape[1], end[rest]), 1)
+        largest = -np.log(-np.log(np.maximum.reduceat(np.append(noise, 0), ends.ravel())[::2]))
+        open_ = (top < most) | (cum[ends[:, 0]] - cum[begin[rest]] + largest >= best[rest].min(1))
+        for i in rest[open_].tolist():
+            all_ = np.arange(first[i], end[i])[None]
+            whole = _scores(lat, g[i : i + 1], lat.row[starts[all_]], length[all_], cum[all_] - cum[begin[i]], {0: avoided[i]} if i in avoided else {}, noise[all_])[0]
+            out[i] = [(float(whole[j]), int(first[i] + j)) for j in np.argsort(-whole, kind="stable")[:most].tolist() if whole[j] > -np.inf]
+    return out
 
 
-def sample(m: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[list[int], float, float, float]]]:
+def sample(m: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[list[tuple[np.ndarray, float, float, float]]]:
     """Per text, by falling perturbed score: (ids, log probability, perturbed score, inclusion score) of up to k segmentations."""
     lat = Lattices(m, texts)
     count, n = len(texts), len(lat.codes)
     lat.owner = np.repeat(np.arange(count), np.diff(lat.begin))
     seeds = mixed(keys.astype(np.int64).view(np.uint64) + np.uint64(77))
-    word_owner = lat.owner[lat.word_start] if n else np.zeros(0, np.int64)
     first_word = np.searchsorted(lat.word_start, lat.begin)
     results: list[list[tuple]] = [[] for _ in texts]
     heaps: list[list[tuple]] = [[] for _ in texts]
     flags = np.zeros((k, n), bool)
-    # region: (-score, number, from sample, place where its paths leave it, lengths not to take there); at first: all paths
-    current: list[tuple | None] = []
-    root = -np.log(-np.log(_uniform(seeds, 0, np.zeros(count, np.int64), 2)))
+    root = -np.log(-np.log(_uniform(_salted(seeds, 2, 0), np.zeros(count, np.int64))))
+    # a region: minus its score, a number, the sample that it begins like, the place where it leaves that, lengths not to take there
+    current: list[tuple | None] = [(-float(root[d]), 0, -1, int(lat.begin[d]), ()) for d in range(count)]
     for d in range(count):
-        current.append((-float(root[d]), 0, -1, int(lat.begin[d]), ()))
+        if lat.begin[d] == lat.begin[d + 1]:
+            results[d].append((np.zeros(0, np.int32), 0.0, float(root[d])))
+            current[d] = None
     for r in range(k):
-        live = [d for d in range(count) if current[d] is not None and lat.begin[d] < lat.begin[d + 1]]
+        live = [d for d in range(count) if current[d] is not None]
         if not live:
-            for d in range(count):
-                if current[d] is not None:
-                    results[d].append(([], 0.0, -current[d][0]))
-                    current[d] = None
             break
-        f = flags[r]
+        f, ids = flags[r], np.array(live)
         lead = np.array([current[d][3] for d in live])
-        ids = np.array(live)
-        rows = lat.row[lead]
-        p = lat.p[rows].copy()
+        p = np.exp(lat.logs[lat.row[lead]])
         for i, d in enumerate(live):
             _, _, source, place, avoid = current[d]
             if avoid:
@@ -213,62 +258,44 @@ def sample(m: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[li
             if source >= 0:
                 f[lat.begin[d] : place] = flags[source, lat.begin[d] : place]
         cdf = np.cumsum(p, 1)
-        u = _uniform(seeds[ids], r, lead - lat.begin[ids], 0) * cdf[:, -1]
-        step = np.minimum((cdf <= u[:, None]).sum(1), p.shape[1] - 1) + 1
+        steps_seed, noise_seed = _salted(seeds, 0, r), _salted(seeds, 1, r)
+        u = _uniform(steps_seed[ids], lead - lat.begin[ids]) * cdf[:, -1]
+        after = lead + np.minimum((cdf <= u[:, None]).sum(1), p.shape[1] - 1) + 1
         f[lead] = True
-        after = lead + step
         inside = after < lat.word_end[lead]
         next_word = np.searchsorted(lat.word_start, lead, side="right")
         spans = first_word[ids + 1] - next_word
         words = np.repeat(next_word - np.append(0, np.cumsum(spans)[:-1]), spans) + np.arange(spans.sum())
         at = np.concatenate((after[inside], lat.word_start[words]))
-        owner = np.concatenate((ids[inside], word_owner[words])) if len(words) else ids[inside]
-        lat.walk(f, at, seeds[owner], np.full(len(at), r))
-        # the path of each text, and the regions that leave it
+        lat.walk(f, at, steps_seed[lat.owner[at]])
         starts = np.flatnonzero(f)
         owner = lat.owner[starts]
-        ends = np.append(starts[1:], n)
-        last = np.append(owner[1:] != owner[:-1], True)
-        ends[last] = lat.begin[owner[last] + 1]
-        length = ends - starts
+        length = np.diff(np.append(starts, n))
+        last = np.flatnonzero(np.append(owner[1:] != owner[:-1], True))
+        length[last] = lat.begin[owner[last] + 1] - starts[last]
         row = lat.row[starts]
-        log_p = np.log(np.maximum(lat.p[row, length - 1], 1e-300))
-        cum = np.append(0, np.cumsum(log_p))
-        head = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
-        tail = np.append(head[1:], len(starts))
-        before = cum[:-1] - np.repeat(cum[head], tail - head)
-        rest = 1 - lat.p[row, length - 1]
-        lead_at = np.searchsorted(starts, lead)
-        extra = {}
-        for i, d in enumerate(live):
-            if current[d][4]:
-                gone = np.array([*current[d][4], int(length[lead_at[i]])]) - 1
-                rest[lead_at[i]] = 1 - lat.p[row[lead_at[i]], gone].sum()
-            extra[d] = (*current[d][4], int(length[lead_at[i]]))
-        options = lat.options[row]
-        full = options <= 1
-        with np.errstate(divide="ignore"):
-            mass = np.where(full | (rest < 1e-12), -np.inf, before + np.log(np.maximum(rest, 1e-300)))
-        noise = np.log(-np.log(_uniform(seeds[owner], r, starts - lat.begin[owner], 1)))
-        by_owner = {int(o): i for i, o in enumerate(owner[head])}
+        cum = np.append(0, np.cumsum(lat.logs[row, length - 1]))
+        piece = lat.piece[row, length - 1]
+        coded = m.ids[np.maximum(piece, 0)]
+        bare = np.flatnonzero(piece < 0)
+        codes = lat.codes[starts[bare]]
+        coded[bare[codes < 128]] = m.byte_ids[codes[codes < 128]]
+        wide = bare[codes >= 128]
+        heads, lead_at = np.searchsorted(starts, lat.begin), np.searchsorted(starts, lead)
+        wide_of = np.searchsorted(wide, heads)
+        avoided = {i: current[d][4] for i, d in enumerate(live) if current[d][4]}
+        scores = np.array([-current[d][0] for d in live])
+        regions = _regions(lat, scores, avoided, starts, length, cum, heads[ids], lead_at, heads[ids + 1], _uniform(noise_seed[owner], starts - lat.begin[owner]), k - r)
         for i, d in enumerate(live):
-            g, lo, hi = -current[d][0], int(head[by_owner[d]]), int(tail[by_owner[d]])
-            place = lead_at[i]
-            t = -np.logaddexp(-g, noise[place:hi] - mass[place:hi])
-            if len(current[d][4]) + 1 >= options[place]:
-                t[0] = -np.inf
-            few = np.argpartition(-t, k - r)[: k - r + 1] if len(t) > k - r + 1 else np.arange(len(t))
-            for j in few.tolist():
-                if t[j] > -np.inf:
-                    s = int(starts[place + j])
-                    heapq.heappush(heaps[d], (-float(t[j]), r * n + s, r, s, extra[d] if j == 0 else (int(length[place + j]),)))
-            results[d].append((_ids(lat, starts[lo:hi], row[lo:hi], length[lo:hi]), float(cum[hi] - cum[lo]), g))
-        for d in range(count):
-            if current[d] is not None and lat.begin[d] == lat.begin[d + 1]:
-                results[d].append(([], 0.0, -current[d][0]))
-                current[d] = None
-            elif current[d] is not None:
-                current[d] = heapq.heappop(heaps[d]) if heaps[d] else None
+            g, avoid, lo, hi, at = -current[d][0], current[d][4], int(heads[d]), int(heads[d + 1]), int(lead_at[i])
+            for score, j in regions[i]:
+                x = int(length[j])
+                heapq.heappush(heaps[d], (-score, r * n + int(starts[j]), r, int(starts[j]), (*avoid, x) if j == at else (x,)))
+            own = coded[lo:hi]
+            if wide_of[d] < wide_of[d + 1]:
+                own = _with_bytes(m, own, wide[wide_of[d] : wide_of[d + 1]] - lo, lat.codes[starts[wide[wide_of[d] : wide_of[d + 1]]]])
+            results[d].append((own, float(cum[hi] - cum[lo]), g))
+            current[d] = heapq.heappop(heaps[d]) if heaps[d] else None
     out = []
     for d in range(count):
         threshold = -current[d][0] if current[d] is not None else -np.inf
@@ -276,18 +303,12 @@ def sample(m: PieceModel, texts: list[str], keys: np.ndarray, k: int) -> list[li
     return out
 
 
-def _ids(lat: Lattices, starts: np.ndarray, row: np.ndarray, length: np.ndarray) -> np.ndarray:
-    piece = lat.piece[row, length - 1]
-    ids = lat.m.ids[np.maximum(piece, 0)]
-    bare = np.flatnonzero(piece < 0)
-    if len(bare):
-        codes = lat.codes[starts[bare]].tolist()
-        coded = [chr(c).encode("utf-8", "surrogatepass") for c in codes]
-        ids[bare] = lat.m.byte_ids[[c[0] for c in coded]]
-        more = [len(c) - 1 for c in coded]
-        if any(more):
-            ids = np.insert(ids, np.repeat(bare + 1, more), lat.m.byte_ids[[x for c in coded for x in c[1:]]])
-    return ids
+def _with_bytes(m: PieceModel, ids: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """ids with the byte pieces of the characters ``codes`` in the places ``at``."""
+    raw = [chr(c).encode("utf-8", "surrogatepass") for c in codes.tolist()]
+    ids = ids.copy()
+    ids[at] = m.byte_ids[[x[0] for x in raw]]
+    return np.insert(ids, np.repeat(at + 1, [len(x) - 1 for x in raw]), m.byte_ids[[b for x in raw for b in x[1:]]])
 
 
 SAMPLED = "doc_id long, sample int, n_pieces int, log_p double, score double, inclusion double, ids_crc32 long"
@@ -301,7 +322,7 @@ def encode_samples(docs: DataFrame, path: str, k: int, key: str = "doc_id", text
         m = model(path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
-            for a, b in slices(texts, most=1_500_000):
+            for a, b in slices(texts, most=1_000_000):
                 rows = []
                 for d, found in zip(keys[a:b], sample(m, texts[a:b], np.array([x or 0 for x in keys[a:b]], np.int64), k)):
                     for i, (ids, log_p, score, inclusion) in enumerate(found):
