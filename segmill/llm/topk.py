@@ -5,7 +5,8 @@ pivots only decide the order) and then by id, and cut into ranges: the blocks. A
 weight and its forward index (the rows themselves). A query's bound for a block is the sum over terms of the largest product that
 the block allows; blocks are visited by falling bound and scored through their forward indexes until the next bound is below the
 k-th score. Bounds equal to the k-th score are still visited, so ties go to the smaller id. Each slab meets queries in chunks, and
-the slabs' k best are merged per query: every query meets every row, no pair is emitted that isn't among a slab's best.
+the slabs' k best are merged per query: every query meets every row, no pair is emitted that isn't among a slab's best. Slabs and
+chunks hold a fixed amount of numbers, so a task's memory doesn't grow and rows travel as seldom as that allows.
 
 Rows whose id or vector is null, and vectors with null or non-finite components, take no part; missing components of shorter
 vectors count as 0. Repeated query ids are answered once (with the smallest of their vectors); a query's own id is never among its
@@ -20,10 +21,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import read_table, shuffle_partitions
 
-#: Rows of a slab, queries of a chunk, rows of a block, blocks of a query in one wave, rows that serve as pivots.
-SLAB, CHUNK, BLOCK, WAVE, PIVOTS = 8_192, 1_024, 64, 4, 32
+#: Numbers in a slab and in a chunk of queries at most; rows that a slab has at least before slabs are made for more tasks.
+SLAB, CHUNK, LEAST = 4_000_000, 2_000_000, 4_096
+#: Queries that visit blocks together, rows of a block, blocks of a query in one wave, rows that serve as pivots.
+TOGETHER, BLOCK, WAVE, PIVOTS = 1_024, 64, 4, 32
 FOUND = "query_id long, vec_id long, score long"
 
 
@@ -58,6 +61,15 @@ def best_in_slab(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queri
     ids, rows = ids[order], rows[order]
     starts = np.arange(0, len(ids), block)
     top, low = np.maximum.reduceat(rows, starts), np.minimum.reduceat(rows, starts)
+    out = []
+    for at in range(0, len(queries), TOGETHER):
+        number, found, score = _visit(ids, rows, starts, top, low, query_ids[at : at + TOGETHER], queries[at : at + TOGETHER], k, block)
+        out.append((number + at, found, score))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _visit(ids, rows, starts, top, low, query_ids, queries, k, block):
+    kind = rows.dtype.type
     bounds = np.maximum(queries, 0) @ top.T + np.minimum(queries, 0) @ low.T
     visit = np.argsort(-bounds, axis=1, kind="stable")
     bounds = np.take_along_axis(bounds, visit, 1)
@@ -90,8 +102,8 @@ def _searcher(k: int):
     def search(rows: pa.Table, queries: pa.Table) -> pa.Table:
         if rows.num_rows and queries.num_rows:
             width = max(int(np.diff(c.offsets.to_numpy()).max(initial=0)) for t in (rows, queries) for c in t["v"].chunks)
-            query_ids = queries["id"].to_numpy()
-            number, found, score = best_in_slab(rows["id"].to_numpy(), _matrix(rows["v"], width), query_ids, _matrix(queries["v"], width), k)
+            ids, slab, query_ids, asked = rows["id"].to_numpy(), _matrix(rows["v"], width), queries["id"].to_numpy(), _matrix(queries["v"], width)
+            number, found, score = best_in_slab(ids, slab, query_ids, asked, k)
             return pa.table({"query_id": query_ids[number], "vec_id": found, "score": score})
         return pa.table({n: pa.array([], pa.int64()) for n in ("query_id", "vec_id", "score")})
 
@@ -100,9 +112,10 @@ def _searcher(k: int):
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """Both: id long, v array<double> of whole numbers. Returns query_id, rank (from 1), vec_id, score."""
-    slabs = max(1, -(-vectors.count() // SLAB))
+    n, width = vectors.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    slabs = max(1, -(-n * width // SLAB), min(shuffle_partitions(vectors.sparkSession), n // LEAST))
     queries = queries.groupBy("id").agg(F.min("v").alias("v"))
-    chunks = max(1, -(-queries.count() // CHUNK))
+    chunks = max(1, -(-queries.count() * width // CHUNK))
     deal = lambda n: F.pmod(F.xxhash64("id", "v"), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     rows = vectors.select("id", "v", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "id"), F.lit(slabs)).cast("int").alias("slab"), every(chunks).alias("chunk"))
