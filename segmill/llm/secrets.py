@@ -38,6 +38,8 @@ CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "ke
 PREFIXES = ("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "eyJ")
 #: Rows that the training sample is drawn from, and rows of it at most.
 TRAIN_POOL, TRAIN_ROWS = 20_000, 1_500
+#: Windows of tokens that the weights are fitted to at most.
+WINDOWS = 4_000
 #: Spans of the field are at least so long.
 LEAST = 12
 
@@ -193,45 +195,59 @@ class SecretField:
         return found
 
 
-def _made_up(rng: np.random.Generator, text: str) -> tuple[str, list[tuple[int, int]]]:
-    """``text`` with an announced secret put between two of its words."""
+def _made_up(rng: np.random.Generator, text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
+    """``text`` with an announced secret put between two of its words, and where its secrets are then."""
     letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
     secret = str(rng.choice(["", *PREFIXES])) + "".join(rng.choice(letters, int(rng.integers(20, 44))))
     lead = f"{rng.choice(CUES)}{rng.choice([' = ', '=', ': ', ' '])}{rng.choice(['', chr(34)])}" if rng.random() < 0.8 else ""
     at = text.find(" ", int(rng.integers(0, max(1, len(text))))) + 1
-    return f"{text[:at]}{lead}{secret} {text[at:]}", [(at + len(lead), at + len(lead) + len(secret))]
+    more = len(lead) + len(secret) + 1
+    moved = [(a + more * (a >= at), b + more * (a >= at)) for a, b in spans]
+    return f"{text[:at]}{lead}{secret} {text[at:]}", [*moved, (at + len(lead), at + len(lead) + len(secret))]
+
+
+def _tagged(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
+    """Tags of tokens whose texts have secrets at these places."""
+    tags = np.zeros(len(tokens.a), np.int8)
+    for k, places in enumerate(spans):
+        lo, hi = np.searchsorted(tokens.text, [k, k + 1])
+        for a, b in places:
+            hit = lo + np.flatnonzero((tokens.start[lo:hi] < b) & (tokens.end[lo:hi] > a))
+            tags[hit] = IN
+            tags[hit[:1]] = BEGIN
+    return tags
 
 
 def train(texts: list[str], seed: int = 0, window: int = 24, rounds: int = 120) -> SecretField:
     """Likelihood of the tags of windows of tokens around secrets, and of as many windows elsewhere; gradient steps of Adam."""
     rng = np.random.default_rng(seed)
     rows = [(t, [(a if kind else m_start(t, a), b) for a, kind, b in base_spans(t)]) for t in texts]
-    rows += [_made_up(rng, t) for t, _ in rows if t]
-    tokens = Tokens([t for t, _ in rows] or [""])
-    tags = np.zeros(len(tokens.a), np.int8)
-    for k, (_, spans) in enumerate(rows):
-        lo, hi = np.searchsorted(tokens.text, [k, k + 1])
-        for a, b in spans:
-            hit = lo + np.flatnonzero((tokens.start[lo:hi] < b) & (tokens.end[lo:hi] > a))
-            tags[hit] = np.where(tags[hit] == OUT, IN, tags[hit])
-            if len(hit):
-                tags[hit[0]] = BEGIN
-    middles = np.flatnonzero(tags == BEGIN)
-    middles = np.concatenate((middles, rng.integers(0, max(1, len(tags)), len(middles) + 500))) if len(tags) else middles
-    begin = np.clip(middles - window // 2, 0, max(0, len(tags) - window))
-    begin = begin[(begin + window <= len(tags))]
+    rows += [_made_up(rng, t, spans) for t, spans in rows if t]
+    xs, ys = [np.zeros((0, window, len(FEATURES)), np.int16)], [np.zeros((0, window), np.int8)]
+    for lo, hi in slices([t for t, _ in rows], most=200_000):
+        tokens = Tokens([t for t, _ in rows[lo:hi]])
+        tags = _tagged(tokens, [spans for _, spans in rows[lo:hi]])
+        if len(tags) >= window:
+            middles = np.flatnonzero(tags == BEGIN)
+            middles = np.concatenate((middles, rng.integers(0, len(tags), len(middles) + 20)))
+            at = np.clip(middles - window // 2, 0, len(tags) - window)[:, None] + np.arange(window)
+            xs.append(tokens.features[at])
+            ys.append(tags[at])
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    if len(x) > WINDOWS:
+        chosen = np.sort(rng.permutation(len(x))[:WINDOWS])
+        x, y = x[chosen], y[chosen]
+    y = y.astype(np.int64)
     weights, steps = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
     steps[OUT, IN] = -np.inf
-    if not len(begin):
+    if not len(x):
         weights[:, OUT] = 1.0
         return SecretField(weights, steps)
-    at = begin[:, None] + np.arange(window)
-    x, y = tokens.features[at].astype(np.int64), tags[at].astype(np.int64)
     y[:, 0] = np.where(y[:, 0] == IN, BEGIN, y[:, 0])
     moments = [np.zeros((N_FEATURES, 3)), np.zeros((N_FEATURES, 3)), np.zeros((3, 3)), np.zeros((3, 3))]
     total = lambda z, axis: (m := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis))
     for step in range(1, rounds + 1):
-        s = weights[x].sum(2)
+        s = sum(weights[x[:, :, k]] for k in range(x.shape[2]))
         f, b = np.empty_like(s), np.zeros_like(s)
         f[:, 0] = s[:, 0]
         f[:, 0, IN] = -1e9
