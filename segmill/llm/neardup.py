@@ -44,7 +44,7 @@ BASE, RATE, TOP = 1.001, 20.0, 65_534
 MARGIN = 5.0
 PARITIES = 2_048
 #: Members of a bucket's block.
-BLOCK = 1_024
+BLOCK = 512
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
