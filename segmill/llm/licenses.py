@@ -1,7 +1,8 @@
 """Licence recognition by sentences and rules (operator 8), in DataFrame functions only.
 
 A text is cut into sentences twice: at every line end, and with line ends inside a paragraph read as spaces (licence texts are often
-wrapped). A sentence is lower-cased and every run of other characters than a-z and 0-9 becomes one space. Known sentences become
+wrapped). Some licence texts have an end inside a sentence of the table or none where one stops ("free software: you can", "License,
+v. 2.0", "(the "License"); you may"); INNER sets those right before the cut. A sentence is lower-cased and every run of other characters than a-z and 0-9 becomes one space. Known sentences become
 their identifiers, others vanish, and the identifiers' sequence is matched against the ordered rules: a rule that matches names its
 licence and takes its sentences away from the rules after it. The sentences and rules are a fixed table, so lookups need no join.
 
@@ -95,15 +96,28 @@ RULES = [
 SPACE = "[ \\t\\r]*"
 #: A sentence ends at these and white space; a paragraph at an empty line.
 SENTENCE_END, PARAGRAPH_END = "[.!?:]+[ \\t\\r\\n]+", f"\\n{SPACE}\\n"
+GAP = "[^a-zA-Z0-9]+"
+SPDX = "(?:Apache-2\\.0|BSD-2-Clause|BSD-3-Clause|GPL-3\\.0-only|MIT)"
+words = lambda s: s.replace(" ", GAP)
+#: Patterns and what takes their place before the cut: ends that are none, ends that lack a mark, and openings after a line of copyright.
+INNER = [
+    (f"(?i)(free{GAP}software):[ \\t\\r\\n]+(?=[^a-zA-Z0-9]*{words('you can redistribute it')})", "$1 "),
+    (f"(?i)(SPDX-License-Identifier):[ \\t]+(?={SPDX}(?:[.!?:]+[ \\t\\r\\n]|[^a-zA-Z0-9\\n]*(?:\\n|\\z)))", "$1 "),
+    (f"(?i)({words('Mozilla Public License v')})\\.[ \\t\\r\\n]+(?=[^a-zA-Z0-9]*2\\.0)", "$1 "),
+    (f"(?i);(?={GAP}{words('you may not use this file except')})", "\n"),
+    (f"(?i)({words('obtain a copy of the License at')}){GAP}(https?://www\\.apache\\.org/licenses/LICENSE-2\\.0(?:\\.txt|\\.html)?)(?![a-zA-Z0-9])", "$1\n$2\n"),
+    (f"(?i:copyright|\\(c\\)|(?:MIT|ISC) License)[^\\n]{{0,200}}?[^a-zA-Z0-9\\n](?={words('(?:Licensed under the Apache License|Permission is hereby granted free of charge|Permission to use copy modify|This program is free software|Redistribution and use in source and binary forms)')})", "$0\n"),
+]
 
 
 def sentence_ids(text: Column, paragraphs: bool) -> Column:
     """The identifiers of known sentences of ``text`` in order; array<string>."""
     t = F.coalesce(text, F.lit(""))
     if paragraphs:
-        t = F.regexp_replace(F.regexp_replace(F.regexp_replace(t, PARAGRAPH_END, ". "), "\\n", " "), SENTENCE_END, "\n")
-    else:
-        t = F.regexp_replace(t, SENTENCE_END, "\n")
+        t = F.regexp_replace(F.regexp_replace(t, PARAGRAPH_END, ". "), "\\n", " ")
+    for pattern, instead in INNER:
+        t = F.regexp_replace(t, pattern, instead)
+    t = F.regexp_replace(t, SENTENCE_END, "\n")
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     plain = F.transform(F.split(t, "\n", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
     return F.filter(F.transform(plain, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
