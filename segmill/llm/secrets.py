@@ -298,11 +298,19 @@ def find_spans(texts: list[str], field: SecretField) -> list[list[tuple[int, int
     out = []
     for k, text in enumerate(texts):
         base = base_spans(text, is_hex.get(k, []))
-        more = [(a, 3, b) for a, b in found.get(k, []) if b - a >= LEAST and not any(a < y and x < b for x, _, y in base)]
+        more = [(a, 3, b) for a, b in found.get(k, []) if b - a >= LEAST and not _covered(a, b, base)]
         out.append(sorted(base + more))
     return out
 
 
+def _covered(a: int, b: int, base: list[tuple[int, int, int]]) -> bool:
+    """Whether base spans (in order) leave no character of a:b out."""
+    for x, _, y in base:
+        if x <= a < y:
+            a = y
+    return a >= b
+
+
 def _hex_mask(tokens: Tokens, texts: list[str]) -> dict[int, list[tuple[int, int]]]:
     """Runs of 16 and more of 0-9a-f; every such run lies inside one token."""
     out: dict[int, list[tuple[int, int]]] = {}
