@@ -33,15 +33,20 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.folded = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.normalized]
         self.split, self.lower, self.known = SPLITS[kind].findall, kind == "word", {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [struct.pack(f"<{len(i)}I", *i) for i in (e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))]
 
+    def _whole(self, text: str) -> bool:
+        """Whether the library must see the text as it is: its added tokens are found before the text is split."""
+        return bool(OTHER.search(text)) or any(t in text for t in self.added) or bool(self.folded) and any(t in text.lower() for t in self.folded)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        whole = [i for i, t in enumerate(texts) if OTHER.search(t)]
+        whole = [i for i, t in enumerate(texts) if self._whole(t)]
         out: list = [None] * len(texts)
         for i, ids in zip(whole, self._library([texts[i] for i in whole])):
             out[i] = ids
