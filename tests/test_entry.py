@@ -2,6 +2,9 @@
 
 import os
 import re
+import shutil
+import subprocess
+import sys
 
 import pytest
 
@@ -26,6 +29,19 @@ def test_library_does_not_need_the_corpus_part():
                     assert not re.search(r"\bllm\b", f.read())
 
 
+def test_order_queries_without_the_corpus_part(tmp_path):
+    """On a copy without both folders, with and without the pipeline's file."""
+    root, copy = os.path.dirname(os.path.abspath(entry.__file__)), tmp_path / "copy"
+    shutil.copytree(root, copy, ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "__pycache__")])
+    ask = "import __spark_entry__ as e; q, o = e.queries(), e.oracle_sql(); assert set(o) <= set(q); print(*sorted(q))"
+    found = []
+    for _ in range(2):
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        found.append(subprocess.run([sys.executable, "-c", ask], cwd=copy, env=env, capture_output=True, text=True, check=True).stdout.split())
+        (copy / "corpus_pipeline.py").unlink(missing_ok=True)
+    assert found[0] == found[1] == sorted(n for n in entry.queries() if not re.match(r"op\d|pipeline$", n)) and len(found[0]) > 50
+
+
 @pytest.mark.parametrize("name", sorted(n for n in entry.oracle_sql() if not n.startswith("op")))
 def test_oracle(spark, name):
     duckdb = pytest.importorskip("duckdb")
