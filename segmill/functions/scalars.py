@@ -7,24 +7,16 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .dates import parse_date, parse_mixed  # noqa: F401
+
 #: Spellings of missing values, per kind of column, and number words.
 QUANTITY_NULLS = ["", "nan", "<na>", "none", "null", "n/a", "na", "unknown"]
 ORDER_NULLS = [*QUANTITY_NULLS, "duplicate"]
 ID_NULLS = ["nan", "<na>", "none", "null", "n/a", "na", "unknown", "unk", "?", "-"]
 NUMBER_WORDS = {"zero": 0, "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "dozen": 12}
-#: Date formats after the ISO forms, in the order in which they are tried; day-first dashes and month-first slashes come before.
-DATE_FORMATS = [
-    "yyyy/M/d", "yyyy/M/d H:mm", "yyyy/M/d H:mm:ss", "yyyy.M.d",
-    "M/d/yyyy H:mm", "M/d/yyyy H:mm:ss", "d/M/yyyy H:mm", "d/M/yyyy H:mm:ss",
-    "M-d-yyyy H:mm", "M-d-yyyy H:mm:ss", "d-M-yyyy H:mm", "d-M-yyyy H:mm:ss",
-    "M/d/yy", "d/M/yy", "M-d-yy", "d-M-yy", "d.M.yyyy",
-    "MMM d yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMMM d, yyyy", "d MMM yyyy", "d MMMM yyyy", "d-MMM-yyyy", "d-MMM-yy", "MMM-d-yyyy",
-]
 #: Currency symbols' patterns and ISO codes.
 CURRENCY_SYMBOLS = {"BRL": r"R\$", "USD": r"(?<!R)\$", "EUR": "€", "GBP": "£", "JPY": "¥", "INR": "₹", "KRW": "₩", "RUB": "₽"}
 CURRENCY_CODES = ["USD", "EUR", "GBP", "JPY", "CNY", "INR", "AUD", "CAD", "KRW", "RUB", "BRL", "CHF"]
-#: Codes that stand for another code.
-CURRENCY_SAME = {"CNY": "JPY"}
 
 
 def strip(c: Column) -> Column:
@@ -52,15 +44,6 @@ def parse_quantity(c: Column) -> Column:
     return F.when(~t.isin(QUANTITY_NULLS), F.rint(found)).cast("long")
 
 
-def parse_date(c: Column) -> Column:
-    """Bare dashes are day first, bare slashes month first; other forms are tried in turn. timestamp_ntz."""
-    t = strip(c)
-    read = lambda f: F.try_to_timestamp(t, F.lit(f))
-    other = F.when(t.rlike(r"^\d{8}$"), read("yyyyMMdd")).otherwise(F.coalesce(F.try_to_timestamp(t), *map(read, DATE_FORMATS)))
-    found = F.when(t.rlike(r"^\d{1,2}-\d{1,2}-\d{4}$"), read("d-M-yyyy")).when(t.rlike(r"^\d{1,2}/\d{1,2}/\d{4}$"), read("M/d/yyyy")).otherwise(other)
-    return found.cast("timestamp_ntz")
-
-
 def canonical_customer_id(c: Column) -> Column:
     """The last run of digits without leading zeros, else the letters and digits."""
     t = F.lower(strip(c))
@@ -122,8 +105,7 @@ def contains_any(c: Column, patterns: list[str]) -> Column:
 
 
 def currencies(c: Column) -> Column:
-    """ISO codes of the currencies that a raw value names; array<string>."""
+    """ISO codes of the currencies that a raw value names; array<string>. A symbol stands for one code, a code for itself."""
     codes = F.regexp_extract_all(c, F.lit(rf"\b({'|'.join(CURRENCY_CODES)})\b"), F.lit(1))
-    same = lambda x: reduce(lambda acc, kv: F.when(x == kv[0], kv[1]).otherwise(acc), CURRENCY_SAME.items(), x)
     symbols = F.array_compact(F.array(*[F.when(c.rlike(p), F.lit(code)) for code, p in CURRENCY_SYMBOLS.items()]))
-    return F.array_union(F.transform(codes, same), symbols)
+    return F.array_union(codes, symbols)

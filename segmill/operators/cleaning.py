@@ -2,7 +2,7 @@
 
 The order of steps decides the counts: currencies of raw values, types, derived totals, customer ids, order ids, categories, then rows
 with missing fields, repeated rows, values of 0 and less, and future dates go. ``_row_id`` (see sources) tells which spelling of a
-customer came first; it takes no part in comparing rows.
+customer came first; it takes no part in comparing rows. ``clean`` parses every cell once, into a scratch table that all later steps read.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..functions.categories import normalize_category
 from ..schema import FIELDS, OPTIONAL, REQUIRED
+from ..scratch import Scratch
 
 ROW = "_row_id"
 PARSERS = {"string": S.text_or_null, "datetime": S.parse_date, "float": S.parse_money, "int": S.parse_quantity}
@@ -44,25 +45,38 @@ def normalize_customer_ids(df: DataFrame) -> DataFrame:
     """Every spelling of a customer becomes the one in the first row. Spellings are reduced to one row per key before the join."""
     if "customer_id" not in df.columns:
         return df
-    keyed = df.withColumn("_key", S.canonical_customer_id(F.col("customer_id")))
+    spread = F.concat(F.lit("none "), F.pmod(F.xxhash64(*_data(df), *([ROW] if ROW in df.columns else [])), F.lit(4096)).cast("string"))
+    keyed = df.withColumn("_key", F.coalesce(S.canonical_customer_id(F.col("customer_id")), spread))  # no key holds a space, so these match nothing
     first = F.min_by("customer_id", F.col(ROW)) if ROW in df.columns else F.min("customer_id")
-    chosen = keyed.filter("_key IS NOT NULL").groupBy("_key").agg(first.alias("_first"))
+    chosen = keyed.filter("_key NOT LIKE 'none %'").groupBy("_key").agg(first.alias("_first"))
     return keyed.join(chosen, "_key", "left").withColumn("customer_id", F.col("_first")).select(df.columns)
 
 
+def _merges(given: DataFrame) -> DataFrame:
+    keys = given.select("k", "customer_id").distinct().groupBy("k").count()
+    return keys.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("ids_before"), F.count("*").alias("ids_after"), F.count_if(F.col("count") > 1).alias("merged_groups"))
+
+
+def _merge_examples(given: DataFrame, groups: int = 5, variants: int = 6) -> DataFrame:
+    rows = given.groupBy("k", "customer_id").agg(F.min(ROW).alias("at"))
+    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min_by("customer_id", "at").alias("merged_to")).filter("n > 1").orderBy("first").limit(groups)
+    top = rows.join(F.broadcast(found), "k").withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("at"))).filter(F.col("turn") <= variants)  # a few rows
+    out = top.groupBy("first", "merged_to").agg(F.array_sort(F.collect_list(F.struct("turn", "customer_id"))).alias("v"))
+    return out.orderBy("first").select("first", "merged_to", F.col("v.customer_id").alias("variants"))
+
+
+def _given(df: DataFrame) -> DataFrame:
+    return df.withColumn("k", S.canonical_customer_id(F.col("customer_id"))).filter("k IS NOT NULL")
+
+
 def id_merge_report(df: DataFrame) -> DataFrame:
     """ids_before, ids_after, merged_groups."""
-    keys = df.select(S.canonical_customer_id(F.col("customer_id")).alias("k"), "customer_id").filter("k IS NOT NULL").distinct().groupBy("k").count()
-    return keys.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("ids_before"), F.count("*").alias("ids_after"), F.count_if(F.col("count") > 1).alias("merged_groups"))
+    return _merges(_given(df))
 
 
 def id_merge_examples(df: DataFrame, groups: int = 5, variants: int = 6) -> DataFrame:
     """The first merged customers and their first spellings: merged_to, variants."""
-    rows = df.withColumn("k", S.canonical_customer_id(F.col("customer_id"))).filter("k IS NOT NULL").groupBy("k", "customer_id").agg(F.min(ROW).alias("at"))
-    found = rows.groupBy("k").agg(F.count("*").alias("n"), F.min("at").alias("first"), F.min_by("customer_id", "at").alias("merged_to")).filter("n > 1").orderBy("first").limit(groups)
-    top = rows.join(F.broadcast(found), "k").withColumn("turn", F.row_number().over(Window.partitionBy("k").orderBy("at"))).filter(F.col("turn") <= variants)
-    out = top.groupBy("first", "merged_to").agg(F.array_sort(F.collect_list(F.struct("turn", "customer_id"))).alias("v"))
-    return out.orderBy("first").select("merged_to", F.col("v.customer_id").alias("variants"))
+    return _merge_examples(_given(df), groups, variants).drop("first")
 
 
 def normalize_order_ids(df: DataFrame) -> DataFrame:
@@ -99,10 +113,14 @@ def drop_repeated_rows(df: DataFrame) -> DataFrame:
     return df.dropDuplicates(_data(df)) if "order_id" in df.columns else df
 
 
-def repeated_row_examples(df: DataFrame, n: int = 10) -> DataFrame:
-    """Order ids of rows that repeat an earlier row, by first repetition."""
+def _repeated(df: DataFrame, n: int) -> DataFrame:
     copies = df.groupBy(_data(df)).agg(F.count("*").alias("n"), F.max(ROW).alias("at")).filter("n > 1")
-    return copies.groupBy("order_id").agg(F.min("at").alias("at")).orderBy("at").limit(n).select("order_id")
+    return copies.groupBy("order_id").agg(F.min("at").alias("at")).orderBy("at").limit(n)
+
+
+def repeated_row_examples(df: DataFrame, n: int = 10) -> DataFrame:
+    """Order ids of rows that repeat an earlier row, by repetition."""
+    return _repeated(df, n).select("order_id")
 
 
 def drop_nonpositive_values(df: DataFrame) -> DataFrame:
@@ -128,61 +146,120 @@ def currency_scan(raw: DataFrame) -> DataFrame:
 
 @dataclass
 class Cleaned:
+    """lines and report read a scratch table, which ``release`` deletes."""
+
     lines: DataFrame
     report: DataFrame
+    scratch: Scratch
 
     def report_dict(self) -> dict:
         return self.report.first().asDict(recursive=True)
 
+    def release(self) -> None:
+        self.scratch.drop()
+
 
 def typed(raw: DataFrame) -> DataFrame:
     """All steps that keep rows."""
     return normalize_categories(normalize_order_ids(normalize_customer_ids(derive_order_value(coerce_types(raw)))))
 
 
-def cleaning_counts(lines: DataFrame, reference: dt.datetime | None = None) -> DataFrame:
-    """One row: how many rows each dropping step removed from ``lines`` (as ``typed`` returns them). One pass: rows that are left after
-    missing fields are counted by equality, then each kind is a sum over groups."""
-    c, columns = F.col, _data(lines)
-    fields = [f for f in REQUIRED if f in lines.columns]
-    nulls = lines.agg(F.count("*").alias("rows_in"), F.count_if(missing_required(lines)).alias("null_required"), *[F.count_if(c(f).isNull()).alias(f"null_{f}") for f in fields])
-    groups = drop_null_required(lines).groupBy(columns).agg(F.count("*").alias("_n"))
-    n = F.lit(1) if "order_id" in lines.columns else c("_n")
-    late = c("order_date") > midnight(reference) if "order_date" in lines.columns else F.lit(False)
-    value = c("order_value") if "order_value" in lines.columns else F.lit(1.0)
+#: What ``prepared`` notes of raw cells: the customer's spelling, currencies, whether a total was missing, a placeholder stood for an order, an
+#: order or a category was there.
+SPELLING, CODES, DERIVED, PLACEHOLDER, HAD_ORDER, HAD_CATEGORY = FACTS = ["_spelling", "_codes", "_derived", "_placeholder", "_had_order", "_had_category"]
+
+
+def prepared(raw: DataFrame) -> DataFrame:
+    """Every row with parsed cells, the customer's key in the place of its spelling, and what the report asks about raw cells."""
+    c, had = F.col, set(raw.columns)
+    df = raw.withColumn(CODES, S.currencies(c("order_value").cast("string"))) if "order_value" in had else raw
+    df = coerce_types(df)
+    if {"quantity", "unit_price"} <= had:
+        df = derive_order_value(df.withColumn(DERIVED, c("order_value").isNull() if "order_value" in had else F.lit(True)))
+    if "customer_id" in had:
+        df = df.withColumns({SPELLING: c("customer_id"), "customer_id": S.canonical_customer_id(c("customer_id"))})
+    if "order_id" in had:
+        df = df.withColumns({PLACEHOLDER: F.lower(S.strip(c("order_id"))) == "duplicate", HAD_ORDER: c("order_id").isNotNull(), "order_id": S.normalize_order_id(c("order_id"))})
+    if "product_category" in had:
+        df = df.withColumns({HAD_CATEGORY: c("product_category").isNotNull(), "product_category": normalize_category("product_category")})
+    return df
+
+
+def _compared(base: DataFrame) -> list[str]:
+    """Columns in which repeated rows are equal; customers are equal if their keys are."""
+    return [x for x in base.columns if x not in (ROW, *FACTS)]
+
+
+def _row_counts(base: DataFrame) -> DataFrame:
+    """One row from one pass: rows, missing fields, and what was found in raw cells."""
+    c, had = F.col, set(base.columns)
+    out = [F.count("*").alias("rows_in"), F.count_if(missing_required(base)).alias("null_required"), *[F.count_if(c(f).isNull()).alias(f"null_{f}") for f in REQUIRED if f in had]]
+    if DERIVED in had:
+        out.append(F.count_if(DERIVED).alias("rows_computed"))
+    if PLACEHOLDER in had:
+        out += [F.count_if(PLACEHOLDER).alias("duplicate_placeholders"), F.count_if(c(HAD_ORDER) & c("order_id").isNull()).alias("nulled")]
+    if HAD_CATEGORY in had:
+        out += [F.count_distinct("product_category").alias("categories"), F.count_if(c(HAD_CATEGORY) & c("product_category").isNull()).alias("categories_nulled")]
+    if CODES not in had:
+        return base.agg(*out)
+    found = F.sort_array(F.array_distinct(F.flatten(F.collect_set(CODES)))).alias("currencies_found")  # lists of a dozen codes at most
+    return base.agg(*out, found).withColumn("mixed", F.size("currencies_found") > 1)
+
+
+def _group_counts(base: DataFrame, reference: dt.datetime | None) -> DataFrame:
+    """One row: how many rows each later step drops. Rows are counted by equality first, then each kind is a sum over groups."""
+    c, had = F.col, set(base.columns)
+    groups = drop_null_required(base).groupBy(_compared(base)).agg(F.count("*").alias("_n"))
+    n = F.lit(1) if "order_id" in had else c("_n")
+    late = c("order_date") > midnight(reference) if "order_date" in had else F.lit(False)
+    value = c("order_value") if "order_value" in had else F.lit(1.0)
     good = (value > 0) & ~late
     total = lambda mask: F.coalesce(F.sum(F.when(mask, n)), F.lit(0))
-    sums = groups.agg(
-        F.coalesce(F.sum(c("_n") - n), F.lit(0)).alias("duplicates"), total(value < 0).alias("negative"), total(value == 0).alias("zero"), total((value > 0) & late).alias("future_orders"), total(good).alias("rows_out"),
-        *([total(good & (c("signup_date") > midnight(reference))).alias("future_signups")] if "signup_date" in lines.columns else []),
-        *[total(good & c(f).isNull()).alias(f"missing_{f}") for f in OPTIONAL if f in lines.columns],
-        F.count_distinct(F.when(good, c("customer_id"))).alias("n_customers"), F.min(F.when(good, c("order_date"))).alias("first_date"), F.max(F.when(good, c("order_date"))).alias("last_date"),
-    )
-    return nulls.crossJoin(F.broadcast(sums)).withColumn("rows_dropped", c("rows_in") - c("rows_out")).withColumn("n_orders", c("rows_out"))  # one row each
-
-
-def clean(raw: DataFrame, reference: dt.datetime | None = None) -> Cleaned:
-    coerced = coerce_types(raw)
-    lines = typed(raw)
-    kept = drop_future_orders(drop_nonpositive_values(drop_repeated_rows(drop_null_required(lines))), reference)
-    report = cleaning_counts(lines, reference)
-    one = [id_merge_report(coerced)] if "customer_id" in raw.columns else []
-    one += [order_id_report(coerced)] if "order_id" in raw.columns else []
-    one += [currency_scan(raw)] if "order_value" in raw.columns else []
-    if "product_category" in raw.columns:
-        one.append(category_report(coerced, lines).withColumnsRenamed({"distinct_after": "categories", "nulled": "categories_nulled"}))
-    for part in one:
+    out = [F.coalesce(F.sum(c("_n") - n), F.lit(0)).alias("duplicates"), total(value < 0).alias("negative"), total(value == 0).alias("zero"), total((value > 0) & late).alias("future_orders"), total(good).alias("rows_out")]
+    if "signup_date" in had:
+        out.append(total(good & (c("signup_date") > midnight(reference))).alias("future_signups"))
+    out += [total(good & c(f).isNull()).alias(f"missing_{f}") for f in OPTIONAL if f in had]
+    if "customer_id" in had:
+        out.append(F.count_distinct(F.when(good, c("customer_id"))).alias("n_customers"))
+    if "order_date" in had:
+        out += [F.min(F.when(good, c("order_date"))).alias("first_date"), F.max(F.when(good, c("order_date"))).alias("last_date")]
+    return groups.agg(*out)
+
+
+def cleaning_counts(base: DataFrame, reference: dt.datetime | None = None) -> DataFrame:
+    """One row about ``base`` (see ``prepared``): what each step dropped, merged and found, with a few examples."""
+    parts = [_group_counts(base, reference)]
+    if SPELLING in base.columns:
+        given = base.select(F.col("customer_id").alias("k"), F.col(SPELLING).alias("customer_id"), *([ROW] if ROW in base.columns else [F.lit(0).alias(ROW)])).filter("k IS NOT NULL")
+        parts += [_merges(given), _merge_examples(given).agg(F.transform(F.array_sort(F.collect_list(F.struct("first", "merged_to", "variants"))), lambda x: F.struct(x["merged_to"].alias("merged_to"), x["variants"].alias("variants"))).alias("merge_examples"))]
+    if "order_id" in base.columns and ROW in base.columns:
+        again = _repeated(drop_null_required(base).select(*_compared(base), ROW), 10)
+        parts.append(again.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "order_id"))), lambda x: x["order_id"]).alias("duplicate_ids")))
+    report = _row_counts(base)
+    for part in parts:
         report = report.crossJoin(F.broadcast(part))  # one row each
-    return Cleaned(kept.drop(ROW), report)
+    return report.withColumn("rows_dropped", F.col("rows_in") - F.col("rows_out")).withColumn("n_orders", F.col("rows_out"))
 
 
-def warnings(report: dict, derived: int = 0) -> list[str]:
+def clean(raw: DataFrame, reference: dt.datetime | None = None) -> Cleaned:
+    scratch = Scratch(raw.sparkSession, "cleaning")
+    base = scratch.keep(prepared(raw), "typed")
+    kept = drop_null_required(base).select(_compared(base))
+    kept = drop_future_orders(drop_nonpositive_values(kept.distinct() if "order_id" in base.columns else kept), reference)
+    if "customer_id" in base.columns:
+        first = F.min_by(SPELLING, F.col(ROW)) if ROW in base.columns else F.min(SPELLING)
+        chosen = base.filter("customer_id IS NOT NULL").groupBy("customer_id").agg(first.alias(SPELLING))
+        kept = kept.join(chosen, "customer_id").withColumn("customer_id", F.col(SPELLING)).select(kept.columns)
+    return Cleaned(kept, cleaning_counts(base, reference), scratch)
+
+
+def warnings(report: dict) -> list[str]:
     """In words, from a report's row."""
     out = []
     if report.get("mixed"):
         out.append(f"Several currencies ({', '.join(report['currencies_found'])}); values are not converted.")
-    if derived:
-        out.append(f"order_value was computed from quantity and unit_price in {derived} rows.")
+    if report.get("rows_computed"):
+        out.append(f"order_value was missing in {report['rows_computed']} rows and follows from quantity and unit_price there.")
     if report.get("merged_groups"):
         out.append(f"{report['merged_groups']} customers had ids in several spellings ({report['ids_before']} ids, {report['ids_after']} customers).")
     if report.get("duplicate_placeholders"):

@@ -46,11 +46,9 @@ def top_category(lines: DataFrame) -> DataFrame:
     return counts.groupBy("customer_id").agg(F.min(F.struct((-F.col("count")).alias("n"), F.col("product_category").alias("c")))["c"].alias("top_category"))
 
 
-def one_hot(df: DataFrame, column: str = "top_category", prefix: str = "cat_", most: int = 1_000) -> DataFrame:
-    """Columns cat_<value> with 0 or 1 for every value that occurs; more than ``most`` values are refused."""
-    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).limit(most + 1).collect()]
-    if len(values) > most:
-        raise ValueError(f"{column} has over {most} values")
+def one_hot(df: DataFrame, column: str = "top_category", prefix: str = "cat_") -> DataFrame:
+    """Columns cat_<value> with 0 or 1 for every value that occurs. The driver gets the distinct values, one for each new column."""
+    values = [r[0] for r in df.select(column).filter(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
     return df.select("*", *[F.when(F.col(column) == v, 1).otherwise(0).cast("long").alias(f"{prefix}{v}") for v in values])
 
 

@@ -1,15 +1,17 @@
 """From raw columns to the fixed schema: a profile of each column, a proposal, its validation, and the projection.
 
-The profile is one aggregation; proposals and validation handle one small record per column on the driver. ``propose`` works offline from
+The profile is one pass over the rows; proposals and validation handle one small record per column on the driver. ``propose`` works offline from
 names and values; any function from a profile to proposals (such as one that asks a language model) can take its place.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,24 +23,37 @@ NONE = "none"
 
 
 def profile_columns(df: DataFrame, n: int = SAMPLES) -> DataFrame:
-    """name, samples (the first distinct stripped non-empty values), non_null, null. Values are reduced to one row per column and value
-    before any ranking."""
+    """name, samples (the first distinct stripped non-empty values), non_null, null. Each task keeps the ``n`` earliest values of each
+    column of its rows, so no more than those leave it."""
     names = [c for c in df.columns if c != ROW]
-    has_row = ROW in df.columns
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"`{c}`").cast("string").alias("v")) for i, c in enumerate(names)]))
-    long = df.select(cells.alias("c"), F.col(ROW).alias("at") if has_row else F.lit(0).cast("long").alias("at")).select("c.i", "c.v", "at")
     counts = df.agg(*[F.count(f"`{c}`").alias(str(i)) for i, c in enumerate(names)], F.count("*").alias("all"))
     each = counts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(c).alias("name"), F.col(str(i)).alias("non_null"), (F.col("all") - F.col(str(i))).alias("null")) for i, c in enumerate(names)])).alias("c")).select("c.*")
-    seen = long.select("i", S.text_or_null(F.col("v")).alias("v"), "at").filter("v IS NOT NULL").groupBy("i", "v").agg(F.min("at").alias("at"))
-    return each.join(_first(seen, n), "i", "left").orderBy("i").select("name", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "non_null", "null")
-
-
-def _first(seen: DataFrame, n: int) -> DataFrame:
-    """The n earliest values of each column. Ranks within hashed parts come first, so a column with very many values spreads over tasks."""
-    order = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("at", "v"))
-    part = seen.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(64))).withColumn("r", order("i", "part")).filter(F.col("r") <= n)
-    top = part.withColumn("r", order("i")).filter(F.col("r") <= n)
-    return top.groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("samples"))
+    at = F.col(ROW).cast("long") if ROW in df.columns else F.monotonically_increasing_id()
+    cells = df.select(at.alias("at"), *[S.text_or_null(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(names)])
+    first = cells.mapInArrow(_earliest(n), "i int, v string, at long").groupBy("i", "v").agg(F.min("at").alias("at"))
+    turn = F.row_number().over(Window.partitionBy("i").orderBy("at", "v"))  # n rows of each task and column
+    top = first.withColumn("r", turn).filter(F.col("r") <= n).groupBy("i").agg(F.transform(F.sort_array(F.collect_list(F.struct("r", "v"))), lambda x: x["v"]).alias("samples"))
+    return each.join(top, "i", "left").orderBy("i").select("name", F.coalesce("samples", F.array().cast("array<string>")).alias("samples"), "non_null", "null")
+
+
+def _earliest(n: int):
+    """A value that is among the n earliest of all rows is among the n earliest when its earliest row has been seen, and stays there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: dict[int, dict[str, int]] = {}
+        for batch in batches:
+            at = batch.column(0)
+            for i in range(batch.num_columns - 1):
+                now = pa.table({"v": batch.column(i + 1), "at": at}).filter(pc.field("v").is_valid()).group_by("v").aggregate([("at", "min")])
+                now = now.sort_by([("at_min", "ascending"), ("v", "ascending")]).slice(0, n)
+                merged = kept.setdefault(i, {})
+                for v, a in zip(now["v"].to_pylist(), now["at_min"].to_pylist()):
+                    merged[v] = min(a, merged.get(v, a))
+                kept[i] = dict(sorted(merged.items(), key=lambda x: (x[1], x[0]))[:n])
+        rows = [(i, v, a) for i, values in kept.items() for v, a in values.items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int32(), pa.string(), pa.int64()))], ["i", "v", "at"])
+
+    return run
 
 
 #: Names that point to a field, after letters and digits only; more telling ones first.
@@ -154,8 +169,7 @@ def detect_date_format(values: DataFrame, column: str, examples: int = 3) -> dic
     them can't read."""
     t = S.strip(F.col(column))
     rows = values.select(t.alias("t")).filter("t <> ''")
-    month = S.parse_date(F.col("t"))
-    day = F.coalesce(*[F.try_to_timestamp("t", F.lit(f)) for f in ("d-M-yyyy", "d/M/yyyy", "d.M.yyyy", "d/M/yy", "d-M-yy")], month.cast("timestamp"))
+    month, day = (S.parse_mixed(F.col("t"), first) for first in (False, True))
     a = rows.agg(F.count("*").alias("n"), F.count(month).alias("m"), F.count(day).alias("d")).first()
     if not a["n"]:
         return {"parseable_fraction": 0.0, "dayfirst": False, "strategy": "mixed", "unparseable_examples": []}

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..schema import BANDS, FALLBACK_PERSONA, actions
+from ..scratch import Scratch
 
 FIELDS = ["recency", "frequency", "monetary", "aov", "clv", "tenure"]
 
@@ -19,9 +20,31 @@ def present(df: DataFrame) -> list[str]:
     return [f for f in FIELDS if f in df.columns]
 
 
-def quintile_edges(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """One row: for each feature the exact 20, 40, 60 and 80 % quantiles, interpolated."""
-    return df.agg(*[F.percentile(F.col(f).cast("double"), F.array(*map(F.lit, (0.2, 0.4, 0.6, 0.8)))).alias(f) for f in fields or present(df)])
+def quintile_edges(df: DataFrame, fields: list[str] | None = None, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
+    """One row: for each feature the exact quantiles, interpolated. Values are counted, put in order by ranges, and each range's count tells
+    which ranks it holds, so no task sees more than its range."""
+    fields = fields or present(df)
+    scratch = Scratch(df.sparkSession, "quantiles")
+    long = df.select(*[F.col(f).cast("double").alias(f) for f in fields]).unpivot([], fields, "f", "v").filter("v IS NOT NULL")
+    counts = long.groupBy("f", "v").agg(F.count("*").alias("n"))
+    ordered = scratch.keep(counts.repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()), "values")
+    parts = ordered.groupBy("f", "part").agg(F.sum("n").alias("here"))
+    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    whole = Window.partitionBy("f")
+    parts = parts.select("f", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(whole).alias("all"), "here")
+    exact = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("all") - 1)).alias("place")) for i, s in enumerate(shares)]))
+    wanted = parts.select("*", exact.alias("w")).select("f", "part", "before", "here", "w.*")
+    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).filter("rank >= before AND rank < before + here")
+    running = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
+    cells = ordered.join(F.broadcast(parts.select("f", "part", "before").join(wanted.select("f", "part").distinct(), ["f", "part"])), ["f", "part"])  # only ranges that hold a rank
+    cells = cells.withColumn("end", running + F.col("before"))
+    at = cells.join(F.broadcast(wanted.select("f", "part", "i", "place", "rank")), ["f", "part"]).filter("rank >= end - n AND rank < end")  # two rows for each quantile
+    edges = at.groupBy("f", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("place").alias("place"))
+    edges = edges.withColumn("v", F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place")))
+    found = {r["f"]: r["v"] for r in edges.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).collect()}  # one row for each feature
+    scratch.drop()
+    values = [F.array(*map(F.lit, found[f])) if f in found else F.lit(None).cast("array<double>") for f in fields]
+    return df.sparkSession.range(1).select(*[v.alias(f) for f, v in zip(fields, values)])
 
 
 def band(value: Column, edges: Column) -> Column:

@@ -65,9 +65,9 @@ ORDERS = "SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS V
 LINES = "SELECT CAST(o_custkey AS VARCHAR) AS customer_id, CAST(o_orderkey AS VARCHAR) AS order_id, o_orderdate AS order_date, l_extendedprice AS order_value, CAST(l_quantity AS BIGINT) AS quantity, p_type AS product_category FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey"
 PURCHASES = "SELECT CAST(user_id AS VARCHAR) AS customer_id, CAST(event_id AS VARCHAR) AS order_id, ts AS order_date, value AS order_value FROM events WHERE event_type = 'purchase'"
 LAST_DAY = dt.datetime(2000, 6, 30)
-MESSY = f"""SELECT c, o, d, v, count(*) OVER () AS n FROM (
-  SELECT o_custkey AS c, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_orderkey END AS o, o_orderdate AS d,
-    CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN -o_totalprice WHEN o_orderkey % 43 = 0 THEN 0 ELSE o_totalprice END AS v, 1 + CAST(o_orderkey % 29 = 0 AS INT) AS copies FROM orders) t, range(copies)"""
+MESSY = f"""SELECT c, o, d, v, t FROM (
+  SELECT o_custkey AS c, o_orderkey % 4 AS t, CASE WHEN o_orderkey % 53 = 0 THEN NULL ELSE o_orderkey END AS o, o_orderdate AS d,
+    CASE WHEN o_orderkey % 37 = 0 THEN NULL WHEN o_orderkey % 41 = 0 THEN -o_totalprice WHEN o_orderkey % 43 = 0 THEN 0 ELSE o_totalprice END AS v, 1 + CAST(o_orderkey % 29 = 0 AS INT) AS copies FROM orders), range(copies)"""
 
 
 def r2(x: str) -> str:
@@ -150,9 +150,18 @@ def parse_money_roundtrip(spark, sf):
     return sample_orders(_t(spark, sf, "orders")).select(F.col("clean_order").alias("id"), S.parse_money(F.col("Total $")).alias("value"))
 
 
-@query("parse_date_roundtrip", "SELECT o_orderkey AS id, o_orderdate AS date FROM orders")
+#: Styles of an order's date (a midnight) or of 13:05 of that day, by turns.
+DATE_STYLES = ["dd-MM-yyyy", "MM/dd/yyyy", "yyyy-MM-dd", "MMM dd yyyy", "MMM d, yyyy", "yyyy/MM/dd", "yyyyMMdd", "d MMMM yyyy", "EEE, dd MMM yyyy", "yyyy.MM.dd", "ddMMMyyyy"]
+TIMED_STYLES = ["M/d/yyyy h:mm a", "yyyy-MM-dd h:mm a", "dd-MMM-yyyy HH:mm", "yyyy-MM-dd'T'HH:mm:ss'Z'", "MM-dd-yyyy HH:mm", "MM.dd.yyyy HH:mm:ss", "h:mm a MMM d yyyy", "yyyyMMdd'T'HHmmss", "MMMM d, yyyy HH:mm:ss.SSS"]
+STYLES = len(DATE_STYLES) + len(TIMED_STYLES)
+
+
+@query("parse_date_roundtrip", f"SELECT o_orderkey AS id, CAST(o_orderdate AS TIMESTAMP) + CASE WHEN o_orderkey % {STYLES} >= {len(DATE_STYLES)} THEN INTERVAL '13 hours 5 minutes' ELSE INTERVAL 0 SECOND END AS date FROM orders")
 def parse_date_roundtrip(spark, sf):
-    return sample_orders(_t(spark, sf, "orders")).select(F.col("clean_order").alias("id"), S.parse_date(F.col("Order Date")).alias("date"))
+    day, turn = F.col("o_orderdate").cast("timestamp"), (F.col("o_orderkey") % STYLES).cast("int")
+    later = day + F.expr("INTERVAL '13:05' HOUR TO MINUTE")
+    texts = F.array(*[F.date_format(day, x) for x in DATE_STYLES], *[F.date_format(later, x) for x in TIMED_STYLES])
+    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.parse_date(F.element_at(texts, turn + 1)).alias("date"))
 
 
 @query("parse_quantity_roundtrip", "SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem")
@@ -247,14 +256,19 @@ def drop_future(spark, sf):
     return cleaning.drop_future_orders(e, dt.datetime.combine(last.date(), dt.time())).select("id")
 
 
-@query("currency_scan", "SELECT n_nationkey % 5 AS part, list_sort(list_distinct(list_filter([CASE n_nationkey % 5 WHEN 0 THEN 'USD' WHEN 1 THEN 'BRL' WHEN 2 THEN 'EUR' WHEN 3 THEN 'JPY' END], lambda x: x IS NOT NULL))) AS currencies FROM nation GROUP BY ALL")
+CURRENCY_TEXTS = ["$5.00", "R$ 7", "12 EUR", "CNY 8", "9.99", "¥1 or JPY 1", "usd 3"]
+
+
+@query("currency_scan", f"""WITH v AS (SELECT ([{', '.join(map(repr, CURRENCY_TEXTS))}])[1 + n_nationkey % {len(CURRENCY_TEXTS)}] AS v FROM nation),
+f AS (SELECT unnest(regexp_extract_all(v, '\\b(USD|EUR|GBP|JPY|CNY|INR|AUD|CAD|KRW|RUB|BRL|CHF)\\b')) AS c FROM v UNION ALL SELECT 'BRL' FROM v WHERE contains(v, 'R$')
+  UNION ALL SELECT 'USD' FROM v WHERE contains(replace(v, 'R$', ''), '$') UNION ALL SELECT c FROM v, (VALUES ('€', 'EUR'), ('£', 'GBP'), ('¥', 'JPY'), ('₹', 'INR'), ('₩', 'KRW'), ('₽', 'RUB')) t(s, c) WHERE contains(v, s))
+SELECT list_sort(list(DISTINCT c)) AS currencies_found, count(DISTINCT c) > 1 AS mixed FROM f""")
 def currency_scan(spark, sf):
-    texts = F.array(*map(F.lit, ["$5.00", "R$ 7", "12 EUR", "CNY 8", "9.99"]))
-    rows = _t(spark, sf, "nation").select((F.col("n_nationkey") % 5).alias("part"), F.element_at(texts, F.col("n_nationkey") % 5 + 1).alias("v"))
-    return rows.groupBy("part").agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(S.currencies(F.col("v")))))).alias("currencies"))
+    texts = F.array(*map(F.lit, CURRENCY_TEXTS))
+    return cleaning.currency_scan(_t(spark, sf, "nation").select(F.element_at(texts, F.col("n_nationkey") % len(CURRENCY_TEXTS) + 1).alias("order_value")))
 
 
-@query("currency_scan_orders", "SELECT ['USD'] AS currencies_found, false AS mixed")
+@query("currency_scan_orders", "SELECT list(DISTINCT c) AS currencies_found, count(DISTINCT c) > 1 AS mixed FROM (SELECT 'USD' AS c FROM orders WHERE o_orderkey % 4 IN (0, 2) AND o_orderkey % 37 <> 0 AND (o_orderkey % 41 = 0 OR o_orderkey % 43 <> 0))")
 def currency_scan_orders(spark, sf):
     return cleaning.currency_scan(messy(spark, sf))
 
@@ -262,12 +276,18 @@ def currency_scan_orders(spark, sf):
 _STEPS = f"""WITH m AS ({MESSY}), k AS (SELECT *, v IS NULL OR o IS NULL AS missing FROM m), g AS (SELECT c, o, d, v, count(*) AS n FROM k WHERE NOT missing GROUP BY ALL)"""
 
 
-@query("cleaning_report", f"""{_STEPS}
-SELECT (SELECT count(*) FROM k) AS rows_in, (SELECT count(*) FILTER (missing) FROM k) AS null_required, CAST(sum(n - 1) AS BIGINT) AS duplicates, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v = 0) AS zero,
-  count(*) FILTER (v > 0 AND d > TIMESTAMP '{LAST_DAY}') AS future_orders, count(*) FILTER (v > 0 AND d <= TIMESTAMP '{LAST_DAY}') AS rows_out, count(DISTINCT CASE WHEN v > 0 AND d <= TIMESTAMP '{LAST_DAY}' THEN c END) AS n_customers FROM g""")
+GOOD = f"v > 0 AND d <= TIMESTAMP '{LAST_DAY}'"
+
+
+@query("cleaning_report", f"""{_STEPS}, s AS (SELECT c, count(DISTINCT t) AS n FROM k GROUP BY 1)
+SELECT count(*) AS rows_in, count(*) FILTER (missing) AS null_required, 0::BIGINT AS null_customer_id, count(*) FILTER (o IS NULL) AS null_order_id, 0::BIGINT AS null_order_date, count(*) FILTER (v IS NULL) AS null_order_value,
+  count(*) FILTER (o IS NULL) AS duplicate_placeholders, count(*) FILTER (o IS NULL) AS nulled, list_sort(list(DISTINCT u) FILTER (u IS NOT NULL)) AS currencies_found, count(DISTINCT u) > 1 AS mixed, {', '.join(f'any_value({x}) AS {x}' for x in ('duplicates', 'negative', 'zero', 'future_orders', 'rows_out', 'n_customers', 'first_date', 'last_date', 'ids_before', 'ids_after', 'merged_groups'))},
+  count(*) - any_value(rows_out) AS rows_dropped, any_value(rows_out) AS n_orders
+FROM (SELECT k.*, CASE WHEN t IN (0, 2) AND v <> 0 THEN 'USD' END AS u FROM k), (SELECT CAST(sum(n - 1) AS BIGINT) AS duplicates, count(*) FILTER (v < 0) AS negative, count(*) FILTER (v = 0) AS zero,
+  count(*) FILTER (v > 0 AND d > TIMESTAMP '{LAST_DAY}') AS future_orders, count(*) FILTER ({GOOD}) AS rows_out, count(DISTINCT CASE WHEN {GOOD} THEN c END) AS n_customers, min(CASE WHEN {GOOD} THEN d END) AS first_date, max(CASE WHEN {GOOD} THEN d END) AS last_date FROM g) g,
+  (SELECT CAST(sum(n) AS BIGINT) AS ids_before, count(*) AS ids_after, count(*) FILTER (n > 1) AS merged_groups FROM s) i""")
 def cleaning_report(spark, sf):
-    report = cleaning.clean(messy(spark, sf), LAST_DAY).report
-    return report.select("rows_in", "null_required", "duplicates", "negative", "zero", "future_orders", "rows_out", "n_customers")
+    return cleaning.clean(messy(spark, sf), LAST_DAY).report.drop("merge_examples", "duplicate_ids")
 
 
 @query("clean_lines", f"{_STEPS} SELECT c AS customer, count(*) AS n, {r2(total('v'))} AS value FROM g WHERE v > 0 AND d <= TIMESTAMP '{LAST_DAY}' GROUP BY 1")

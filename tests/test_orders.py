@@ -349,3 +349,26 @@ def test_pipeline_and_stream(spark, tmp_path, export):
     stream = {r["customer_id"]: r["cluster"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
     assert stream == {r["customer_id"]: r["cluster"] for r in labelled.collect()}
     p.forget()
+
+
+def test_an_odd_byte_at_the_end_decides_the_encoding(spark, tmp_path):
+    body = "Cust,Order,Note\n" + "".join(f"{i},{i},plain text to fill the file\n" for i in range(4000))
+    (tmp_path / "late.csv").write_bytes((body + "9,9,café\n").encode("latin-1"))
+    assert files.text_facts(spark, str(tmp_path / "late.csv")) == ("ISO-8859-1", False)
+    df = files.load_raw_file(spark, str(tmp_path / "late.csv"))
+    assert df.count() == 4001 and df.filter("Note = 'café'").count() == 1
+    (tmp_path / "open.csv").write_text('a,b\n1,"two\nlines"\n3,"say ""x"""\n')
+    assert files.text_facts(spark, str(tmp_path / "open.csv"))[1]
+    assert [r["b"] for r in files.load_raw_file(spark, str(tmp_path / "open.csv")).orderBy("_row_id").collect()] == ["two\nlines", 'say "x"']
+
+
+def test_report_counts_derived_rows_and_shows_examples(spark):
+    rows = [("c1", "a", "2024-01-02", None, "2", "3.5"), ("C01", "a", "2024-01-02", None, "2", "3.5"), ("c1", "b", "2024-01-03", "9", "1", "1"), (None, "c", "2024-01-03", "9", "1", "1")]
+    raw = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "customer_id string, order_id string, order_date string, order_value string, quantity string, unit_price string, _row_id long")
+    done = cleaning.clean(raw, LATE)
+    r = done.report_dict()
+    assert (r["rows_computed"], r["duplicates"], r["null_required"], r["rows_out"], r["merged_groups"]) == (2, 1, 1, 2, 1)
+    assert r["merge_examples"] == [{"merged_to": "c1", "variants": ["c1", "C01"]}] and r["duplicate_ids"] == ["a"]
+    assert {(x["customer_id"], x["order_id"], x["order_value"]) for x in done.lines.collect()} == {("c1", "a", 7.0), ("c1", "b", 9.0)}
+    assert any("2 rows" in w for w in cleaning.warnings(r))
+    done.release()
