@@ -16,6 +16,8 @@ WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday",
 #: Years that a value may have (those of 64-bit nanoseconds).
 FIRST_YEAR, LAST_YEAR = 1678, 2261
 
+#: Characters of white space that are cut off at both ends.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 _TIME = r"(?:^|(?<=\d)t|[\s,]+)(?:(\d{1,2}):(\d{2})(?::(\d{2})(?:[.,](\d{1,6})\d*)?)?\s*(?:([ap])\.?m\b\.?)?|(\d{1,2})\s*([ap])\.?m\b\.?)"
 _ZONE = r"(?:\s*(?:z|utc|gmt|([+-]\d{2}):?(\d{2})?)(?=$|\s))?(?=$|[\s,])"
 #: The usual shapes: day-month-year, month/day/year, year first with or without a time, a month's name with day and year.
@@ -116,7 +118,7 @@ def _any_shape(first: Column, day_first: bool) -> Column:
 
 
 def _trimmed(c: Column) -> Column:
-    return F.lower(F.regexp_replace(c, r"(?U)^\s+|\s+$", ""))
+    return F.lower(F.btrim(c, F.lit(BLANKS)))
 
 
 def parse_mixed(c: Column, day_first: bool = False) -> Column:
@@ -130,8 +132,9 @@ def parse_date(c: Column) -> Column:
     """As ``parse_mixed``, but bare d-m-yyyy is day first and bare m/d/yyyy month first, whatever else is possible."""
     t = _trimmed(c)
     number = ((F.position(F.substring(t, 1, 3), F.lit("".join(m[:3] for m in MONTHS))) + 2) / 3).cast("int").cast("string")
-    iso = (  # the usual shapes, each put into year-month-day by one pattern
-        F.when(t.rlike(_DASHES), F.regexp_replace(t, _DASHES, "$3-$2-$1")).when(t.rlike(_SLASHES), F.regexp_replace(t, _SLASHES, "$3-$1-$2"))
-        .when(t.rlike(_ISO), F.regexp_replace(t, _ISO, "$1-$2-$3$4")).when(t.rlike(_NAMED), F.replace(F.regexp_replace(t, _NAMED, "$2-m-$1"), F.lit("m"), number))
+    named = F.replace(F.regexp_replace(t, _NAMED, "$2-m-$1"), F.lit("m"), number)
+    iso = lambda x: x.try_cast("timestamp_ntz")
+    return (  # the usual shapes are put into year-month-day by one pattern each
+        F.when(t.rlike(_DASHES), iso(F.regexp_replace(t, _DASHES, "$3-$2-$1"))).when(t.rlike(_SLASHES), iso(F.regexp_replace(t, _SLASHES, "$3-$1-$2")))
+        .when(t.rlike(_ISO), iso(F.regexp_replace(t, _ISO, "$1-$2-$3$4"))).when(t.rlike(_NAMED), iso(named)).otherwise(_any_shape(t, False))
     )
-    return F.when(t.rlike(f"{_DASHES}|{_SLASHES}|{_ISO}|{_NAMED}"), iso.try_cast("timestamp_ntz")).otherwise(_any_shape(t, False))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dates import parse_date, parse_mixed  # noqa: F401
+from .dates import BLANKS, parse_date, parse_mixed  # noqa: F401
 
 #: Spellings of missing values, per kind of column, and number words.
 QUANTITY_NULLS = ["", "nan", "<na>", "none", "null", "n/a", "na", "unknown"]
@@ -21,7 +21,7 @@ CURRENCY_CODES = ["USD", "EUR", "GBP", "JPY", "CNY", "INR", "AUD", "CAD", "KRW",
 
 def strip(c: Column) -> Column:
     """Without white space (Unicode) at both ends."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def text_or_null(c: Column) -> Column:

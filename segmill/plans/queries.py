@@ -161,7 +161,8 @@ def parse_date_roundtrip(spark, sf):
     day, turn = F.col("o_orderdate").cast("timestamp"), (F.col("o_orderkey") % STYLES).cast("int")
     later = day + F.expr("INTERVAL '13:05' HOUR TO MINUTE")
     texts = F.array(*[F.date_format(day, x) for x in DATE_STYLES], *[F.date_format(later, x) for x in TIMED_STYLES])
-    return _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), S.parse_date(F.element_at(texts, turn + 1)).alias("date"))
+    rows = _t(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.element_at(texts, turn + 1).alias("text"))
+    return rows.select("id", S.parse_date(F.col("text")).alias("date"))
 
 
 @query("parse_quantity_roundtrip", "SELECT l_orderkey AS id, l_linenumber AS line, CAST(l_quantity AS BIGINT) AS quantity FROM lineitem")
