@@ -2,43 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL_SCRATCH: list[str] = []
-
+from ..scratch import Scratch, materialize, scratch_dir  # noqa: F401
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; in local mode without one, a folder of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _LOCAL_SCRATCH:
-        _LOCAL_SCRATCH.append(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
-    return f"file://{_LOCAL_SCRATCH[0]}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared scratch folder and reads it back: lineage ends at files that outlive any executor."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def tasks_for(table: DataFrame) -> int:
+    """Tasks to deal a table's rows to: as many as shuffles have, more if its files are read in more pieces than that."""
+    return max(shuffle_partitions(table.sparkSession), table.rdd.getNumPartitions())
+
+
 def slices(texts: list, size: Callable = len, most: int = 4_000_000, rows: int = 2_000) -> Iterator[tuple[int, int]]:
     """(from, to) of runs of ``texts`` that hold about ``most`` characters, so that arrays over a run stay small; whole texts only."""
     begin, total = 0, 0

@@ -6,8 +6,9 @@ context without its first byte; a context never seen passes on free of charge; b
 statistics are frozen, so a text's code length is a sum over its bytes, and the whole cost of each n-gram that any language has
 seen is worked out once; only n-grams that none has seen are escaped step by step. The shortest code names the language.
 
-The trees are learned from at most about ``TRAIN_ROWS`` rows per language (chosen by a hash of the text, texts of at most
-``TRAIN_CHARS`` characters), which is the documented bound of this classifier's sample. Texts are scored whole.
+The trees are learned from at most ``TRAIN_ROWS`` distinct excerpts of at most ``TRAIN_CHARS`` characters for each of the ``LANGUAGES``
+most frequent languages: whole texts if they are that short, else a stretch whose place a hash decides, and of a language's excerpts
+those with the least hashes. These are the documented bounds of this classifier's sample. Texts are scored whole.
 
 score is the share of the winner's probability 2**-bits among all languages. Null text and text without a letter are ``und`` with
 score 0, as is everything if nothing was learned. Ties go to the first language by name. Rows are independent; an empty table gives
@@ -21,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -29,9 +30,11 @@ from .common import read_table, slices
 from .hashing import Lookup
 
 ORDER = 3
-TRAIN_ROWS, TRAIN_CHARS = 1_000, 20_000
+TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 1_000, 20_000, 100
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
+#: The same for Spark.
+LETTERS = r"[\p{L}\p{No}\p{Nl}]"
 
 
 def padded(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -150,15 +153,18 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def train(rows: DataFrame) -> PartialMatching:
-    """rows: text, lang. The driver gets at most about TRAIN_ROWS texts of a language."""
-    usable = rows.filter("text IS NOT NULL AND lang IS NOT NULL").filter(F.length("text").between(1, TRAIN_CHARS))
-    counts = {r["lang"]: r["count"] for r in usable.groupBy("lang").count().collect()}
-    if not counts:
-        return PartialMatching({})
-    share = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(min(1.0, TRAIN_ROWS / n)))])
-    chosen = usable.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_003)) < share[F.col("lang")] * 1_000_003)
+    """rows: text, lang. The driver gets at most LANGUAGES times TRAIN_ROWS excerpts. Copies of a text count once."""
+    usable = rows.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", "text")
+    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    h = F.xxhash64("text")
+    begin = F.pmod(h, F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    excerpt = F.when(F.length("text") > TRAIN_CHARS, F.substring("text", begin, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
+    some = F.pmod(h, F.lit(1 << 20)) * F.col("count") < F.lit(2 * TRAIN_ROWS << 20)  # about twice as many rows as are wanted, copies included
+    near = usable.join(F.broadcast(common), "lang").filter(some).select("lang", h.alias("h"), excerpt.alias("text"))  # LANGUAGES rows at most
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # a task sends TRAIN_ROWS rows of a language at most
+    chosen = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("r", least).filter(F.col("r") <= TRAIN_ROWS)
     samples: dict[str, list[bytes]] = {}
-    for r in chosen.select("lang", "text").orderBy("lang", F.xxhash64("text"), "text").collect():
+    for r in chosen.select("lang", "text", "r").orderBy("lang", "r").collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())
     return PartialMatching(samples)
 

@@ -4,7 +4,7 @@ A document's set holds its distinct shingles of five words (words: runs of anyth
 fewer words the whole sequence is the only shingle. Documents are linked if 100 * |A and B| >= percent * |A or B|; a component is
 everything that links reach.
 
-1. Documents with equal sets (128-bit hash) share one representative, the smallest doc_id; only representatives go on.
+1. Documents with equal sets (128-bit hash) share one representative with a number of its own; only representatives go on.
 2. Each set gets a SetSketch: register i is floor(1 - log_b x), x the minimum of exponentially distributed hashes of the elements,
    truncated to 16 bits. Sketches of unions are register-wise maxima; with b near 1 two registers agree about as often as sets do.
    Beside it lie the parities of ``PARITIES`` hashed cells: cells of odd difference never outnumber the elements that only one of
@@ -22,13 +22,15 @@ With 32 bands of 6 registers a pair at the limit 0.85 is missed with a probabili
 links join it anyway).
 
 Null and empty texts, and texts of white space only, have an empty set: they are linked with nothing and are kept. Rows with a null
-doc_id are linked with nothing; their component_id is null and they are kept. Repeated rows are equal sets and stay in the result. An
-empty table gives no rows. Only doc_id and text are read, so other columns may have any name.
+doc_id are linked with nothing; their component_id is null and they are kept. Repeated rows are equal sets and stay in the result; rows
+that share a doc_id but not the text are documents of their own, each with its component. Long texts are hashed whole, sketches and
+sets in bounded pieces. An empty table gives no rows. Only doc_id and text are read, so other columns may have any name. All tables but
+the result are deleted at the end.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, read_table, shuffle_partitions, slices, unique_columns
+from .common import Scratch, materialize, read_table, slices, tasks_for, unique_columns
 from .hashing import mixed, run_hashes
 
 SHINGLE, BANDS, ROWS = 5, 32, 6
@@ -147,8 +149,7 @@ def sketches(docs: DataFrame) -> DataFrame:
             texts = [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, most=500_000):
                 sets = shingle_sets(texts[a:b])
-                k1 = [int(s.sum().astype(np.int64)) if len(s) else 0 for s in sets]
-                k2 = [int(mixed(s ^ _PLACES[0]).sum().astype(np.int64)) if len(s) else 0 for s in sets]
+                k1, k2 = zip(*map(_set_hash, sets))
                 both = pa.array([sketch(s).tobytes() + parities(s).tobytes() if len(s) else None for s in sets], pa.binary())
                 yield _batch("doc_id n_shingles k1 k2 sketch", batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), both)
 
@@ -165,8 +166,12 @@ def _bands(reps: DataFrame) -> DataFrame:
     return reps.select("id", "sketch").mapInArrow(run, "key long, id long")
 
 
+#: Writes a table under a name and reads it back.
+Keep = Callable[[DataFrame, str], DataFrame]
+
+
 def _sorted(rows: DataFrame, *by: str) -> DataFrame:
-    return rows.repartitionByRange(shuffle_partitions(rows.sparkSession), *by).sortWithinPartitions(*by)
+    return rows.repartitionByRange(tasks_for(rows), *by).sortWithinPartitions(*by)
 
 
 def _shared(rows: DataFrame) -> DataFrame:
@@ -197,7 +202,7 @@ def _shared(rows: DataFrame) -> DataFrame:
     return _sorted(rows, "key", "id").mapInArrow(run, "key long, id long")
 
 
-def _one_per_component(rows: DataFrame, name: str) -> DataFrame:
+def _one_per_component(rows: DataFrame, name: str, keep: Keep) -> DataFrame:
     """rows: key, id, comp. Pairs (a < b) of one member of each bucket's first component with one member of each other component; which
     members differs from bucket to bucket and from call to call. Tasks report their first and last bucket, and the driver joins
     buckets that span tasks (two rows for each task)."""
@@ -226,7 +231,7 @@ def _one_per_component(rows: DataFrame, name: str) -> DataFrame:
 
     spark = rows.sparkSession
     ordered = _sorted(rows.select("key", "comp", F.xxhash64("id", "key", F.lit(name)).alias("turn"), "id"), "key", "comp", "turn", "id")
-    found = materialize(ordered.mapInArrow(run, "a long, b long, task int, edge int, key long, comp long"), name)
+    found = keep(ordered.mapInArrow(run, "a long, b long, task int, edge int, key long, comp long"), name)
     edges = sorted(found.filter("task IS NOT NULL").select("task", "edge", "key", "a", "comp").collect())
     ends: list[tuple[int, int]] = []
     lead = None
@@ -241,12 +246,12 @@ def _one_per_component(rows: DataFrame, name: str) -> DataFrame:
     return pairs.unionByName(spark.createDataFrame(ends, "a long, b long")) if ends else pairs
 
 
-def _between_components(rows: DataFrame, members: DataFrame, limit: float) -> DataFrame:
+def _between_components(rows: DataFrame, members: DataFrame, limit: float, keep: Keep) -> DataFrame:
     """All pairs of members of different components that share a bucket and may be linked; rows: key, id, comp. Buckets are dealt into
     blocks of about BLOCK members, and a task sees two blocks at a time; a pair comes from the first band that it shares only."""
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    keys = materialize(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
-    rows = materialize(rows.join(keys, "key"), "mixed-rows")
+    keys = keep(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    rows = keep(rows.join(keys, "key"), "mixed-rows")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.join(members, "id").select("key", "id", "comp", "n", "sketch", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "id", "comp", "n", "sketch")
@@ -301,17 +306,22 @@ def _likely(pairs: DataFrame, members: DataFrame, limit: float) -> DataFrame:
     return joined.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def _set_hash(s: np.ndarray) -> tuple[int, int]:
+    return (int(s.sum().astype(np.int64)), int(mixed(s ^ _PLACES[0]).sum().astype(np.int64))) if len(s) else (0, 0)
+
+
 def _whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, elements: the members' sets, made from their texts."""
+    """id, elements: the members' sets, made from texts of their doc_id that have the set's hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts, wanted = batch.column(3).to_pylist(), list(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()))
             for a, b in slices(texts, most=500_000):
-                yield _batch("id elements", batch.column(0).slice(a, b - a), pa.array([s.tobytes() for s in shingle_sets(texts[a:b])], pa.binary()))
+                found = [(i, s) for i, s in enumerate(shingle_sets(texts[a:b]), a) if _set_hash(s) == wanted[i]]
+                yield _batch("id elements", batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary()))
 
-    texts = docs.join(members.select(F.col("id").alias("doc_id")), "doc_id").groupBy(F.col("doc_id").alias("id")).agg(F.first("text").alias("text"))
-    return texts.mapInArrow(run, "id long, elements binary")
+    texts = docs.join(members.select("id", "k1", "k2", F.col("doc").alias("doc_id")), "doc_id").select("id", "k1", "k2", "text").filter("text IS NOT NULL")
+    return texts.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.first("elements").alias("elements"))  # equal ones
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -330,69 +340,80 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "ea", "eb").mapInArrow(run, "a long, b long, linked boolean")
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, keep: Keep = materialize) -> DataFrame:
     """id, comp: for every id that occurs in links (a, b), the smallest id it is connected with. Every joined table is read from files,
     so that ids with very many links split between tasks."""
-    edges = materialize(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
+    edges = keep(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     done = None
     while not edges.isEmpty():
-        up = materialize(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp")), "hooks")  # to a smaller id: no cycles
+        up = keep(edges.groupBy(F.col("b").alias("id")).agg(F.min("a").alias("comp")), "hooks")  # to a smaller id: no cycles
         while True:
             above = up.select(F.col("id").alias("comp"), F.col("comp").alias("top"))
             step = up.join(above, "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"), F.col("top").isNotNull().alias("moved"))
-            step = materialize(step, "jumps")
+            step = keep(step, "jumps")
             up, moved = step.select("id", "comp"), not step.filter("moved").isEmpty()
             if not moved:
                 break
         to = lambda k: up.select(F.col("id").alias(k), F.col("comp").alias(f"{k}_top"))
         rest = edges.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("a_top", "a").alias("x"), F.coalesce("b_top", "b").alias("y"))
-        edges = materialize(rest.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
+        edges = keep(rest.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "edges")
         if done is None:
             done = up
         else:
             moved_on = done.join(up.select(F.col("id").alias("comp"), F.col("comp").alias("top")), "comp", "left").select("id", F.coalesce("top", "comp").alias("comp"))
-            done = materialize(moved_on.unionByName(up), "components")
+            done = keep(moved_on.unionByName(up), "components")
     roots = lambda d: d.unionByName(d.select(F.col("comp").alias("id"), "comp").distinct())
-    return links.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0) if done is None else materialize(roots(done), "components")
+    return links.select(F.col("a").alias("id"), F.col("b").alias("comp")).limit(0) if done is None else keep(roots(done), "components")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = unique_columns(docs, ["doc_id", "text"])
     docs = docs.withColumn("doc_id", F.col("doc_id").cast("long"))
-    all_sketches = materialize(sketches(docs), "sketches")
+    scratch = Scratch(docs.sparkSession, "near-duplicates")
+    keep = scratch.keep
+    all_sketches = keep(sketches(docs), "sketches")
     of = all_sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-    reps = materialize(of.agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "representatives")
-    buckets = materialize(_shared(_bands(reps)), "buckets")
-    members = materialize(reps.join(buckets.select("id").distinct(), "id").select("id", "n", "sketch"), "members")
-    sets, several = materialize(_whole_sets(docs, members), "sets"), members.count()
+    reps = of.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    reps = keep(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
+    buckets = keep(_shared(_bands(reps)), "buckets")
+    members = keep(reps.join(buckets.select("id").distinct(), "id").select("id", "doc", "k1", "k2", "n", "sketch"), "members")
+    sets, several = keep(_whole_sets(docs, members), "sets"), members.count()
     tested, comps, turn, whole = None, None, 0, several == 0
     while not whole:
         if comps is None:
             rows = buckets.withColumn("comp", F.col("id"))
         else:
-            rows = materialize(buckets.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "bucket-components")
+            rows = keep(buckets.join(comps, "id", "left").select("key", "id", F.coalesce("comp", "id").alias("comp")), "bucket-components")
         whole = turn > 0 and new * 100 < several
         if whole:
-            likely = _between_components(rows, members, percent / 100)
+            likely = _between_components(rows, members, percent / 100, keep)
         else:
-            pairs = _one_per_component(rows, f"pairs-{turn}")
+            pairs = _one_per_component(rows, f"pairs-{turn}", keep)
             if turn:
                 pairs = pairs.distinct().join(tested.select("a", "b"), ["a", "b"], "left_anti")
             else:  # one attempt for each member: the partner that it met in most buckets
                 pairs = pairs.groupBy("a", "b").count().groupBy("b").agg(F.max_by("a", F.struct("count", "a")).alias("a")).select("a", "b")
-            likely = _likely(materialize(pairs, "candidates"), members, percent / 100)
-        result = materialize(_verified(materialize(likely, "likely"), sets, percent), "verified")
+            likely = _likely(keep(pairs, "candidates"), members, percent / 100)
+        result = keep(_verified(keep(likely, "likely"), sets, percent), "verified")
         tested = result if tested is None else tested.unionByName(result)
         new = result.filter("linked").count()
         if new:
-            comps = components(tested.filter("linked"))
+            comps = components(tested.filter("linked"), keep)
         turn += 1
-    found = materialize(reps.join(comps, "id", "left").select("k1", "k2", F.coalesce("comp", "id").alias("component_id")), "groups") if comps is not None else reps.select("k1", "k2", F.col("id").alias("component_id"))
+    found = reps.select("k1", "k2", F.col("doc").alias("component_id"))
+    if comps is not None:
+        of = reps.select("k1", "k2", "id", "doc").join(comps, "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+        first = of.groupBy("comp").agg(F.min("doc").alias("component_id"))
+        found = keep(of.join(first, "comp").select("k1", "k2", "component_id"), "groups")
     linkable = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
-    keyed = all_sketches.select("doc_id", "n_shingles", F.when(linkable, F.col("k1")).alias("k1"), F.when(linkable, F.col("k2")).alias("k2"))
+    nothing = F.when(~linkable, F.coalesce("doc_id", F.monotonically_increasing_id()))  # rows without a set don't meet in one task
+    keyed = all_sketches.select("doc_id", "n_shingles", F.coalesce(nothing, "k1").alias("k1"), F.when(linkable, F.col("k2")).alias("k2"))
     out = keyed.join(found, ["k1", "k2"], "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+    out = materialize(out, "near-duplicates")
+    scratch.drop()
+    return out
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

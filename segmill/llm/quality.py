@@ -7,8 +7,8 @@ either side, scaled to length one. Partial sums are merged by blocks of buckets.
 mean product of neighbouring word vectors (high where words repeat), and shares of kinds of tokens. A network of two layers in numpy
 gives a logit; a temperature fitted on rows that training didn't see calibrates it.
 
-The network is trained on at most about ``TRAIN_ROWS`` labelled rows chosen by a hash of doc_id (the documented bound of this
-classifier's sample); word vectors use all documents, scoring uses whole texts. Labels, lang, source and doc_id are never inputs.
+The network is trained on at most ``TRAIN_ROWS`` labelled texts chosen by hashes of doc_id and text, copies of one counting once (the
+documented bound of this classifier's sample); word vectors use all documents, scoring uses whole texts. Labels, lang, source and doc_id are never inputs.
 Rows of ``labels`` with null doc_id or quality are ignored, several for one doc_id are averaged and ties between 0 and 1 dropped.
 With no usable labels, or labels of one class, the score is that class's share (0.5 without labels).
 
@@ -124,6 +124,19 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     return (out / np.maximum(np.sqrt((out**2).sum(1)), 1e-9)[:, None]).astype(np.float32)
 
 
+def _stretches(starts: np.ndarray, n: int, most: int = 100_000) -> Iterator[tuple[int, int]]:
+    """Runs of at most ``most`` tokens. Texts are cut only if they are longer, and then at the same places whatever stands around them."""
+    ends, lo = np.append(starts[1:], n), 0
+    for a, b in zip(starts.tolist(), ends.tolist()):
+        if b - lo > most and a > lo:
+            yield lo, a
+            lo = a
+        while b - lo > most:
+            yield lo, lo + most
+            lo += most
+    yield lo, n
+
+
 def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:
     """Features of each text: mean vector, mean product of neighbours, shares."""
     out = np.zeros((words.n, 2 * DIM + STATS), np.float32)
@@ -132,12 +145,18 @@ def pooled(words: Words, vectors: np.ndarray) -> np.ndarray:
     starts = np.flatnonzero(np.append(True, words.text[1:] != words.text[:-1]))
     who = words.text[starts]
     count = np.diff(np.append(starts, len(words.text))).astype(np.float32)
-    v = vectors[words.bucket]
-    out[who, :DIM] = np.add.reduceat(v, starts, axis=0) / count[:, None]
-    pairs = np.zeros_like(v)
-    np.multiply(v[1:], v[:-1], out=pairs[1:])
-    pairs[starts] = 0
-    out[who, DIM : 2 * DIM] = np.add.reduceat(pairs, starts, axis=0) / count[:, None]
+    for lo, hi in _stretches(starts, len(words.bucket)):
+        text = words.text[lo:hi]
+        at = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+        v = vectors[words.bucket[lo:hi]]
+        out[text[at], :DIM] += np.add.reduceat(v, at, axis=0)
+        pairs = np.zeros_like(v)
+        np.multiply(v[1:], v[:-1], out=pairs[1:])
+        pairs[at] = 0
+        if lo and words.text[lo - 1] == text[0]:
+            pairs[0] = v[0] * vectors[words.bucket[lo - 1]]
+        out[text[at], DIM : 2 * DIM] += np.add.reduceat(pairs, at, axis=0)
+    out[who, : 2 * DIM] /= count[:, None]
     mean = lambda x: np.add.reduceat(x.astype(np.float32), starts) / count
     letters = words.kind == LETTERS
     stats = [np.log1p(count) / 10, mean(letters), mean(words.kind == DIGITS), mean(words.kind == SIGNS), mean(letters & words.capitals & (words.size > 1)), mean(words.same), mean(np.minimum(words.size, 40)) / 10, mean((words.kind == SIGNS) & (words.size > 1)), mean((words.size > 20) & letters), mean((words.kind == SIGNS) & words.same)]
@@ -211,8 +230,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     docs = unique_columns(docs, ["doc_id", "text"])
     vectors = word_vectors(docs)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("q")).dropna().groupBy("doc_id").agg(F.avg("q").alias("q")).filter("q <> 0.5")
-    one_in = max(1, -(-known.count() // TRAIN_ROWS))
-    chosen = known.filter(F.pmod(F.xxhash64("doc_id"), F.lit(one_in)) == 0).withColumnRenamed("doc_id", "_id")
+    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).withColumnRenamed("doc_id", "_id")
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,8 +240,9 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
                 x = pooled(Words(texts[a:b]), shared.value)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array([r.tobytes() for r in x], pa.binary())], ["key", "q", "x"])
 
-    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("text", F.xxhash64("doc_id", "text").alias("key"), "q")  # about TRAIN_ROWS ids
-    rows = picked.mapInArrow(features, "key long, q double, x binary").orderBy("key").collect()
+    picked = docs.join(F.broadcast(chosen), docs["doc_id"] == chosen["_id"]).select("text", F.xxhash64("doc_id", "text").alias("key"), "q")  # TRAIN_ROWS ids at most
+    once = picked.mapInArrow(features, "key long, q double, x binary").groupBy("key").agg(F.first("q").alias("q"), F.first("x").alias("x"))  # equal ones
+    rows = once.orderBy("key").limit(TRAIN_ROWS).collect()
     x = np.array([np.frombuffer(r["x"], np.float32) for r in rows], np.float64).reshape(-1, 2 * DIM + STATS)
     return Scorer(vectors, fit(x, np.array([r["q"] > 0.5 for r in rows], float)))
 

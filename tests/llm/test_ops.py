@@ -184,6 +184,13 @@ def test_near_duplicates_edges(docs, none):
     assert neardup.near_duplicates(none, 85).count() == 0
 
 
+def test_texts_of_one_doc_id_are_documents_of_their_own(spark):
+    rows = [(5, BASE), (5, prose(7, 50)), (9, BASE + " one"), (7, prose(7, 50)), (5, BASE), (3, prose(9, 60))]
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 85).collect())
+    size = lambda t: len(plain_sets(t))
+    assert got == sorted([(5, size(BASE), 5, True)] * 2 + [(5, size(prose(7, 50)), 5, True), (9, size(BASE + " one"), 5, False), (7, size(prose(7, 50)), 5, False), (3, size(prose(9, 60)), 3, True)])
+
+
 def test_near_duplicates_chains_and_groups(spark):
     rng = np.random.default_rng(3)
     rows = []
@@ -271,6 +278,18 @@ def test_language_edges(docs, none, spark):
     assert {r["lang_pred"] for r in langid.identify(docs, langid.train(none.select("text", "lang"))).collect()} == {"und"}
 
 
+def test_language_samples_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
+    monkeypatch.setattr(langid, "TRAIN_CHARS", 50)
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    rows = [("the same text", "en")] * 400 + [(prose(i, 30), "en") for i in range(100)] + [(prose(i, 4), f"x{i}") for i in range(30)] + [("y" * 5000, "de")] * 3 + [("z", "fr")] * 2
+    found = []
+    monkeypatch.setattr(langid, "PartialMatching", lambda samples, *a: found.append(samples))
+    langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    assert set(found[0]) == {"en", "de", "fr"} and 5 <= len(found[0]["en"]) <= 20 and len(set(found[0]["en"])) == len(found[0]["en"])
+    assert [len(t) for t in found[0]["de"]] == [50] and all(len(t) <= 50 for t in found[0]["en"])
+
+
 def test_language_held_out_accuracy(spark):
     got = langid.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 20 and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9
@@ -355,6 +374,54 @@ def test_context_sums_equal_plain_counts():
     assert (quality.context_sums(words, index) == want).all()
 
 
+def test_scores_equal_a_plain_version():
+    """Pooling, network, temperature and scores, word by word."""
+    texts = ["one two two one three", "", "A B!! 12 12 word", prose(5, 400), "x"]
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    words = quality.Words(texts)
+    got = quality.pooled(words, vectors)
+    for k in range(len(texts)):
+        at = np.flatnonzero(words.text == k)
+        if not len(at):
+            assert (got[k] == 0).all()
+            continue
+        v = vectors[words.bucket[at]].astype(float)
+        assert np.allclose(got[k][: quality.DIM], v.mean(0), atol=1e-5)
+        assert np.allclose(got[k][quality.DIM : 2 * quality.DIM], sum(v[i] * v[i - 1] for i in range(1, len(at))) / len(at) if len(at) > 1 else 0, atol=1e-5)
+        kinds = words.kind[at]
+        assert np.allclose(got[k][2 * quality.DIM : 2 * quality.DIM + 4], [math.log1p(len(at)) / 10, *[np.mean(kinds == c) for c in (quality.LETTERS, quality.DIGITS, quality.SIGNS)]], atol=1e-5)
+    x, y = rng.normal(size=(200, 6)), (rng.random(200) < 0.5).astype(float)
+    x[:, 0] += 3 * y
+    net = quality.fit(x, y)
+    score = net.scores(x)
+    for i in range(0, 200, 37):
+        hidden = [max(0.0, sum((x[i][a] - net.mean[a]) / net.scale[a] * net.w1[a][h] for a in range(6)) + net.b1[h]) for h in range(quality.HIDDEN)]
+        assert abs(score[i] - 1 / (1 + math.exp(-(sum(h * w for h, w in zip(hidden, net.w2)) + net.b2) / net.temperature))) < 1e-9
+    back = np.random.default_rng(quality.SEED).permutation(200)[:40]
+    loss = lambda t: float(np.mean([math.log1p(math.exp(-abs(z))) + max(z, 0) - c * z for z, c in zip(net.logits(x[back]) / t, y[back])]))
+    assert all(loss(net.temperature) <= loss(t) + 1e-12 for t in np.exp(np.linspace(math.log(0.25), math.log(8), 60)))
+
+
+def test_long_texts_are_pooled_in_stretches(monkeypatch):
+    vectors = np.random.default_rng(2).normal(size=(quality.BUCKETS, quality.DIM)).astype(np.float32)
+    texts = [prose(3, 700), "short one", prose(4, 50)]
+    whole = quality.pooled(quality.Words(texts), vectors)
+    cut = quality._stretches
+    monkeypatch.setattr(quality, "_stretches", lambda starts, n: cut(starts, n, 64))
+    assert np.allclose(quality.pooled(quality.Words(texts), vectors), whole, atol=1e-5)
+
+
+def test_quality_sample_is_bounded(spark, monkeypatch):
+    monkeypatch.setattr(quality, "TRAIN_ROWS", 30)
+    seen = []
+    plain = quality.fit
+    monkeypatch.setattr(quality, "fit", lambda x, y: (seen.append(len(y)), plain(x, y))[1])
+    docs = spark.createDataFrame([(1, prose(i, 5)) for i in range(200)] + [(2, "copy copy")] * 100, "doc_id long, text string")
+    quality.train(docs, spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, quality int"))
+    assert seen == [30]
+
+
 def test_quality_edges(docs, none, spark):
     labels = spark.createDataFrame([(1, 1), (2, 1), (6, 0), (9, 0), (9, 1), (None, 1), (10, None)], "doc_id long, quality int")
     scorer = quality.train(docs, labels)

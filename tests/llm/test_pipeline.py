@@ -71,6 +71,30 @@ def test_odd_tables(spark, tmp_path):
         assert cp.run(spark, str(tmp_path / name)).count() == sum(1 for _ in cp.packing_stage(spark, now, "").collect())
 
 
+def test_no_distinct_text_is_lost(spark, tmp_path):
+    """Repeated doc_ids with different texts, null doc_ids, null languages and labels that teach nothing."""
+    some = [r for r in ROWS if r[1] and len(r[1]) > 40][:1]
+    texts = [some[0][1], "entirely other words stand in this second text of the same number", "and a third one that shares nothing at all with both of them"]
+    rows = [(1, texts[0]), (1, texts[1]), (1, texts[1]), (None, texts[2]), (None, texts[2]), (None, texts[0] + " tail"), (4, ""), (5, None)]
+    docs = spark.createDataFrame([(*r, None, "s", 1) for r in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, None, None)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert cp.quality_stage(spark, docs, str(tmp_path)).count() == 8
+    assert cp.language_stage(spark, docs, str(tmp_path)).count() == 6
+    kept = cp.near_duplicate_stage(spark, docs, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in kept) == sorted([(1, texts[0]), (1, texts[1]), (0, texts[2]), (4, ""), (5, "")])
+    packed = cp.run(spark, str(tmp_path)).collect()
+    assert sorted((r["doc_id"] is None, r["piece"]) for r in packed) == [(False, 0), (False, 0), (True, 0)]
+
+
+def test_documents_of_languages_without_a_model_stay(spark):
+    held = next(i for i in range(200) if zlib.crc32(str(i).encode()) % 4 == 2)  # a row that teaches nothing
+    rows = [(i, "plain words of one language that the model has seen " * 3, "en") for i in range(8)] + [(held, "それはまったく別の言葉で書かれた文章です" * 3, "ja"), (held, "それは", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    left = {r["lang"] for r in cp.language_stage(spark, docs, "").collect()}
+    assert left == {"en", "ja"}
+
+
 def test_held_out_rows_teach_nothing(spark):
     docs = read_table(spark, SF, "documents")
     kept = [r["doc_id"] for r in docs.filter(quality.held_out()).select("doc_id").collect()]
