@@ -1,13 +1,8 @@
 """From raw documents to packed training sequences, in five stages over the operators of segmill.llm.
 
 Every stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame; its result is written
-as Parquet and read again as the next stage's docs. All stages but the last return the columns of ``documents``.
-
-quality: drops documents with a quality score below 0.3 (learned from the labels in sf_dir).
-language: drops documents without a letter, and those whose shortest code takes over 6.5 bits a byte, which is no known language.
-near_duplicates: keeps the smallest doc_id of each group of texts with a shingle similarity of 0.8 or more; repeated rows go too.
-secrets: puts [SECRET] in the place of every secret.
-packing: packs the documents' tokens into sequences of 4096.
+as Parquet and read again as the next stage's docs. All stages but the last return the columns of ``documents``. Texts of any length are
+handled whole; an empty table stays empty; extra columns of any name are kept.
 """
 
 from __future__ import annotations
@@ -23,6 +18,9 @@ SIMILAR = 80
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a quality score below 0.3, learned from the labels in sf_dir. Without usable labels every score is 0.5 and all
+    stay, with labels of one class it is that class's share. Null and empty texts are scored like any other, repeated rows alike; rows
+    with null doc_id are scored but never learned from."""
     labels = read_table(spark, sf_dir, "labels").filter(~quality.held_out())
     name = free_name(docs, "score")
     scored = quality.score(docs, quality.train(docs, labels), name)
@@ -30,23 +28,40 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents without a letter (null and empty texts among them), and those whose shortest code takes over 6.5 bits a byte, which is
+    no language that was learned. A document that names a language nothing was learned about stays, as does everything with a letter if
+    nothing was learned at all. Repeated rows fare alike."""
     model = langid.train(docs.filter(langid.remainder(F.col("doc_id"), 4) != 2).select("text", "lang"))
     lang, score, bits = (free_name(docs, n) for n in ("lang_pred", "score", "bits_per_byte"))
+    if not model.langs:
+        return docs.filter(F.col("text").rlike(langid.LETTERS))
     found = langid.identify(docs, model, (lang, score, bits))
-    return found.filter((F.col(lang) != langid.UNKNOWN) & (F.col(bits) <= MOST_BITS)).select(docs.columns)
+    foreign = F.coalesce(~F.col("lang").isin(model.langs), F.lit(False))
+    return found.filter((F.col(lang) != langid.UNKNOWN) & ((F.col(bits) <= MOST_BITS) | foreign)).select(docs.columns)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    kept = neardup.near_duplicates(docs, SIMILAR).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_kept")).distinct()
-    named = docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi").dropDuplicates(["doc_id"])
-    return named.unionByName(docs.filter("doc_id IS NULL"))
+    """Keeps one row of each group of texts with a shingle similarity of 0.8 or more: that with the smallest doc_id (null last), the first
+    written among equals. Rows are told apart by a key of their own, so texts that share a doc_id are no duplicates because of it, and
+    rows without one take part. Texts without words belong to no group and all stay."""
+    key, component = "_key", "_component"
+    keyed = materialize(docs.select(F.monotonically_increasing_id().alias(key), F.struct(*docs.columns).alias("_row")), "keyed")
+    found = neardup.near_duplicates(keyed.select(F.col(key).alias("doc_id"), F.col("_row.text").alias("text")), SIMILAR)
+    found = found.select(F.col("doc_id").alias(key), F.col("component_id").alias(component))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(key))
+    named = keyed.select(key, F.col("_row.doc_id").alias("doc_id")).join(found, key)
+    first = named.groupBy(component).agg(F.min_by(key, order).alias(key)).select(key)
+    return keyed.join(first, key, "left_semi").select("_row.*")
 
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Puts [SECRET] in the place of every secret; n_chars follows. Null texts stay null; no row is dropped, repeated rows change alike."""
     return secrets.redact(docs, secrets.train(secrets.training_texts(docs)))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the documents' tokens into sequences of 4096: one row per piece. Null and empty texts are the end token alone; repeated rows and
+    null doc_ids are packed each for itself."""
     import public_tokenizers
 
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
