@@ -460,6 +460,37 @@ def test_top_k_equals_brute_force(spark, seed):
     assert got == want
 
 
+def plain_top(x, k=5, every=50):
+    """x[i] is the vector of id i + 1."""
+    out = []
+    for i in range(every, len(x) + 1, every):
+        scores = sorted((-int(x[i - 1] @ x[j - 1]), j) for j in range(1, len(x) + 1) if j != i)
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(scores[:k])]
+    return out
+
+
+def test_top_k_prunes_clusters(spark, monkeypatch):
+    """Most pairs of query and block, and most pairs of group and chunk, are never scored; the result is brute force's."""
+    monkeypatch.setattr(topk, "GROUP", 100 * 16)
+    monkeypatch.setattr(topk, "CHUNK", 3 * 16)
+    rng = np.random.default_rng(8)
+    x = np.floor(256 * (np.repeat(rng.normal(size=(20, 16)) * 3, 100, axis=0) + rng.normal(size=(2000, 16)) * 0.1)).astype(np.int64)
+    ids = rng.permutation(2000)
+    x = x[ids]
+    df = spark.createDataFrame([(i + 1, [float(v) for v in row]) for i, row in enumerate(x)], "id long, v array<double>").repartition(4)
+    scratch = topk.Scratch(spark, "test")
+    table, asked, tiles = topk.grouped(df, df.filter("id % 50 = 0"), 5, scratch)
+    groups = table.filter("kind = 0").select("grp").distinct().count()
+    chunks = asked.select("chunk").distinct().count()
+    assert groups >= 16 and chunks >= 6 and tiles.count() < 0.8 * groups * chunks, (groups, chunks, tiles.count())
+    scratch.drop()
+    assert [tuple(r) for r in topk.top_k(df, df.filter("id % 50 = 0"), 5).orderBy("query_id", "rank").collect()] == plain_top(x)
+    order = np.argsort(ids, kind="stable")  # clusters lie together
+    number, found, score, visits = topk.best_in_group(order + 1, x[order].astype(float), np.arange(50, 2001, 50), x[49::50].astype(float), 5)
+    assert visits < 0.3 * 40 * -(-2000 // topk.BLOCK)
+    assert [(50 * (n + 1), f, s) for n, f, s in zip(number.tolist(), found.tolist(), score.tolist())] == [(q, j, s) for q, _, j, s in plain_top(x)]
+
+
 def test_top_k_of_few(spark):
     rows = spark.createDataFrame([(50, [1.0, 2.0]), (1, [1.0]), (50, [1.0, 2.0])], "id long, v array<double>")
     assert [tuple(r) for r in topk.top_k(rows, rows.filter("id % 50 = 0"), 5).collect()] == [(50, 1, 1, 1)]
