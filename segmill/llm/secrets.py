@@ -1,17 +1,19 @@
 """Secret scans with a linear-chain conditional random field (operator 5).
 
 Tokens are runs of letters, digits and ``+ / _ -``. Each is tagged as begin, inside or outside of a secret. A tag's score sums weights
-of the token's features (length, kinds of characters, changes between kinds, what stands before and after it, whether a word
-before it announces a secret) and of features of the whole text (its size, its share of digits), and weights of neighbouring tags.
-Viterbi gives the best sequence of tags. Where outside beats every other tag by more than neighbours can ever add, the best path
-must pass through outside, so the chain falls apart there and only the short stretches between such tokens are decoded step by step.
-
-Weights are trained by likelihood on a bounded sample (``TRAIN_ROWS``) of texts, whose tags come from the base patterns; made-up
-secrets of other forms (fixed prefixes, mixed letters) join the sample. Base patterns always count; the field adds spans (kind
-``crf``) that touch none of them.
-
-Null counts as empty text; empty text has no spans; an empty table gives no rows; repeated rows repeat. Texts are scanned whole.
-Columns besides doc_id and text are ignored.
+of the token's features: its length, kinds of characters and changes between kinds, its shape (the sequence of kinds) and its first four
+characters by hash, the words before and after it by hash, what stands between it and them; and of features of the whole text (its size,
+its share of digits); and weights of neighbouring tags. Viterbi gives the best sequence of tags. Where outside beats every other tag by
+more than neighbours can ever add, the best path must pass through outside, so the chain falls apart there and only the short stretches
+between such tokens are decoded step by step.
+
+Weights are fitted by likelihood, in one task, to a bounded sample: at most ``TRAIN_ROWS`` distinct texts (stretches of ``TRAIN_CHARS``
+characters of longer ones) of a pool of about ``TRAIN_POOL`` rows, and of their windows of tokens ``WINDOWS`` at most, which never reach
+over the ends of a text. Tags come from the base patterns; made-up secrets of other forms join the sample, and made-up look-alikes (paths,
+names, numbers, addresses) that are none. Base patterns always count; the field adds spans (kind ``crf``) that base spans don't cover.
+
+Null counts as empty text; empty text has no spans; an empty table gives no rows; repeated rows repeat. Texts are scanned whole, however
+long. Of equally good paths the one with lower tags wins. Columns besides doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -27,17 +29,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import read_table, slices, unique_columns
+from .hashing import run_hashes
 
 KINDS = ("assign", "access", "hex", "crf")
 ASSIGN = re.compile(r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A text without these (in any case) has no assign span.
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
-#: Words that announce a secret, and prefixes of issued keys.
+#: Words that announce made-up secrets, and prefixes of issued keys.
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "bearer", "authorization", "credential", "credentials", "auth", "access_key", "secret_key", "private_key")
 PREFIXES = ("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "eyJ")
-#: Rows that the training sample is drawn from, and rows of it at most.
-TRAIN_POOL, TRAIN_ROWS = 20_000, 1_500
+#: Rows that the training sample is drawn from, texts of it at most, characters of each at most.
+TRAIN_POOL, TRAIN_ROWS, TRAIN_CHARS = 20_000, 1_500, 20_000
 #: Windows of tokens that the weights are fitted to at most.
 WINDOWS = 4_000
 #: Spans of the field are at least so long.
@@ -50,24 +53,16 @@ for _chars, _kind in (("abcdefghijklmnopqrstuvwxyz", LOWER), ("ABCDEFGHIJKLMNOPQ
     for _c in _chars:
         _CLASS[ord(_c)] = _kind
 _CLASS[192:256] = WIDE
-_MIX = np.uint64(0x9E3779B97F4A7C15)
-#: (feature, number of values); a token has one value of each.
-FEATURES = {"length": 8, "kinds": 32, "changes": 6, "hex": 3, "before": 5, "after": 5, "cue": 4, "gap": 4, "digits": 5, "file_digits": 4, "file_size": 4, "bias": 1}
+#: (feature, number of values); a token has one value of each. Words, shapes and beginnings go by hash.
+FEATURES = {
+    "length": 8, "kinds": 32, "changes": 6, "hex": 3, "before": 5, "after": 5, "gap": 4, "digits": 5, "file_digits": 4, "file_size": 4, "bias": 1,
+    "shape": 1_024, "head": 1_024, "previous": 2_048, "second": 2_048, "next": 2_048,
+}
 OFFSETS = dict(zip(FEATURES, np.cumsum([0, *FEATURES.values()])[:-1].tolist()))
 N_FEATURES = sum(FEATURES.values())
 OUT, BEGIN, IN = range(3)
 
 
-def _word_hash(word: str) -> int:
-    h = 0
-    for c in word:
-        h = (h * 0x100000001B3 + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
-_CUE_HASHES = np.array(sorted(_word_hash(w) for w in CUES), np.uint64)
-
-
 class Tokens:
     """Tokens of several texts at once: text (its number), start, end (code points in that text), feature values (one column each)."""
 
@@ -100,8 +95,15 @@ class Tokens:
         before[a == 0] = 2
         has_equals = np.append(0, np.cumsum(kinds == EQUALS, dtype=np.int32))
         equals = has_equals[a] - has_equals[np.append(0, b[:-1])] > 0
-        cue = self._cues(low, n)
-        near = np.where(np.append(False, cue[:-1]) & (gap <= 6), np.where(equals, 3, 2), np.where(np.concatenate(([False] * min(2, len(a)), cue[:-2])) & (gap <= 6), 1, 0))
+        folded = (low & 255).astype(np.uint8)
+        words = run_hashes(folded, a, b)
+        last = np.append(self.text[1:] != self.text[:-1], True)
+        within = lambda h, size: (h >> np.uint64(33)).astype(np.int64) % (size - 1) + 1
+        near = lambda far: np.where((self.text == np.roll(self.text, far)) & (np.arange(len(a)) >= far), within(np.roll(words, far), 2_048), 0)
+        changes[a] = True
+        runs = np.flatnonzero(changes & inside)  # where a run of one kind begins
+        at, end = np.searchsorted(runs, a), np.searchsorted(runs, b)
+        shape = run_hashes(kinds[runs], at, np.minimum(end, at + 12))
         digits_of = np.bincount(self.text, counts[DIGIT], len(texts)) / np.maximum(sizes, 1)
         values = {
             "length": np.searchsorted([4, 8, 12, 16, 20, 32, 48], n, side="right"),
@@ -110,27 +112,19 @@ class Tokens:
             "hex": np.where(hexed < n, 0, np.where(n < 16, 1, 2)),
             "before": before,
             "after": around(np.minimum(b, len(kinds) - 1)),
-            "cue": near,
             "gap": np.where(equals, 3, np.searchsorted([2, 4], gap, side="right")),
             "digits": np.searchsorted([0.01, 0.2, 0.5, 0.99], share, side="right"),
             "file_digits": np.searchsorted([0.001, 0.02, 0.1], digits_of, side="right")[self.text],
             "file_size": np.searchsorted([300, 3_000, 30_000], sizes, side="right")[self.text],
             "bias": np.zeros(len(a), np.int64),
+            "shape": within(shape, 1_024),
+            "head": within(run_hashes(folded, a, np.minimum(b, a + 4)), 1_024),
+            "previous": near(1),
+            "second": near(2),
+            "next": np.where(last, 0, within(np.roll(words, -1), 2_048)),
         }
         self.features = np.stack([values[f] + OFFSETS[f] for f in FEATURES], 1).astype(np.int16)
 
-    def _cues(self, low: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Which tokens are announcing words, in any case."""
-        out, h = np.zeros(len(n), bool), np.zeros(len(n), np.uint64)
-        left = np.flatnonzero((n >= 3) & (n <= 13))
-        h = np.zeros(len(left), np.uint64)
-        for k in range(13):
-            on = n[left] > k
-            h[on] = h[on] * np.uint64(0x100000001B3) + low[self.a[left[on]] + k].astype(np.uint64) + np.uint64(1)
-        at = np.minimum(np.searchsorted(_CUE_HASHES, h), len(_CUE_HASHES) - 1)
-        out[left] = _CUE_HASHES[at] == h
-        return out
-
 
 def base_spans(text: str, hexes: list[tuple[int, int]] | None = None) -> list[tuple[int, int, int]]:
     """(start, number of the kind, end), in order."""
@@ -195,15 +189,38 @@ class SecretField:
         return found
 
 
+_ALNUM = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
+
+
+def _secret(rng: np.random.Generator) -> str:
+    """A random run of letters and digits, at times with marks, behind a prefix or none."""
+    body = "".join(rng.choice(_ALNUM, int(rng.integers(20, 64))))
+    if rng.random() < 0.3:
+        cut = int(rng.integers(6, len(body) - 6))
+        body = body[:cut] + str(rng.choice(list("-_/+"))) + body[cut:]
+    made_up = "".join(rng.choice(_ALNUM[26:], int(rng.integers(2, 6)))).lower() + str(rng.choice(["_", "-"]))
+    return str(rng.choice(["", "", made_up, *PREFIXES])) + body
+
+
+def _look_alike(rng: np.random.Generator, words: list[str]) -> str:
+    """Something as long that is no secret: a path, a name of several words, a number, a time, an address."""
+    w = [x for x in rng.choice(words, 5).tolist() if x.isalnum()] or ["name"]
+    digits = "".join(map(str, rng.integers(0, 10, int(rng.integers(8, 16)))))
+    kinds = ["/".join(["", *w]), "_".join(w), "-".join(w), "".join(x.capitalize() for x in w), f"https://{w[0]}.org/{'-'.join(w)}/{digits[:4]}", digits, f"{w[0]}{digits[:3]}@{w[-1]}.com", f"20{digits[:2]}-11-0{digits[3]}T10:{digits[4:6]}:00Z", f"{w[0].upper()}-{digits}", f"v{digits[0]}.{digits[1]}.{digits[2]}-{w[0]}"]
+    return str(rng.choice(kinds))
+
+
 def _made_up(rng: np.random.Generator, text: str, spans: list[tuple[int, int]]) -> tuple[str, list[tuple[int, int]]]:
-    """``text`` with an announced secret put between two of its words, and where its secrets are then."""
-    letters = np.array(list("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"))
-    secret = str(rng.choice(["", *PREFIXES])) + "".join(rng.choice(letters, int(rng.integers(20, 44))))
-    lead = f"{rng.choice(CUES)}{rng.choice([' = ', '=', ': ', ' '])}{rng.choice(['', chr(34)])}" if rng.random() < 0.8 else ""
+    """``text`` with a secret, announced or not, or a look-alike between two of its words, and where its secrets are then."""
+    real = rng.random() < 0.6
+    inset = _secret(rng) if real else _look_alike(rng, text.split()[:200])
+    lead = f"{rng.choice(CUES)}{rng.choice([' = ', '=', ': ', ' ', ' := '])}{rng.choice(['', chr(34), chr(39)])}" if rng.random() < (0.6 if real else 0.1) else ""
     at = text.find(" ", int(rng.integers(0, max(1, len(text))))) + 1
-    more = len(lead) + len(secret) + 1
-    moved = [(a + more * (a >= at), b + more * (a >= at)) for a, b in spans]
-    return f"{text[:at]}{lead}{secret} {text[at:]}", [*moved, (at + len(lead), at + len(lead) + len(secret))]
+    more = len(lead) + len(inset) + 1
+    moved = [(a + more * (a >= at), b + more * (a >= at)) for a, b in spans if not a < at < b]
+    if real:
+        moved.append((at + len(lead), at + len(lead) + len(inset)))
+    return f"{text[:at]}{lead}{inset} {text[at:]}", moved
 
 
 def _tagged(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
@@ -218,36 +235,46 @@ def _tagged(tokens: Tokens, spans: list[list[tuple[int, int]]]) -> np.ndarray:
     return tags
 
 
-def train(texts: list[str], seed: int = 0, window: int = 24, rounds: int = 120) -> SecretField:
+def _windows(tokens: Tokens, tags: np.ndarray, width: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Features and tags of stretches of ``width`` tokens around secrets and elsewhere. Places beyond a text's ends have the feature
+    N_FEATURES, which is no feature, and are outside."""
+    middles = np.flatnonzero(tags == BEGIN)
+    middles = np.concatenate((middles, rng.integers(0, len(tags), len(middles) + 20))) if len(tags) else middles
+    at = middles[:, None] - width // 2 + np.arange(width)
+    inside = (at >= 0) & (at < len(tags))
+    at = np.clip(at, 0, max(0, len(tags) - 1))
+    inside &= tokens.text[at] == tokens.text[middles][:, None]
+    return np.where(inside[:, :, None], tokens.features[at], N_FEATURES), np.where(inside, tags[at], OUT)
+
+
+def train(texts: list[str], seed: int = 0, window: int = 24, rounds: int = 80) -> SecretField:
     """Likelihood of the tags of windows of tokens around secrets, and of as many windows elsewhere; gradient steps of Adam."""
     rng = np.random.default_rng(seed)
     rows = [(t, [(a if kind else m_start(t, a), b) for a, kind, b in base_spans(t)]) for t in texts]
-    rows += [_made_up(rng, t, spans) for t, spans in rows if t]
-    xs, ys = [np.zeros((0, window, len(FEATURES)), np.int16)], [np.zeros((0, window), np.int8)]
+    rows += [_made_up(rng, t, spans) for _ in range(max(1, 600 // max(1, len(rows)))) for t, spans in rows if t]
+    xs, ys = [np.zeros((0, window, len(FEATURES)), np.int64)], [np.zeros((0, window), np.int64)]
     for lo, hi in slices([t for t, _ in rows], most=200_000):
         tokens = Tokens([t for t, _ in rows[lo:hi]])
-        tags = _tagged(tokens, [spans for _, spans in rows[lo:hi]])
-        if len(tags) >= window:
-            middles = np.flatnonzero(tags == BEGIN)
-            middles = np.concatenate((middles, rng.integers(0, len(tags), len(middles) + 20)))
-            at = np.clip(middles - window // 2, 0, len(tags) - window)[:, None] + np.arange(window)
-            xs.append(tokens.features[at])
-            ys.append(tags[at])
-    x, y = np.concatenate(xs), np.concatenate(ys)
+        if len(tokens.a):
+            x, y = _windows(tokens, _tagged(tokens, [spans for _, spans in rows[lo:hi]]), window, rng)
+            xs.append(x)
+            ys.append(y)
+    x, y = np.concatenate(xs), np.concatenate(ys).astype(np.int64)
     if len(x) > WINDOWS:
         chosen = np.sort(rng.permutation(len(x))[:WINDOWS])
         x, y = x[chosen], y[chosen]
-    y = y.astype(np.int64)
-    weights, steps = np.zeros((N_FEATURES, 3)), np.zeros((3, 3))
+    weights, steps = np.zeros((N_FEATURES + 1, 3)), np.zeros((3, 3))
     steps[OUT, IN] = -np.inf
     if not len(x):
         weights[:, OUT] = 1.0
-        return SecretField(weights, steps)
+        return SecretField(weights[:-1], steps)
     y[:, 0] = np.where(y[:, 0] == IN, BEGIN, y[:, 0])
-    moments = [np.zeros((N_FEATURES, 3)), np.zeros((N_FEATURES, 3)), np.zeros((3, 3)), np.zeros((3, 3))]
+    beyond = np.where((x[:, :, :1] == N_FEATURES) & (np.arange(3) != OUT), -1e9, 0.0)
+    moments = [np.zeros_like(weights), np.zeros_like(weights), np.zeros((3, 3)), np.zeros((3, 3))]
     total = lambda z, axis: (m := z.max(axis, keepdims=True)).squeeze(axis) + np.log(np.exp(z - m).sum(axis))
+    flat = x.reshape(-1, x.shape[2])
     for step in range(1, rounds + 1):
-        s = sum(weights[x[:, :, k]] for k in range(x.shape[2]))
+        s = sum(weights[x[:, :, k]] for k in range(x.shape[2])) + beyond
         f, b = np.empty_like(s), np.zeros_like(s)
         f[:, 0] = s[:, 0]
         f[:, 0, IN] = -1e9
@@ -258,21 +285,20 @@ def train(texts: list[str], seed: int = 0, window: int = 24, rounds: int = 120)
             b[:, t] = total(moves + (s[:, t + 1] + b[:, t + 1])[:, None, :], 2)
         z = total(f[:, -1], 1)
         p = np.exp(f + b - z[:, None, None])
-        miss = np.eye(3)[y] - p
-        gw = np.zeros((N_FEATURES, 3))
-        for k in range(x.shape[2]):
-            for tag in range(3):
-                gw[:, tag] += np.bincount(x[:, :, k].ravel(), miss[:, :, tag].ravel(), N_FEATURES)
+        miss = (np.eye(3)[y] - p).reshape(-1, 3)
+        gw = np.stack([sum(np.bincount(flat[:, k], miss[:, tag], N_FEATURES + 1) for k in range(flat.shape[1])) for tag in range(3)], 1)
+        gw[N_FEATURES] = 0
         pair = np.exp(f[:, :-1, :, None] + moves + (s + b)[:, 1:, None, :] - z[:, None, None, None]).sum((0, 1))
         gs = np.bincount((y[:, :-1] * 3 + y[:, 1:]).ravel(), minlength=9).reshape(3, 3) - pair
-        for i, (value, g) in enumerate(((weights, gw / len(x) - 1e-4 * weights), (moves, gs / len(x) - 1e-4 * moves))):
+        for i, (value, g) in enumerate(((weights, gw / len(x) - 3e-4 * weights), (moves, gs / len(x) - 1e-4 * moves))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
             v += 0.01 * (g * g - v)
             value += 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        weights[N_FEATURES] = 0
         steps = np.clip(moves, -8, 8)
         steps[OUT, IN] = -np.inf
-    return SecretField(weights, steps)
+    return SecretField(weights[:-1], steps)
 
 
 def m_start(text: str, start: int) -> int:
@@ -281,13 +307,33 @@ def m_start(text: str, start: int) -> int:
     return m.start(2)
 
 
-def training_texts(docs: DataFrame) -> list[str]:
-    """At most TRAIN_ROWS texts with base spans, chosen by a hash of the text among about TRAIN_POOL rows."""
-    n = docs.count()
+def training_sample(docs: DataFrame) -> DataFrame:
+    """text: at most TRAIN_ROWS distinct texts with what looks like a secret, chosen by a hash of the text among about TRAIN_POOL rows; of
+    longer ones a stretch of TRAIN_CHARS characters whose place the hash decides."""
+    n, h = docs.count(), F.xxhash64("text")
     one_in = max(1, n // TRAIN_POOL)
-    pool = docs.filter(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0) if one_in > 1 else docs
-    seen = pool.filter(F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)") & (F.length("text") <= 20_000))
-    return [r["text"] for r in seen.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(TRAIN_ROWS).collect()]
+    pool = docs.filter(F.pmod(h, F.lit(one_in)) == 0) if one_in > 1 else docs
+    begin = F.pmod(h, F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    seen = pool.filter(F.col("text").rlike("AKIA[A-Z0-9]{14}|[0-9a-f]{16}|(?i:password|passwd|secret|token|api_?key)"))
+    seen = seen.select(h.alias("h"), F.when(F.length("text") > TRAIN_CHARS, F.substring("text", begin, F.lit(TRAIN_CHARS))).otherwise(F.col("text")).alias("text"))
+    return seen.groupBy("h").agg(F.min("text").alias("text")).orderBy("h", "text").limit(TRAIN_ROWS).select("text")
+
+
+def training_texts(docs: DataFrame) -> list[str]:
+    return [r["text"] for r in training_sample(docs).collect()]
+
+
+def fit(docs: DataFrame) -> SecretField:
+    """The field of a table's sample, fitted in one task; the driver gets its weights."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        field = train([t for batch in batches for t in batch.column(0).to_pylist()])
+        yield pa.RecordBatch.from_arrays([pa.array([field.weights.tobytes()], pa.binary()), pa.array([field.steps.tobytes()], pa.binary())], ["weights", "steps"])
+
+    row = training_sample(docs).coalesce(1).mapInArrow(run, "weights binary, steps binary").first()
+    if row is None:
+        return train([])
+    return SecretField(np.frombuffer(row["weights"]).reshape(-1, 3).copy(), np.frombuffer(row["steps"]).reshape(3, 3).copy())
 
 
 def find_spans(texts: list[str], field: SecretField) -> list[list[tuple[int, int, int]]]:
@@ -335,9 +381,9 @@ def listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, field: SecretField) -> DataFrame:
-    """doc_id, n_assign, n_access, n_hex, base_sha256, spans."""
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+    """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_added (those of the field)."""
+    names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -346,10 +392,10 @@ def scan(docs: DataFrame, field: SecretField) -> DataFrame:
                 rows = []
                 for key, spans in zip(keys[lo:hi], find_spans(texts[lo:hi], field)):
                     base = [s for s in spans if s[1] < 3]
-                    rows.append((key, *(sum(s[1] == k for s in base) for k in range(3)), _digest(listed(base)), listed(spans)))
+                    rows.append((key, *(sum(s[1] == k for s in base) for k in range(3)), _digest(listed(base)), listed(spans), len(spans) - len(base)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names)
 
-    return unique_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string")
+    return unique_columns(docs, ["doc_id", "text"]).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_added long")
 
 
 def redact(docs: DataFrame, field: SecretField, mark: str = "[SECRET]") -> DataFrame:
@@ -384,4 +430,4 @@ def redact(docs: DataFrame, field: SecretField, mark: str = "[SECRET]") -> DataF
 
 def op5_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    return scan(docs, train(training_texts(docs)))
+    return scan(docs, fit(docs))
