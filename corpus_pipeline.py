@@ -56,7 +56,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in the place of every secret; n_chars follows. Null texts stay null; no row is dropped, repeated rows change alike."""
-    return secrets.redact(docs, secrets.train(secrets.training_texts(docs)))
+    return secrets.redact(docs, secrets.fit(docs))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
