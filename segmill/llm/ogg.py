@@ -20,6 +20,8 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from .common import read_table, slices, unique_columns
 
@@ -188,21 +190,26 @@ def to_media(docs: DataFrame) -> DataFrame:
     return unique_columns(docs, ["doc_id", "text"]).mapInArrow(_store, "doc_id long, n_bytes long, media binary")
 
 
-def streams(media: DataFrame, column: str = "media", rate: int = RATE) -> DataFrame:
-    """All columns of ``media`` but that one, and per row: damaged (pages), streams array<struct<serial, pages, packets (bytes of
-    each), seconds (of each), ended, broken>>; both null for null bytes."""
-    from pyspark.sql import functions as F
-    from pyspark.sql import types as T
-
-    kind = "struct<damaged:int,streams:array<struct<serial:bigint,pages:int,packets:array<binary>,seconds:array<double>,ended:boolean,broken:boolean>>>"
+STREAMS = "damaged int, streams array<struct<serial:bigint,pages:int,packets:array<binary>,seconds:array<double>,ended:boolean,broken:boolean>>"
 
-    @F.udf(T.DataType.fromDDL(kind), useArrow=True)
-    def parse(data):
-        if (got := read_ogg(data)) is None:
-            return None
-        return got[1], [(s.serial, s.pages, s.packets, s.seconds(rate), s.ended, s.broken) for s in got[0].values()]
 
-    return media.withColumn("_ogg", parse(column)).select(*[c for c in media.columns if c != column], "_ogg.damaged", "_ogg.streams")
+def streams(media: DataFrame, column: str = "media", rate: int = RATE) -> DataFrame:
+    """All columns of ``media`` but that one (and but columns named damaged or streams), and per row: damaged (pages), streams
+    array<struct<serial, pages, packets (bytes of each), seconds (of each), ended, broken>>; both null for null bytes."""
+    rest = [c for c in media.columns if c not in (column, "damaged", "streams")]
+    added = StructType.fromDDL(STREAMS)
+    schema = StructType([*media.select(rest).schema.fields, *added.fields])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            media = batch.column(len(rest)).to_pylist()
+            for a, b in slices(media):
+                found = [read_ogg(x) for x in media[a:b]]
+                damaged = pa.array([None if x is None else x[1] for x in found], pa.int32())
+                rows = [None if x is None else [{"serial": s.serial, "pages": s.pages, "packets": s.packets, "seconds": s.seconds(rate), "ended": s.ended, "broken": s.broken} for s in x[0].values()] for x in found]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns[: len(rest)], damaged, pa.array(rows, to_arrow_type(added["streams"].dataType))], [*rest, "damaged", "streams"])
+
+    return media.select(*rest, column).mapInArrow(parse, schema)
 
 
 def op6_ogg_media(spark: SparkSession, sf_dir: str) -> DataFrame:

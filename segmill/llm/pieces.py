@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import read_table, slices
 from .hashing import Lookup, mixed, _powers
@@ -74,6 +75,8 @@ class PieceModel:
                 self.byte_ids[int(self.texts[i][1:-1], 16)] = i
         self.byte_log = -np.log(len(normal) + OFFSET)
         self.powers = _powers(_BASE, 1 << 10), _powers(pow(_BASE, -1, 1 << 64), 1 << 10)
+        #: The bytes that a piece stands for.
+        self.spelled = [bytes([int(t[1:-1], 16)]) if byte[i] else b"" if special[i] else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
 
     @staticmethod
     def _hash_one(piece: str) -> int:
@@ -88,8 +91,9 @@ class PieceModel:
             self.powers = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
         return self.powers[0][:n], self.powers[1][:n]
 
-    def decode(self, ids: list[int]) -> str:
-        return self.processor.decode(ids)
+    def decode_bytes(self, ids: np.ndarray) -> bytes:
+        """The UTF-8 bytes of a segmentation: its pieces' bytes one after another, without the space that was put first."""
+        return b"".join(map(self.spelled.__getitem__, ids.tolist())).removeprefix(b" ")
 
 
 @lru_cache(maxsize=2)
@@ -311,38 +315,47 @@ def _with_bytes(m: PieceModel, ids: np.ndarray, at: np.ndarray, codes: np.ndarra
     return np.insert(ids, np.repeat(at + 1, [len(x) - 1 for x in raw]), m.byte_ids[[b for x in raw for b in x[1:]]])
 
 
-SAMPLED = "doc_id long, sample int, n_pieces int, log_p double, score double, inclusion double, ids_crc32 long"
+SAMPLED = {"doc_id": "long", "sample": "int", "n_pieces": "int", "log_p": "double", "score": "double", "inclusion": "double", "ids_crc32": "long", "text_crc32": "long", "round_trip": "boolean", "ids": "array<int>"}
+_ARROW = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "boolean": pa.bool_(), "array<int>": pa.list_(pa.int32())}
 
 
 def encode_samples(docs: DataFrame, path: str, k: int, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
-    """doc_id, sample (from 1), n_pieces, log_p, score, inclusion, ids_crc32 (little-endian unsigned 32-bit ids) and on demand ids.
-    A null key counts as 0 for the noise."""
+    """doc_id, sample (from 1), n_pieces, log_p, score, inclusion, ids_crc32 (little-endian unsigned 32-bit ids), of the sample's decoded
+    text text_crc32 (UTF-8) and round_trip (whether it is the text), and on demand ids. A null key counts as 0 for the noise."""
+    names = [n for n in SAMPLED if with_ids or n != "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model(path)
         for batch in batches:
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, most=1_000_000):
+                found = sample(m, texts[a:b], np.array([x or 0 for x in keys[a:b]], np.int64), k)
                 rows = []
-                for d, found in zip(keys[a:b], sample(m, texts[a:b], np.array([x or 0 for x in keys[a:b]], np.int64), k)):
-                    for i, (ids, log_p, score, inclusion) in enumerate(found):
-                        ids = np.asarray(ids, "<u4")
-                        rows.append((d, i + 1, len(ids), log_p, score, inclusion, zlib.crc32(ids.tobytes()), *([ids] * with_ids)))
-                types = [pa.int64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.float64(), pa.int64(), pa.list_(pa.int32())]
-                names = ["doc_id", "sample", "n_pieces", "log_p", "score", "inclusion", "ids_crc32", "ids"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names[: 7 + with_ids])
+                for d, t, of in zip(keys[a:b], texts[a:b], found):
+                    raw = t.encode()
+                    for i, (ids, log_p, score, inclusion) in enumerate(of):
+                        ids, back = np.asarray(ids, "<u4"), m.decode_bytes(ids)
+                        rows.append((d, i + 1, len(ids), log_p, score, inclusion, zlib.crc32(ids.tobytes()), zlib.crc32(back), back == raw, *([ids] * with_ids)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[SAMPLED[n]]) for c, n in zip(zip(*rows), names)], names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, SAMPLED + ", ids array<int>" * with_ids)
+    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} {SAMPLED[n]}" for n in names))
 
 
 def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -> DataFrame:
-    """``encoded`` with a column of texts made from ids; null ids give null."""
+    """``encoded`` with a column of texts made from ids (a column of that name is replaced); null ids give null. Bytes that are no UTF-8
+    become replacement characters."""
+    encoded = encoded.drop(out)
+    at = encoded.columns.index(ids)
 
-    @F.udf("string", useArrow=True)
-    def run(x):
-        return None if x is None else model(path).decode([int(i) for i in x])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in batches:
+            lists = batch.column(at).to_pylist()
+            for a, b in slices(lists, most=1_000_000):
+                texts = [None if x is None else m.decode_bytes(np.array(x, np.int64)).decode("utf-8", "replace") for x in lists[a:b]]
+                yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
-    return encoded.withColumn(out, run(ids))
+    return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out, "string"))
 
 
 def op2_piece_samples(spark: SparkSession, sf_dir: str) -> DataFrame:

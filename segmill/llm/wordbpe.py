@@ -7,6 +7,7 @@ once per worker; any other text goes to the library whole. Both ways give the sa
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -21,6 +22,15 @@ SPLITS = {
     "byte": re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{LETTERS}]+| ?[{DIGITS}]+| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[{LETTERS}]+|[{DIGITS}]|[^\s{LETTERS}{DIGITS}]+"),
 }
+#: The normalisers and pre-tokenisers, as tokenizer files state them, that split like that; any other file's texts go to the library whole.
+_BYTE_LEVEL = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True}
+KNOWN = {
+    "byte": (None, _BYTE_LEVEL | {"use_regex": True}),
+    "word": (
+        {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]},
+        {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}, _BYTE_LEVEL | {"use_regex": False}]},
+    ),
+}
 #: Distinct pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 400_000
 
@@ -35,6 +45,11 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.folded = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values() if t.normalized]
+        with open(path, encoding="utf-8") as f:
+            stated = json.load(f)
+        plain = stated["model"].get("dropout") is None and not stated.get("truncation") and not stated.get("padding")
+        #: Whether this file splits as ``kind`` does, so that words may be encoded one by one.
+        self.by_words = plain and (stated["normalizer"], stated["pre_tokenizer"]) == KNOWN[kind]
         self.split, self.lower, self.known = SPLITS[kind].findall, kind == "word", {}
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -42,7 +57,7 @@ class WordEncoder:
 
     def _whole(self, text: str) -> bool:
         """Whether the library must see the text as it is: its added tokens are found before the text is split."""
-        return bool(OTHER.search(text)) or any(t in text for t in self.added) or bool(self.folded) and any(t in text.lower() for t in self.folded)
+        return not self.by_words or bool(OTHER.search(text)) or any(t in text for t in self.added) or bool(self.folded) and any(t in text.lower() for t in self.folded)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""

@@ -31,7 +31,7 @@ def test_token_files_and_packing_with_added_tokens(spark):
     df = spark.createDataFrame(list(enumerate(TEXTS)), "doc_id long, text string")
     start = 0
     got = sorted(map(tuple, tokenfiles.read_documents(tokenfiles.write_token_files(df, P.path(FILES[0][0]))).collect()))
-    for (doc_id, s, n, crc), text in zip(got, TEXTS, strict=True):
+    for (doc_id, s, n, crc, _), text in zip(got, TEXTS, strict=True):
         ids = untouched(FILES[0][0]).encode(text, add_special_tokens=False).ids + [2]
         assert (s, n, crc) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))), doc_id
         start += n

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import json
 import math
 import re
 import struct
@@ -77,13 +78,46 @@ def test_token_files(docs, none):
     got = sorted(map(tuple, tokenfiles.read_documents(tokenfiles.write_token_files(docs, path)).collect()), key=lambda r: r[1])
     order = sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
-    for (doc_id, s, n, crc), row in zip(got, order, strict=True):
+    for (doc_id, s, n, crc, _), row in zip(got, order, strict=True):
         ids = encoder(path, "byte").tokenizer.encode(row[1] or "", add_special_tokens=False).ids + [2]
         assert (doc_id, s, n, crc) == (row[0], start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
         start += n
     assert tokenfiles.read_documents(tokenfiles.write_token_files(none, path)).count() == 0
 
 
+def test_single_tokens_are_taken_through_the_rank_directories(spark, docs, none):
+    path = P.path("byte_bpe_50k.json")
+    blocks = tokenfiles.write_token_files(docs, path)
+    whole = [r for r in tokenfiles.read_documents(blocks, with_ids=True).collect()]
+    assert all(r["middle_id"] == r["ids"][r["n_tokens"] // 2] for r in whole)
+    rng = np.random.default_rng(1)
+    ask = [(r["doc_id"], int(p)) for r in whole for p in rng.integers(-1, r["n_tokens"] + 1, 20)] + [(12345, 0), (None, 0)]
+    got = sorted((r["doc_id"], r["start"], r["position"], r["id"]) for r in tokenfiles.read_tokens(blocks, spark.createDataFrame(ask, "doc_id long, position long")).collect())
+    want = sorted((r["doc_id"], r["start"], p, r["ids"][p]) for d, p in ask for r in whole if d is not None and r["doc_id"] == d and 0 <= p < r["n_tokens"])
+    assert got == want and len(got) > 100
+    assert tokenfiles.read_tokens(tokenfiles.write_token_files(none, path), spark.createDataFrame([(1, 0)], "doc_id long, position long")).count() == 0
+
+
+@pytest.mark.parametrize("n", [1, 511, 512, 513, 20_000])
+def test_many_positions_at_once(n):
+    rng = np.random.default_rng(n)
+    ids = rng.choice([0, 5, 255, 256, 40_000, 70_000, 2**32 - 1], n).astype(np.uint32)
+    reader, at = tokenfiles.DacReader(tokenfiles.dac_encode(ids)), rng.integers(0, n, 3_000)
+    assert reader.take(at).tolist() == ids[at].tolist() and [reader[int(i)] for i in at[:100]] == ids[at[:100]].tolist()
+    with pytest.raises(IndexError):
+        reader.take(np.array([n]))
+
+
+def test_a_tokenizer_that_splits_otherwise_goes_to_the_library(tmp_path):
+    stated = json.load(open(P.path("byte_bpe_50k.json")))
+    stated["pre_tokenizer"]["add_prefix_space"] = True
+    (tmp_path / "other.json").write_text(json.dumps(stated))
+    enc = encoder(str(tmp_path / "other.json"), "byte")
+    assert not enc.by_words and encoder(P.path("byte_bpe_50k.json"), "byte").by_words and encoder(P.path("word_bpe_49k.json"), "word").by_words
+    whole = [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in enc.tokenizer.encode_batch([BASE, "a b"], add_special_tokens=False)]
+    assert enc.encode([BASE, "a b"]) == whole
+
+
 def check_packing(rows, capacity):
     by = {}
     for r in rows:
@@ -106,10 +140,15 @@ def test_packing_documents(docs, none):
         sizes[r["doc_id"]] += r["length"]
         assert r["start"] == 512 * r["piece"]
     lib = encoder(path, "word").tokenizer
-    want = Counter()
+    want, pieces_of = Counter(), Counter()
     for r in ROWS:
-        want[r[0]] += len(lib.encode(r[1] or "", add_special_tokens=False).ids) + 1
+        ids = [*lib.encode(r[1] or "", add_special_tokens=False).ids, 1]
+        want[r[0]] += len(ids)
+        for k, at in enumerate(range(0, len(ids), 512)):
+            part = ids[at : at + 512]
+            pieces_of[r[0], k, at, len(part), zlib.crc32(struct.pack(f"<{len(part)}I", *part))] += 1
     assert sizes == want
+    assert Counter((r["doc_id"], r["piece"], r["start"], r["length"], r["ids_crc32"]) for r in rows) == pieces_of
     assert packing.pack_documents(none, path).count() == 0
 
 
@@ -329,7 +368,7 @@ def test_all_segmentations_come_once(sp, text):
     got = pieces.sample(sp, [text], np.array([5]), len(want) + 3)[0]
     assert {tuple(map(int, ids)) for ids, *_ in got} == set(want) and len(got) == len(want)
     assert all(abs(want[tuple(map(int, ids))] - w) < 1e-9 and inclusion == 1 for ids, w, _, inclusion in got)
-    assert all(a[2] >= b[2] for a, b in itertools.pairwise(got)) and all(sp.decode([int(i) for i in ids]) == text for ids, *_ in got)
+    assert all(a[2] >= b[2] for a, b in itertools.pairwise(got)) and all(sp.processor.decode([int(i) for i in ids]) == text and sp.decode_bytes(ids) == text.encode() for ids, *_ in got)
 
 
 def test_samples_follow_the_distribution(sp):
@@ -344,12 +383,14 @@ def test_samples_follow_the_distribution(sp):
     assert abs(np.mean([sum(math.exp(w) / inc for _, w, _, inc in f) for f in found]) - 1) < 0.05
 
 
-def test_piece_samples_edges(docs, none, spark):
+def test_piece_samples_edges(docs, none, spark, sp):
     path = P.path("piece_bpe_32k.model")
     rows = pieces.encode_samples(docs, path, 3)
     texts = {r[0]: r[1] or "" for r in ROWS}
     got = pieces.decode(rows, path).collect()
     assert all(r["text"] == texts[r["doc_id"]] and len(r["ids"]) == r["n_pieces"] for r in got)
+    assert all(r["round_trip"] and r["text_crc32"] == zlib.crc32(texts[r["doc_id"]].encode()) and sp.processor.decode([int(i) for i in r["ids"]]) == r["text"] for r in got)
+    assert pieces.decode(spark.createDataFrame([(1, None, "old")], "doc_id long, ids array<int>, text string"), path).first()["text"] is None
     again = {(r["doc_id"], r["sample"]): r["ids_crc32"] for r in pieces.encode_samples(docs.coalesce(1), path, 3, with_ids=False).collect()}
     assert all(again[r["doc_id"], r["sample"]] == r["ids_crc32"] for r in got)
     assert pieces.encode_samples(none, path, 3).count() == 0
@@ -604,6 +645,55 @@ def test_ogg_media(docs, none, spark):
     assert ogg.to_media(none).count() == 0
 
 
+def plain_pages(data):
+    """(serial, flags, granule, lacing, body) of each page, with its checksum recomputed bit by bit."""
+    at = 0
+    while at < len(data):
+        pattern, version, flags, granule, serial, _, crc, n = struct.unpack_from("<4sBBqIIIB", data, at)
+        lacing = data[at + 27 : at + 27 + n]
+        end = at + 27 + n + sum(lacing)
+        assert pattern == b"OggS" and version == 0 and plain_checksum(data[at : at + 22] + bytes(4) + data[at + 26 : end]) == crc
+        yield serial, flags, granule, lacing, data[at + 27 + n : end]
+        at = end
+
+
+def plain_packets(data):
+    """Per stream its packets, and the granule position of its last page."""
+    packets, open_, last = {}, {}, {}
+    for serial, _, granule, lacing, body in plain_pages(data):
+        at = 0
+        for n in lacing:
+            open_[serial] = open_.get(serial, b"") + body[at : at + n]
+            at += n
+            if n < 255:
+                packets.setdefault(serial, []).append(open_.pop(serial))
+        last[serial] = granule
+    return packets, last
+
+
+def test_ogg_query_against_a_plain_reader(spark, tmp_path):
+    """Every column of the query, from the text and from a reader of its own over the stored bytes."""
+    rows = [r for r in ROWS if r[0] is not None] + [(20, "x" * 64, *ROWS[0][2:]), (21, "é" * 9_000, *ROWS[0][2:])]
+    spark.createDataFrame(rows, SCHEMA).dropDuplicates(["doc_id"]).write.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r[0]: r[1] for r in rows}
+    got = ogg.op6_ogg_media(spark, str(tmp_path)).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(texts)
+    for r in got:
+        raw = (texts[r["doc_id"]] or "").encode()
+        payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
+        media = ogg.store(payload)
+        packets, last = plain_packets(media)
+        heads = {s: p[0] for s, p in packets.items()}
+        assert all(struct.unpack("<8sIHH", h) == (b"smpl8bit", 8_000, s - 1, 2) for s, h in heads.items())
+        turns = itertools.zip_longest(*(packets[s][1:] for s in sorted(packets)), fillvalue=b"")
+        assert b"".join(x for t in turns for x in t) == payload
+        samples = [b - 128 for b in payload]
+        crossings = sum((a < 0) != (b < 0) for a, b in itertools.pairwise(samples))
+        features = {"streams": 2, "pages": sum(1 for _ in plain_pages(media)), "packets": sum(map(len, packets.values())), "ms": round(1000 * sum(last.values()) / 8_000), "peak": max(map(abs, samples)), "crossings": crossings}
+        want = (r["doc_id"], len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(media), hashlib.sha256(media).hexdigest(), ";".join(f"{k}={v}" for k, v in features.items()))
+        assert tuple(r) == want
+
+
 # 8
 
 
