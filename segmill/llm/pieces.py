@@ -75,8 +75,10 @@ class PieceModel:
                 self.byte_ids[int(self.texts[i][1:-1], 16)] = i
         self.byte_log = -np.log(len(normal) + OFFSET)
         self.powers = _powers(_BASE, 1 << 10), _powers(pow(_BASE, -1, 1 << 64), 1 << 10)
-        #: The bytes that a piece stands for.
-        self.spelled = [bytes([int(t[1:-1], 16)]) if byte[i] else b"" if special[i] else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
+        spelled = [bytes([int(t[1:-1], 16)]) if byte[i] else b"" if special[i] else t.replace(SPACE, " ").encode() for i, t in enumerate(self.texts)]
+        #: All pieces' bytes one after another; where each begins and how many it has.
+        self.spelled, self.size = np.frombuffer(b"".join(spelled), np.uint8), np.array([len(x) for x in spelled], np.int32)
+        self.place = np.append(0, np.cumsum(self.size))[:-1].astype(np.int32)
 
     @staticmethod
     def _hash_one(piece: str) -> int:
@@ -91,9 +93,19 @@ class PieceModel:
             self.powers = _powers(_BASE, size), _powers(pow(_BASE, -1, 1 << 64), size)
         return self.powers[0][:n], self.powers[1][:n]
 
-    def decode_bytes(self, ids: np.ndarray) -> bytes:
-        """The UTF-8 bytes of a segmentation: its pieces' bytes one after another, without the space that was put first."""
-        return b"".join(map(self.spelled.__getitem__, ids.tolist())).removeprefix(b" ")
+    def decode_bytes(self, many: list[np.ndarray], most: int = 40_000) -> list[bytes]:
+        """The UTF-8 bytes of segmentations: their pieces' bytes one after another, without the space that was put first."""
+        out: list[bytes] = []
+        for lo, hi in slices(many, most=most):
+            ids = np.concatenate(many[lo:hi])
+            size = self.size[ids]
+            ends = np.append(0, np.cumsum(size))
+            at = np.repeat(self.place[ids] - ends[:-1].astype(np.int32), size)
+            at += np.arange(len(at), dtype=np.int32)
+            raw = self.spelled[at].tobytes()
+            cuts = ends[np.append(0, np.cumsum([len(x) for x in many[lo:hi]]))].tolist()
+            out += [raw[a + (raw[a : a + 1] == b" ") : b] for a, b in zip(cuts, cuts[1:])]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -330,11 +342,11 @@ def encode_samples(docs: DataFrame, path: str, k: int, key: str = "doc_id", text
             keys, texts = batch.column(0).to_pylist(), [t or "" for t in batch.column(1).to_pylist()]
             for a, b in slices(texts, most=1_000_000):
                 found = sample(m, texts[a:b], np.array([x or 0 for x in keys[a:b]], np.int64), k)
-                rows = []
+                decoded, rows = iter(m.decode_bytes([ids for of in found for ids, *_ in of])), []
                 for d, t, of in zip(keys[a:b], texts[a:b], found):
                     raw = t.encode()
                     for i, (ids, log_p, score, inclusion) in enumerate(of):
-                        ids, back = np.asarray(ids, "<u4"), m.decode_bytes(ids)
+                        ids, back = np.asarray(ids, "<u4"), next(decoded)
                         rows.append((d, i + 1, len(ids), log_p, score, inclusion, zlib.crc32(ids.tobytes()), zlib.crc32(back), back == raw, *([ids] * with_ids)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, _ARROW[SAMPLED[n]]) for c, n in zip(zip(*rows), names)], names)
 
@@ -352,7 +364,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "text") -
         for batch in batches:
             lists = batch.column(at).to_pylist()
             for a, b in slices(lists, most=1_000_000):
-                texts = [None if x is None else m.decode_bytes(np.array(x, np.int64)).decode("utf-8", "replace") for x in lists[a:b]]
+                part = m.decode_bytes([np.array(x or [], np.int64) for x in lists[a:b]])
+                texts = [None if x is None else raw.decode("utf-8", "replace") for x, raw in zip(lists[a:b], part)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, pa.array(texts, pa.string())], [*batch.schema.names, out])
 
     return encoded.mapInArrow(run, StructType([*encoded.schema.fields]).add(out, "string"))

@@ -368,7 +368,7 @@ def test_all_segmentations_come_once(sp, text):
     got = pieces.sample(sp, [text], np.array([5]), len(want) + 3)[0]
     assert {tuple(map(int, ids)) for ids, *_ in got} == set(want) and len(got) == len(want)
     assert all(abs(want[tuple(map(int, ids))] - w) < 1e-9 and inclusion == 1 for ids, w, _, inclusion in got)
-    assert all(a[2] >= b[2] for a, b in itertools.pairwise(got)) and all(sp.processor.decode([int(i) for i in ids]) == text and sp.decode_bytes(ids) == text.encode() for ids, *_ in got)
+    assert all(a[2] >= b[2] for a, b in itertools.pairwise(got)) and all(sp.processor.decode([int(i) for i in ids]) == text and sp.decode_bytes([ids]) == [text.encode()] for ids, *_ in got)
 
 
 def test_samples_follow_the_distribution(sp):
