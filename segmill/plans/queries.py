@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -435,12 +435,16 @@ def cluster_sizes(spark, sf):
     return clustering.cluster_sizes(labelled(spark, sf))
 
 
-@query("silhouette_exact", """WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-d AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(CASE WHEN a.vec_id <> b.vec_id THEN sqrt(list_sum(list_transform(range(1, 9), lambda i: (a.v[i] - b.v[i]) ** 2))) ELSE 0 END) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
-i AS (SELECT vec_id, s / nullif(n - 1, 0) AS a FROM d WHERE own = other), o AS (SELECT vec_id, min(s / n) AS b FROM d WHERE own <> other GROUP BY 1)
-SELECT round_even(avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) * 1e6, 0) / 1e6 AS silhouette FROM i JOIN o USING (vec_id)""")
+def _silhouette_sql(points: str, distance: str) -> str:
+    """One row, silhouette, of points (id, own, and what ``distance`` needs)."""
+    return f"""WITH e AS ({points}), d AS (SELECT a.id, a.own, b.own AS other, sum(CASE WHEN a.id <> b.id THEN {distance} ELSE 0 END) AS s, count(*) AS n FROM e a, e b GROUP BY ALL),
+i AS (SELECT id, s / nullif(n - 1, 0) AS a FROM d WHERE own = other), o AS (SELECT id, min(s / n) AS b FROM d WHERE own <> other GROUP BY 1)
+SELECT avg(CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END) AS silhouette FROM i JOIN o USING (id)"""
+
+
+@query("silhouette_exact", f"SELECT {r_('silhouette')} AS silhouette FROM ({_silhouette_sql('SELECT vec_id AS id, label AS own, embedding::DOUBLE[64] AS v FROM embeddings', 'array_distance(a.v, b.v)')})")
 def silhouette_exact(spark, sf):
-    names = [f"x{i}" for i in range(8)]
+    names = [f"x{i}" for i in range(64)]
     e = _t(spark, sf, "embeddings").select("vec_id", F.col("label").alias("cluster"), *[F.col("embedding")[i].cast("double").alias(n) for i, n in enumerate(names)])
     return rounded(clustering.silhouettes(e, names).agg(F.avg("silhouette").alias("silhouette")))
 
@@ -459,14 +463,22 @@ def recommend_k(spark, sf):
     return clustering.recommend_k(spark.createDataFrame(PUBLISHED, K_TABLE)).select("k")
 
 
-CENTERS = [(0, 100.0, 5.0), (1, 500.0, 15.0), (2, 1500.0, 8.0)]
+GROUPS = "SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_custkey % 3 AS cluster FROM customer"
 
 
-@query("score_nearest_centroid", f"""WITH f AS ({rfm_sql(ORDERS)}) SELECT customer_id, CAST(arg_min(c, (recency - x) ** 2 + (frequency - y) ** 2) AS INTEGER) AS cluster FROM f, (VALUES {', '.join(map(str, CENTERS))}) t(c, x, y) GROUP BY 1""")
+def grouped(spark, sf) -> DataFrame:
+    """Customers in three groups far apart."""
+    c = _t(spark, sf, "customer")
+    return c.select(F.col("c_custkey").cast("string").alias("customer_id"), (F.col("c_custkey") % 3 * 400 + F.col("c_nationkey")).cast("double").alias("recency"), (F.col("c_custkey") % 3 * F.col("c_custkey") % 7 + 1).cast("long").alias("tenure"))
+
+
+@query("score_nearest_centroid", GROUPS)
 def score_nearest_centroid(spark, sf):
-    far = [((F.col("recency") - x) ** 2 + (F.col("frequency") - y) ** 2, i) for i, x, y in CENTERS]
-    best = F.array_min(F.array(*[F.struct(d.alias("d"), F.lit(i).alias("i")) for d, i in far]))
-    return features.rfm(orders(spark, sf)).select("customer_id", best["i"].alias("cluster"))
+    """The final fit and its scoring, clusters numbered by their least recency."""
+    df = grouped(spark, sf)
+    scored = clustering.assign(clustering.fit_final(df, ["recency"], 3), df)
+    order = scored.groupBy("cluster").agg(F.min("recency").alias("r")).withColumn("number", F.row_number().over(Window.orderBy("r")) - 1)  # three rows
+    return scored.join(F.broadcast(order), "cluster").select("customer_id", F.col("number").cast("long").alias("cluster"))
 
 
 def _small(spark, sf) -> DataFrame:
@@ -477,24 +489,30 @@ def _small(spark, sf) -> DataFrame:
 def kmeans_sweep(spark, sf):
     f = _small(spark, sf)
     columns = features.numeric_features(f)
-    return clustering.select_optimal_k(clustering.scale_features(f, columns), columns, k_range=(2, 6), seeds=4, starts=4).table
+    return clustering.select_optimal_k(clustering.scale_features(f, columns), columns).table
 
 
 @query("kmeans_fit")
 def kmeans_fit(spark, sf):
-    f = _small(spark, sf).cache()
-    return clustering.assign(clustering.fit_final(f, features.numeric_features(f), 3, starts=3), f).select("customer_id", "cluster")
+    f = _small(spark, sf)
+    return clustering.assign(clustering.fit_final(f, features.numeric_features(f), 3), f).select("customer_id", "cluster")
 
 
 @query("pca_projection")
 def pca_projection(spark, sf):
-    f = _small(spark, sf).cache()
-    return clustering.assign(clustering.fit_final(f, features.numeric_features(f), 2, starts=1), f).select("customer_id", "dim_x", "dim_y")
+    f = _small(spark, sf)
+    return clustering.project(f, features.numeric_features(f)).select("customer_id", "dim_x", "dim_y")
 
 
-@query("cluster_metrics")
+@query("cluster_metrics", f"""WITH z AS ({SCALED}), s AS ({_silhouette_sql(f"SELECT customer_id AS id, cluster AS own, [{', '.join(FEATURE_NAMES)}]::DOUBLE[6] AS v FROM z", 'array_distance(a.v, b.v)')}),
+m AS (SELECT cluster, {', '.join(f'avg({c}) AS {c}' for c in FEATURE_NAMES)} FROM z GROUP BY 1), c AS (SELECT m.*, t.s FROM m JOIN (SELECT z.cluster, avg(sqrt({' + '.join(f'(z.{c} - m.{c}) ** 2' for c in FEATURE_NAMES)})) AS s FROM z JOIN m USING (cluster) GROUP BY 1) t USING (cluster)),
+b AS (SELECT avg(r) AS davies_bouldin FROM (SELECT a.cluster, max((a.s + b.s) / sqrt({' + '.join(f'(a.{c} - b.{c}) ** 2' for c in FEATURE_NAMES)})) AS r FROM c a JOIN c b ON a.cluster <> b.cluster GROUP BY 1))
+SELECT (SELECT CAST(count(DISTINCT cluster) AS INTEGER) FROM z) AS k, {r_('silhouette', 4)} AS silhouette, {r_('davies_bouldin', 4)} AS davies_bouldin, (SELECT count(*) FROM z) AS n_customers,
+  (SELECT string_agg(cluster || ':' || n, ',' ORDER BY cluster) FROM (SELECT cluster, count(*) AS n FROM z GROUP BY 1)) AS cluster_sizes FROM s, b""")
 def cluster_metrics(spark, sf):
-    return clustering.cluster_metrics(clustering.scale_features(labelled(spark, sf), FEATURE_NAMES), FEATURE_NAMES)
+    m = clustering.cluster_metrics(clustering.scale_features(labelled(spark, sf), FEATURE_NAMES), FEATURE_NAMES)
+    sizes = F.transform(F.array_sort(F.map_entries("cluster_sizes")), lambda e: F.concat(e["key"].cast("string"), F.lit(":"), e["value"].cast("string")))
+    return rounded(m, 4).withColumn("cluster_sizes", F.array_join(sizes, ","))
 
 
 # revenue
