@@ -1,11 +1,12 @@
 """From raw columns to the fixed schema: a profile of each column, a proposal, its validation, and the projection.
 
 The profile is one pass over the rows; proposals and validation handle one small record per column on the driver. ``propose`` works offline from
-names and values; any function from a profile to proposals (such as one that asks a language model) can take its place.
+names and values; ``model_mapper`` asks a language model in its place.
 """
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -18,8 +19,10 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schema import CONFIDENT, FIELDS, MIN_REQUIRED, REQUIRED, SAMPLES
 from ..sources.files import ROW, load_raw_file
+from .models import Provider, structured
 
 NONE = "none"
+Mapper = Callable[[list[dict]], list[dict]]
 
 
 def profile_columns(df: DataFrame, n: int = SAMPLES) -> DataFrame:
@@ -95,6 +98,31 @@ def propose(profile: list[dict]) -> list[dict]:
     return out
 
 
+def mapping_prompt(profile: list[dict]) -> str:
+    """What a language model is asked: the fields with their meaning, the rules, and the columns with their samples."""
+    optional = [f for f in FIELDS if f not in REQUIRED]
+    return "\n".join([
+        "Assign each column of an order export to one field of a fixed schema, by its name and its sample values.",
+        f"Needed fields: {', '.join(REQUIRED)}. Further fields: {', '.join(optional)}. A column that fits no field gets '{NONE}'.",
+        "No field may be used twice: the best column gets it, the others '" + NONE + "'.",
+        "order_value is the whole amount of an order or line. unit_price is the price of one piece; if the export has only that and a quantity, use unit_price and leave order_value out.",
+        "order_date is the day of the order, signup_date the day on which the customer registered.",
+        'Return {"mappings": [{"raw_column": name, "internal_field": field, "confidence": 0 to 1}, ...]} with one entry for each column.',
+        "Columns: " + json.dumps(profile, default=str, ensure_ascii=False),
+    ])
+
+
+def model_mapper(provider: Provider) -> Mapper:
+    """A mapper that asks a language model; columns that it leaves out are mapped to none."""
+
+    def ask(profile: list[dict]) -> list[dict]:
+        read = lambda x: {str(m["raw_column"]): m for m in x["mappings"] if float(m["confidence"]) >= 0 and m["internal_field"]}
+        found = structured(provider, mapping_prompt(profile), read)
+        return checked([found.get(c["name"], {"internal_field": NONE, "confidence": 0.0}) | {"raw_column": c["name"]} for c in profile])
+
+    return ask
+
+
 def checked(proposals: list[dict]) -> list[dict]:
     """Unknown fields become none, confidences lie in 0 to 1."""
     return [{"raw_column": p["raw_column"], "internal_field": p["internal_field"] if p["internal_field"] in FIELDS else NONE, "confidence": round(max(0.0, min(1.0, float(p["confidence"]))), 3)} for p in proposals]
@@ -190,9 +218,6 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{column[f]}`").alias(f) for f in FIELDS if f in column], *keep)
 
 
-Mapper = Callable[[list[dict]], list[dict]]
-
-
 def run_mapping(spark: SparkSession, path: str, mapper: Mapper = propose) -> tuple[DataFrame, list[dict], MappingReport]:
     """Reads, profiles, proposes, settles duplicates and validates: (raw table, proposals, report)."""
     raw = load_raw_file(spark, path)

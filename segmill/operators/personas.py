@@ -1,8 +1,9 @@
 """Profiles of clusters, their bands against all customers, and the persona and action of each. Rules replace a language model; the
-labeller is a function from profiles to labels, so another one can take its place."""
+labeller is a function from profiles to labels; ``label_by_model`` makes one that asks a model."""
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,8 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from ..schema import BANDS, FALLBACK_PERSONA, actions
+from ..schema import ACTIONS, BANDS, FALLBACK_PERSONA, actions
 from ..scratch import Scratch
+from .models import Provider, structured
 
 FIELDS = ["recency", "frequency", "monetary", "aov", "clv", "tenure"]
 
@@ -98,6 +100,24 @@ def label_by_rules(profile: DataFrame) -> DataFrame:
     return profile.withColumns({"persona": pick(0, FALLBACK_PERSONA), "reasoning": F.concat(pick(1, "no rule holds"), F.lit(": "), bands)})
 
 
+def label_by_model(provider: Provider) -> Callable[[DataFrame], DataFrame]:
+    """A labeller that shows a language model the profiles; clusters without a usable answer are labelled by the rules."""
+
+    def label(profile: DataFrame) -> DataFrame:
+        rows = [r.asDict(recursive=True) for r in profile.collect()]  # one row per cluster
+        personas = [p[0] for p in ACTIONS]
+        prompt = (
+            f"Give each cluster of customers one of these personas: {', '.join(personas)}. Bands compare its averages with all customers; features whose bands are alike in all clusters say nothing.\n"
+            f"Clusters: {json.dumps(rows, default=str)}\nReturn {{\"labels\": [{{\"cluster\": number, \"persona\": name, \"reasoning\": one sentence}}, ...]}}."
+        )
+        found = structured(provider, prompt, lambda x: {int(a["cluster"]): (str(a["persona"]), str(a.get("reasoning", ""))) for a in x["labels"]})
+        said = profile.sparkSession.createDataFrame([(c, p, r) for c, (p, r) in found.items() if p in personas], "cluster int, _persona string, _reasoning string")
+        ruled = label_by_rules(profile).join(F.broadcast(said), "cluster", "left")  # one row per cluster
+        return ruled.withColumns({"persona": F.coalesce("_persona", "persona"), "reasoning": F.coalesce("_reasoning", "reasoning")}).drop("_persona", "_reasoning")
+
+    return label
+
+
 def map_actions(labels: DataFrame) -> DataFrame:
     """labels (with persona) with action, channel, priority, priority_score; unknown personas get the fallback's."""
     table = actions(labels.sparkSession).withColumnRenamed("persona", "_persona")

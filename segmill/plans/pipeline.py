@@ -21,6 +21,7 @@ class Pipeline:
     labeller: object = personas.label_by_rules
     translator: questions.Translator = questions.translate
     kept: dict = field(default_factory=dict)
+    cleaned: cleaning.Cleaned | None = None
 
     def _keep(self, name: str, df: DataFrame) -> DataFrame:
         self.kept[name] = df.persist(StorageLevel.MEMORY_AND_DISK)
@@ -28,9 +29,11 @@ class Pipeline:
 
     def forget(self) -> None:
         for df in self.kept.values():
-            if isinstance(df, DataFrame):
-                df.unpersist()
+            df.unpersist()
         self.kept.clear()
+        if self.cleaned:
+            self.cleaned.release()
+            self.cleaned = None
 
     def load(self, path: str, overrides: dict[str, str] | None = None) -> mapping.MappingReport:
         self.forget()
@@ -39,8 +42,9 @@ class Pipeline:
         return report
 
     def clean(self, reference: dt.datetime | None = None) -> dict:
-        done = cleaning.clean(self.raw, reference)
-        self.lines, self.report = self._keep("lines", done.lines), done.report_dict()
+        self.cleaned = cleaning.clean(self.raw, reference)
+        self.lines, self.report = self._keep("lines", self.cleaned.lines), self.cleaned.report_dict()
+        self.warnings = cleaning.warnings(self.report)
         if not self.report["rows_out"]:
             raise ValueError("no rows are left after cleaning")
         return self.report

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmill.operators import cleaning, clustering, features, mapping, personas, questions, revenue
+from segmill.operators import cleaning, clustering, features, mapping, models, personas, questions, revenue
 from segmill.plans.pipeline import Pipeline
 from segmill.schema import K_TABLE, ORDER_LINE
 from segmill.sources import files
@@ -310,23 +310,80 @@ def test_example_questions(customers):
     assert got[3]["result"].first()[0] == 4
 
 
-def test_unanswerable_and_unsafe(spark, customers):
-    assert questions.answer("What is the weather?", customers)["error"]
-    customers.createOrReplaceTempView("customers")
-    for sql in ("DROP TABLE customers", "SELECT 1", "SELECT * FROM other", "SELECT * FROM customers; DROP TABLE x", "SELECT * FROM customers JOIN parquet.`/etc`", "INSERT INTO customers SELECT 1", "SELECT reflect('java.lang.System', 'exit', 0) FROM customers", "SELECT (SELECT max(x) FROM secret) FROM customers"):
-        assert not questions.is_safe(spark, sql)
-        assert questions.answer("customers?", customers, lambda q, s, sql=sql: questions.Translation(sql))["error"]
-    assert questions.is_safe(spark, "SELECT persona, avg(monetary) FROM customers WHERE frequency > 1 GROUP BY persona ORDER BY 1 LIMIT 5")
-
-
-def test_structured_answers_are_asked_again():
-    class Model:
-        answers = ["nonsense", '```json\n{"a": 1}\n```']
-
-        def complete(self, prompt, temperature=0.2):
-            return self.answers.pop(0)
-
-    assert questions.structured(Model(), "?", lambda x: x) == {"a": 1}
+def test_unanswerable_and_unsafe(customers):
+    got = questions.answer("What is the weather?", customers)
+    assert got["error"] and got["out_of_scope"] and got["result"] is None
+    q = questions.Query
+    unsafe = [
+        q(), q(measure="count", filters=[("nowhere", "=", 1)]), q(measure="count", filters=[("persona", "LIKE", "x")]), q(measure="count", filters=[("persona", "=", ["x"])]), q(measure="reflect", column="monetary"),
+        q(measure="avg", column="java_method('x')"), q(columns=["customer_id", "secret"]), q(columns=["customer_id"], limit=0), q(columns=["customer_id"], limit=10**6), q(columns=["customer_id"], order=[("monetary", True)]), q(columns=["customer_id"], group="persona"),
+    ]
+    for query in unsafe:
+        assert questions.is_safe(query, customers.columns)
+        assert questions.answer("customers?", customers, lambda q, s, query=query: questions.Translation(query))["error"]
+    fine = q([("frequency", ">", 1)], "persona", "avg", "monetary", order=[("persona", False)], limit=5)
+    assert questions.is_safe(fine, customers.columns) is None and [tuple(r) for r in questions.run(fine, customers).collect()] == [("Loyal Big Spenders", 8.0), ("One-Time Buyers", 5.0)]  # rows 2, 5, 8 and 11
+
+
+class Model:
+    def __init__(self, *answers):
+        self.answers, self.prompts = list(answers), []
+
+    def complete(self, prompt, temperature=0.2):
+        self.prompts.append(prompt)
+        answer = self.answers.pop(0)
+        if isinstance(answer, Exception):
+            raise answer
+        return answer
+
+
+def test_models_answers_are_asked_again():
+    assert models.structured(Model("nonsense", '```json\n{"a": 1}\n```'), "?", lambda x: x) == {"a": 1}
+    assert models.text(Model(OSError("gone"), " fine "), "?", pause=0) == "fine"
+    with pytest.raises(RuntimeError):
+        models.text(Model(*[OSError("gone")] * 3), "?", pause=0)
+
+
+def test_models_in_the_place_of_rules(spark, customers):
+    profile = [{"name": "Kunde", "samples": ["1"], "non_null": 1, "null": 0}, {"name": "Rest", "samples": [], "non_null": 0, "null": 1}]
+    model = Model('{"mappings": [{"raw_column": "Kunde", "internal_field": "customer_id", "confidence": 0.9}]}')
+    assert mapping.model_mapper(model)(profile) == [{"raw_column": "Kunde", "internal_field": "customer_id", "confidence": 0.9}, {"raw_column": "Rest", "internal_field": "none", "confidence": 0.0}]
+    assert all(f in model.prompts[0] for f in ("customer_id", "unit_price", "Kunde"))
+    ask = questions.model_translator(Model('{"filters": [["frequency", ">", 1]], "measure": "count"}', '{"reason": "no"}'))
+    got = questions.answer("how many came back?", customers, ask, provider=Model("Four came back."))
+    assert got["text"] == "Four came back." and got["result"].first()[0] == 4
+    assert questions.answer("weather?", customers, ask)["out_of_scope"]
+    df = spark.createDataFrame([(i // 25, float(100 - i), float(i), float(i * i), float(i)) for i in range(100)], "cluster int, recency double, frequency double, monetary double, tenure double")
+    label = personas.label_by_model(Model('{"labels": [{"cluster": 0, "persona": "Low Engagement", "reasoning": "quiet"}, {"cluster": 1, "persona": "Strangers"}]}'))
+    by = {r["cluster"]: r["persona"] for r in personas.segments(personas.profiles(df), label).collect()}
+    assert by[0] == "Low Engagement" and by[3] == "Loyal Big Spenders"
+
+
+def test_provider_from_settings(spark):
+    import http.server
+    import threading
+
+    class Endpoint(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            body = json.dumps({"choices": [{"message": {"content": f"{asked['model']}:{asked['messages'][0]['content']}:{self.headers['Authorization']}"}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    with pytest.raises(RuntimeError):
+        models.get_provider(spark)
+    server = http.server.HTTPServer(("127.0.0.1", 0), Endpoint)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    for name, value in (("url", f"http://127.0.0.1:{server.server_port}/v1/"), ("key", "k"), ("name", "m")):
+        spark.conf.set(f"spark.segmill.model_{name}", value)
+    assert models.text(models.get_provider(spark), "hello") == "m:hello:Bearer k" and models.get_provider(spark) is models.get_provider(spark)
+    for name in ("url", "key", "name"):
+        spark.conf.unset(f"spark.segmill.model_{name}")
+    server.shutdown()
 
 
 # everything
