@@ -526,7 +526,7 @@ def revenue_concentration(spark, sf):
     return revenue.concentration(with_personas(spark, sf))
 
 
-@query("revenue_totals", f"SELECT {r2(total('monetary'))} AS total_revenue, count(*) AS total_customers, 0::BIGINT AS excluded_count, {r2(f'{total("monetary")} / count(*)')} AS avg_revenue_per_customer FROM ({PERSONAS})")
+@query("revenue_totals", f"SELECT {r2(total('monetary'))} AS total_revenue, count(*) FILTER (monetary > 0) AS total_customers, count(*) FILTER (coalesce(monetary, 0) <= 0) AS excluded_count, {r2(f'{total("monetary")} / count(*)')} AS avg_revenue_per_customer FROM ({PERSONAS})")
 def revenue_totals(spark, sf):
     return revenue.concentration_totals(with_personas(spark, sf)).select(F.col("total_revenue"), "total_customers", "excluded_count", "avg_revenue_per_customer")
 
@@ -542,9 +542,10 @@ def revenue_display(spark, sf):
 
 
 @query("clv_at_risk", f"""WITH p AS (SELECT *, persona = 'At-Risk High Value' AS r FROM ({PERSONAS})) SELECT bool_or(r) AS any_at_risk, {r2(f"coalesce({total('CASE WHEN r THEN clv END')}, 0)")} AS total_clv_at_risk, count(*) FILTER (r) AS customer_count_at_risk,
-{r2(f"coalesce({total('CASE WHEN r THEN clv END')}, 0) / {total('clv')} * 100")} AS pct_of_total_clv_at_risk, {r2('count(*) FILTER (r) / count(*) * 100')} AS pct_of_total_customers_at_risk, {r2(total('clv'))} AS total_clv FROM p""")
+{r2(f"coalesce({total('CASE WHEN r THEN clv END')}, 0) / {total('clv')} * 100")} AS pct_of_total_clv_at_risk, {r2('count(*) FILTER (r) / count(*) * 100')} AS pct_of_total_customers_at_risk, {r2(total('clv'))} AS total_clv,
+coalesce(list_sort(list(DISTINCT persona) FILTER (r)), []) AS matched_segments, count(*) FILTER (coalesce(clv, 0) <= 0) AS excluded_count FROM p""")
 def clv_at_risk(spark, sf):
-    return revenue.clv_at_risk(with_personas(spark, sf), patterns=AT_RISK).drop("matched_segments", "excluded_count")
+    return revenue.clv_at_risk(with_personas(spark, sf), patterns=AT_RISK)
 
 
 @query("clv_breakdown", f"WITH p AS ({PERSONAS}), t AS (SELECT {total('clv')} AS t FROM p) SELECT persona AS segment, count(*) AS customer_count, {r2(total('clv'))} AS total_clv, {r2(f'{total("clv")} / any_value(t) * 100')} AS pct_of_total_clv FROM p, t WHERE persona = 'At-Risk High Value' GROUP BY 1")

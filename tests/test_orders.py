@@ -233,6 +233,17 @@ def test_three_blobs(spark):
     assert got.table.schema == K_TABLE and not got.sampled
 
 
+def test_picture_of_the_selection(spark, tmp_path):
+    import xml.etree.ElementTree as xml
+
+    table = spark.createDataFrame([(2, 0.3, 1.0, 0.9, 0.4, False), (3, 0.4, 0.9, 0.95, 0.2, False), (4, None, None, 0.5, 0.01, True)], K_TABLE)
+    selection = clustering.Selection(table, 3, "", False, (2, 4))
+    clustering.save_diagnostic(selection, str(tmp_path / "plot"))
+    tree = xml.fromstring("\n".join(r["value"] for r in spark.read.text(str(tmp_path / "plot")).collect()))
+    marks = [e for e in tree.iter() if e.tag.endswith("circle")]
+    assert len(marks) == 2 + 2 + 3 and sum(e.get("fill") == "white" for e in marks) == 1
+
+
 def test_small_cluster_is_disqualified(spark):
     got = clustering.select_optimal_k(blobs(spark, [(0, 0), (12, 12), (24, 0)], [220, 220, 25]), ["f0", "f1"], k_range=(2, 5), min_share=0.08, starts=3)
     rows = {r["k"]: r for r in got.table.collect()}
