@@ -45,8 +45,8 @@ SHINGLE, BANDS, ROWS = 5, 32, 6
 BASE, RATE, TOP = 1.001, 20.0, 65_534
 MARGIN = 5.0
 PARITIES = 2_048
-#: Members of a bucket's block.
-BLOCK = 512
+#: Members of a bucket's block, blocks of a bucket unless that makes larger ones than the largest.
+BLOCK, COPIES, LARGEST = 512, 64, 8_192
 _RNG = np.random.default_rng(2024)
 _FACTORS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _SHIFTS = _RNG.integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2)
@@ -250,7 +250,8 @@ def _between_components(rows: DataFrame, members: DataFrame, limit: float, keep:
     """All pairs of members of different components that share a bucket and may be linked; rows: key, id, comp. Buckets are dealt into
     blocks of about BLOCK members, and a task sees two blocks at a time; a pair comes from the first band that it shares only."""
     keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("size")).filter("lo < hi")
-    keys = keep(keys.select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "mixed")
+    pieces = F.greatest(F.least(F.ceil(F.col("size") / BLOCK), F.lit(COPIES)), F.ceil(F.col("size") / LARGEST))  # a sketch travels so often
+    keys = keep(keys.select("key", pieces.cast("int").alias("blocks")), "mixed")
     rows = keep(rows.join(keys, "key"), "mixed-rows")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     dealt = rows.join(members, "id").select("key", "id", "comp", "n", "sketch", own.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))

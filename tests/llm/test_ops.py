@@ -85,6 +85,28 @@ def test_token_files(docs, none):
     assert tokenfiles.read_documents(tokenfiles.write_token_files(none, path)).count() == 0
 
 
+def test_rows_of_one_doc_id_are_kept_apart(spark):
+    rows = [(5, "alpha beta"), (5, "gamma"), (5, "gamma"), (None, "delta"), (None, "epsilon zeta"), (4, prose(3, 2000))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for file, end in (("byte_bpe_50k.json", 2), ("word_bpe_49k.json", 1)):
+        lib = encoder(P.path(file), file[:4]).tokenizer
+        want = Counter()
+        for d, t in rows:
+            ids = [*lib.encode(t, add_special_tokens=False).ids, end]
+            want[d, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))] += 1
+        if end == 2:
+            got = tokenfiles.read_documents(tokenfiles.write_token_files(df, P.path(file))).collect()
+            assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+            at = 0
+            for r in sorted(got, key=lambda r: r["start"]):
+                assert r["start"] == at
+                at += r["n_tokens"]
+            assert [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])] == [None, None, 4, 5, 5, 5]
+        else:
+            got = packing.pack_documents(df, P.path(file)).collect()
+            assert Counter((r["doc_id"], r["length"], r["ids_crc32"]) for r in got) == want and check_packing(got, packing.CAPACITY) == 1
+
+
 def test_single_tokens_are_taken_through_the_rank_directories(spark, docs, none):
     path = P.path("byte_bpe_50k.json")
     blocks = tokenfiles.write_token_files(docs, path)
