@@ -59,7 +59,7 @@ def profiles(df: DataFrame) -> DataFrame:
     """Per cluster: size, share_pct, averages, relative (bands of the rounded averages), top_category; highest mean monetary first."""
     fields = present(df)
     top = [F.mode("top_category", True).alias("top_category")] if "top_category" in df.columns else [F.lit(None).cast("string").alias("top_category")]
-    per = df.groupBy("cluster").agg(F.count("*").alias("size"), *[S.round2(F.avg(f)).alias(f) for f in fields], *top)
+    per = df.groupBy("cluster").agg(F.count("*").alias("size"), *[S.round2(S.money_sum(F.col(f)) / F.count(f)).alias(f) for f in fields], *top)
     edges = quintile_edges(df, fields).select(F.struct(*fields).alias("_edges"))
     rows = per.crossJoin(F.broadcast(edges))  # one row
     pairs = lambda make: F.create_map(*[x for f in fields for x in (F.lit(f), make(f))])

@@ -358,7 +358,7 @@ def quintile_edges(spark, sf):
 
 BAND_LIST = "['very_low', 'low', 'mid', 'high', 'very_high']"
 PROFILES = f"""WITH l AS ({LABELLED}), e AS (SELECT {', '.join(f'quantile_cont(CAST({c} AS DOUBLE), [0.2, 0.4, 0.6, 0.8]) AS e_{c}' for c in FEATURE_NAMES)} FROM l),
-p AS (SELECT cluster, count(*) AS size, {', '.join(f'{r2(f"avg({c})")} AS {c}' for c in FEATURE_NAMES)}, (SELECT count(*) FROM l) AS n FROM l GROUP BY cluster),
+p AS (SELECT cluster, count(*) AS size, {', '.join(f'{r2(f"{total(c)} / count({c})")} AS {c}' for c in FEATURE_NAMES)}, (SELECT count(*) FROM l) AS n FROM l GROUP BY cluster),
 b AS (SELECT p.*, {', '.join(f'({BAND_LIST})[1 + len(list_filter(e_{c}, lambda x: x <= {c}))] AS b_{c}' for c in FEATURE_NAMES)} FROM p, e)"""
 
 
