@@ -6,7 +6,7 @@ null; empty bytes give no streams. A page's granule position belongs to the last
 on the page, and pages on which none ends (position -1), have none. A timestamp is position / rate in seconds.
 
 The query stores a payload as 8-bit samples in two logical streams which take turns block by block. Null text counts as empty.
-Equal texts give equal bytes, so repeated rows give equal results; an empty table gives no rows; only doc_id and text are read.
+Long texts are stored whole, in as many pages as they need. Equal texts give equal bytes, so repeated rows give equal results; an empty table gives no rows; only doc_id and text are read.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ No piece reaches over the start of a run of spaces, so lattices are built once p
 sampling and truncated noise are numpy over all texts of a slice. Noise depends only on the row's key, the sample's number and the
 place in the text, so results don't depend on batches, partitions or retries.
 
+Long texts are sampled whole; a slice's tables grow with the characters of its distinct words times the longest piece, so a text without any
+space takes the most memory. Equal perturbed scores (which differ with probability one) go by the order in which regions were found.
 Null and empty texts have one segmentation, without pieces. A text with fewer than k segmentations gives all of them. Equal keys
 and texts give equal results, so repeated rows repeat; an empty table gives no rows. Columns besides the key and the text are ignored.
 """
