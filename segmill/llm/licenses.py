@@ -204,9 +204,8 @@ def sentence_ids(text: Column, paragraphs: bool) -> Column:
     t = F.regexp_replace(t, SENTENCE_END, "\n")
     known = F.create_map(*[F.lit(x) for name, sentence in SENTENCES.items() for x in (sentence, name)])
     plain = F.transform(F.split(t, "\n", -1), lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    sizes = sorted(map(len, SENTENCES.values()))
-    likely = F.filter(plain, lambda s: F.length(s).between(sizes[0], sizes[-1]))
-    return F.filter(F.transform(likely, lambda s: F.try_element_at(known, s)), lambda x: x.isNotNull())
+    likely = F.filter(plain, lambda s: s.isin(*SENTENCES.values()))  # one hash look-up; the map is searched for known sentences only
+    return F.transform(likely, lambda s: F.element_at(known, s))
 
 
 def licences(ids: Column) -> Column:
