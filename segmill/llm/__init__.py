@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import langid, licenses, neardup, ogg, packing, pieces, quality, secrets, tokenfiles, topk
+from . import alignment, fingerprints, langid, licenses, neardup, ogg, packing, pieces, quality, runs, secrets, tokenfiles, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_licenses": licenses.op8_licenses,
         "op9_token_files": tokenfiles.op9_token_files,
         "op10_packing": packing.op10_packing,
+        "op11_periodic_runs": runs.op11_periodic_runs,
+        "op12_fingerprints": fingerprints.op12_fingerprints,
+        "op13_alignment": alignment.op13_alignment,
     }
 
 
