@@ -225,7 +225,8 @@ def _dealt(docs: DataFrame, parts: int) -> DataFrame:
     The driver sees the first key of each range only."""
     rows = unique_columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("_hash"), "text")
     order = [F.col("doc_id").desc_nulls_last(), F.col("_hash").asc()]
-    keys = rows.select(*_ORDER).repartitionByRange(parts, *order)
+    # Several ranges for each task, since they are dealt by hash.
+    keys = rows.select(*_ORDER).repartitionByRange(4 * parts, *order)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), (-F.col("doc_id")).alias("minus"), F.col("_hash").alias("h")))
     firsts = [(None if r["f"]["none"] else -r["f"]["minus"], r["f"]["h"]) for r in keys.groupBy(F.spark_partition_id()).agg(first.alias("f")).select("f").collect()]
     firsts = sorted(set(firsts), key=_before)
