@@ -10,8 +10,9 @@ from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions.categories import CATEGORIES, normalize_category
-from ..operators import cleaning, clustering, features, mapping, personas, questions, revenue
+from ..operators import cleaning, clustering, embedding, features, mapping, personas, questions, revenue
 from ..schema import ACTIONS, AT_RISK, FIELDS, K_TABLE, MARGIN
+from ..scratch import materialize
 from ..sources.files import ROW, sample_orders
 
 QUERIES: dict = {}
@@ -449,6 +450,39 @@ def silhouette_exact(spark, sf):
     return rounded(clustering.silhouettes(e, names).agg(F.avg("silhouette").alias("silhouette")))
 
 
+_POINTS = f"SELECT customer_id AS id, cluster AS own, [{', '.join(FEATURE_NAMES)}]::DOUBLE[6] AS v FROM z"
+
+
+@query("silhouette_bounds", f"WITH z AS ({SCALED}) SELECT {r_('silhouette')} AS silhouette, true AS holds, true AS narrow FROM ({_silhouette_sql(_POINTS, 'array_distance(a.v, b.v)')})")
+def silhouette_bounds(spark, sf):
+    """The tree's mean silhouette at tolerance 0, and whether the bounds at 0.05 hold it and are that narrow."""
+    points = clustering.scale_features(labelled(spark, sf), FEATURE_NAMES)
+    exact = clustering.silhouette_bounds(points, FEATURE_NAMES, tolerance=0.0).select(F.col("silhouette_low").alias("silhouette"))
+    wide = clustering.silhouette_bounds(points, FEATURE_NAMES, tolerance=0.05)
+    one = exact.crossJoin(F.broadcast(wide))  # one row each
+    held = F.col("silhouette").between(F.col("silhouette_low") - 1e-12, F.col("silhouette_high") + 1e-12)
+    return rounded(one.select("silhouette", held.alias("holds"), (F.col("silhouette_high") - F.col("silhouette_low") <= 0.05).alias("narrow")))
+
+
+@query("neighbour_distances", f"""WITH z AS ({SCALED}), c AS ({_POINTS}), p AS (SELECT DISTINCT v FROM c),
+d AS (SELECT id, array_distance(c.v, p.v) AS far, row_number() OVER (PARTITION BY id ORDER BY array_distance(c.v, p.v)) AS rank FROM c JOIN p ON c.v <> p.v) SELECT id AS customer_id, CAST(rank AS INTEGER) AS rank, {r_('far', 4)} AS far FROM d WHERE rank <= 5""")
+def neighbour_distances(spark, sf):
+    """Distances from every customer to the five nearest other points, by neighbour descent and its certification."""
+    z = clustering.scale_features(labelled(spark, sf), FEATURE_NAMES).select("customer_id", F.array(*[F.col(c) + F.lit(0.0) for c in FEATURE_NAMES]).alias("x"))
+    z = materialize(z, "scaled")
+    named = z.select("customer_id", "x", *[F.col("x")[i].alias(c) for i, c in enumerate(FEATURE_NAMES)])
+    found = embedding.neighbour_distances(named, FEATURE_NAMES, 5)
+    return rounded(z.join(found, "x").select("customer_id", "rank", "far"), 4)
+
+
+@query("embedding_projection", f"SELECT count(*) AS customers, count(*) AS placed, true AS trustworthy FROM ({LABELLED})")
+def embedding_projection(spark, sf):
+    """The layout of all customers: how many got a place, and whether its trustworthiness is 0.9 or more."""
+    shown = embedding.embedding_projection(clustering.scale_features(labelled(spark, sf), FEATURE_NAMES), FEATURE_NAMES)
+    trust = embedding.trustworthiness(shown, FEATURE_NAMES)
+    return shown.agg(F.count("*").alias("customers"), F.count(F.col("dim_x") + F.col("dim_y")).alias("placed")).withColumn("trustworthy", F.lit(trust >= 0.9))
+
+
 #: A published selection table, for which k = 2 must be recommended.
 PUBLISHED = [
     (2, 0.3377, 1.1185, 0.9993, 0.4002, False), (3, 0.3333, 1.1159, 0.9902, 0.2356, False), (4, 0.3006, 1.1163, 0.9984, 0.1676, False), (5, 0.2937, 1.0583, 1.0, 0.1568, False),
