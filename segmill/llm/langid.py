@@ -6,13 +6,15 @@ context without its first byte; a context never seen passes on free of charge; b
 statistics are frozen, so a text's code length is a sum over its bytes, and the whole cost of each n-gram that any language has
 seen is worked out once; only n-grams that none has seen are escaped step by step. The shortest code names the language.
 
-The trees are learned from at most ``TRAIN_ROWS`` distinct excerpts of at most ``TRAIN_CHARS`` characters for each of the ``LANGUAGES``
-most frequent languages: whole texts if they are that short, else a stretch whose place a hash decides, and of a language's excerpts
-those with the least hashes. These are the documented bounds of this classifier's sample. Texts are scored whole.
-
-score is the share of the winner's probability 2**-bits among all languages. Null text and text without a letter are ``und`` with
-score 0, as is everything if nothing was learned. Ties go to the first language by name. Rows are independent; an empty table gives
-no rows; only doc_id and text are read for a prediction.
+The trees are learned from at most ``TRAIN_ROWS`` distinct texts of each language, of all languages there are: those with the least hashes,
+however many copies they have, and of texts longer than ``TRAIN_CHARS`` characters a stretch whose place the hash decides. With more than
+``TRAIN_TEXTS`` / ``TRAIN_ROWS`` languages each has a smaller share of ``TRAIN_TEXTS``, but ``TRAIN_LEAST`` texts. These are the documented bounds
+of this classifier's sample. Texts are scored whole.
+
+score is the share of the winner's probability 2**-bits among all languages. Null text and text without a letter (``str.isalpha``; number
+signs are none) are ``und`` with score 0, as is everything if nothing was learned. Ties go to the first language by name. Rows are
+independent; an empty table gives no rows; only doc_id and text are read for a prediction. held_out is null for a null doc_id, which is
+never learned from.
 """
 
 from __future__ import annotations
@@ -30,11 +32,15 @@ from .common import read_table, slices
 from .hashing import Lookup
 
 ORDER = 3
-TRAIN_ROWS, TRAIN_CHARS, LANGUAGES = 1_000, 20_000, 100
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_TEXTS, TRAIN_LEAST = 1_000, 20_000, 100_000, 20
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
-#: The same for Spark.
-LETTERS = r"[\p{L}\p{No}\p{Nl}]"
+#: A letter, for Spark.
+LETTERS = r"\p{L}"
+
+
+def has_letter(text: str) -> bool:
+    return any(m.group().isalpha() for m in LETTER.finditer(text))
 
 
 def padded(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -136,7 +142,7 @@ class PartialMatching:
         bits = self.code_lengths(raw)
         langs, scores, rates = [], [], []
         for t, b, row in zip(texts, raw, bits):
-            if not t or not self.langs or not LETTER.search(t):
+            if not t or not self.langs or not has_letter(t):
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 rates.append(None)
@@ -153,16 +159,17 @@ def remainder(doc_id: Column, n: int) -> Column:
 
 
 def train(rows: DataFrame) -> PartialMatching:
-    """rows: text, lang. The driver gets at most LANGUAGES times TRAIN_ROWS excerpts. Copies of a text count once."""
-    usable = rows.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", "text")
-    common = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    h = F.xxhash64("text")
-    begin = F.pmod(h, F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
+    """rows: text, lang. Copies of a text count once, so no number of them hides a language's other texts. The driver gets the sample."""
+    usable = rows.filter("text IS NOT NULL AND lang IS NOT NULL AND text <> ''").select("lang", F.xxhash64("text").alias("h"), "text")
+    langs = usable.select("lang").distinct().count()
+    share = max(TRAIN_LEAST, min(TRAIN_ROWS, TRAIN_TEXTS // max(1, langs)))
+    least = F.row_number().over(Window.partitionBy("lang").orderBy("h"))  # a task sends ``share`` hashes of a language at most
+    wanted = usable.select("lang", "h").distinct().withColumn("r", least).filter(F.col("r") <= share)
+    begin = F.pmod("h", F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1
     excerpt = F.when(F.length("text") > TRAIN_CHARS, F.substring("text", begin, F.lit(TRAIN_CHARS))).otherwise(F.col("text"))
-    some = F.pmod(h, F.lit(1 << 20)) * F.col("count") < F.lit(2 * TRAIN_ROWS << 20)  # about twice as many rows as are wanted, copies included
-    near = usable.join(F.broadcast(common), "lang").filter(some).select("lang", h.alias("h"), excerpt.alias("text"))  # LANGUAGES rows at most
-    least = F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))  # a task sends TRAIN_ROWS rows of a language at most
-    chosen = near.groupBy("lang", "h").agg(F.min("text").alias("text")).withColumn("r", least).filter(F.col("r") <= TRAIN_ROWS)
+    few = F.broadcast(wanted) if langs * share <= 2 * TRAIN_TEXTS else wanted
+    near = usable.join(few, ["lang", "h"]).select("lang", "r", excerpt.alias("text"))
+    chosen = near.groupBy("lang", "r").agg(F.min("text").alias("text"))
     samples: dict[str, list[bytes]] = {}
     for r in chosen.select("lang", "text", "r").orderBy("lang", "r").collect():
         samples.setdefault(r["lang"], []).append(r["text"].encode())

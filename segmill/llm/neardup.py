@@ -142,7 +142,7 @@ def _batch(names: str, *columns) -> pa.RecordBatch:
 
 
 def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, k1, k2 (hash of the set), sketch (registers and parities; null for empty sets)."""
+    """doc_id, n_shingles, k1, k2 (hash of the set), sketch (registers and parities; null for empty sets), h (hash of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +151,10 @@ def sketches(docs: DataFrame) -> DataFrame:
                 sets = shingle_sets(texts[a:b])
                 k1, k2 = zip(*map(_set_hash, sets))
                 both = pa.array([sketch(s).tobytes() + parities(s).tobytes() if len(s) else None for s in sets], pa.binary())
-                yield _batch("doc_id n_shingles k1 k2 sketch", batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), both)
+                yield _batch("doc_id n_shingles k1 k2 sketch h", batch.column(0).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), both, batch.column(2).slice(a, b - a))
 
-    return unique_columns(docs, ["doc_id", "text"]).withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary")
+    rows = unique_columns(docs, ["doc_id", "text"]).select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, sketch binary, h long")
 
 
 def _bands(reps: DataFrame) -> DataFrame:
@@ -312,7 +313,8 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
 
 
 def _whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """id, elements: the members' sets, made from texts of their doc_id that have the set's hash."""
+    """id, elements: the members' sets, made from the texts of their doc_id and text hash that have the set's hash. Rows that only share a
+    doc_id don't meet each other's members."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,7 +323,8 @@ def _whole_sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 found = [(i, s) for i, s in enumerate(shingle_sets(texts[a:b]), a) if _set_hash(s) == wanted[i]]
                 yield _batch("id elements", batch.column(0).take(pa.array([i for i, _ in found], pa.int64())), pa.array([s.tobytes() for _, s in found], pa.binary()))
 
-    texts = docs.join(members.select("id", "k1", "k2", F.col("doc").alias("doc_id")), "doc_id").select("id", "k1", "k2", "text").filter("text IS NOT NULL")
+    keyed = docs.filter("text IS NOT NULL").withColumn("h", F.xxhash64("text"))
+    texts = keyed.join(members.select("id", "k1", "k2", F.col("doc").alias("doc_id"), "h"), ["doc_id", "h"]).select("id", "k1", "k2", "text")
     return texts.mapInArrow(run, "id long, elements binary").groupBy("id").agg(F.first("elements").alias("elements"))  # equal ones
 
 
@@ -375,10 +378,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85) -> DataFrame:
     keep = scratch.keep
     all_sketches = keep(sketches(docs), "sketches")
     of = all_sketches.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("k1", "k2")
-    reps = of.agg(F.min("doc_id").alias("doc"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    first = F.min(F.struct("doc_id", "h")).alias("first")
+    reps = of.agg(first, F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")).select("k1", "k2", "first.doc_id", "first.h", "n", "sketch").withColumnRenamed("doc_id", "doc")
     reps = keep(reps.withColumn("id", F.monotonically_increasing_id()), "representatives")
     buckets = keep(_shared(_bands(reps)), "buckets")
-    members = keep(reps.join(buckets.select("id").distinct(), "id").select("id", "doc", "k1", "k2", "n", "sketch"), "members")
+    members = keep(reps.join(buckets.select("id").distinct(), "id").select("id", "doc", "h", "k1", "k2", "n", "sketch"), "members")
     sets, several = keep(_whole_sets(docs, members), "sets"), members.count()
     tested, comps, turn, whole = None, None, 0, several == 0
     while not whole:

@@ -230,7 +230,8 @@ def train(docs: DataFrame, labels: DataFrame) -> Scorer:
     docs = unique_columns(docs, ["doc_id", "text"])
     vectors = word_vectors(docs)
     known = labels.select("doc_id", F.col("quality").cast("double").alias("q")).dropna().groupBy("doc_id").agg(F.avg("q").alias("q")).filter("q <> 0.5")
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).withColumnRenamed("doc_id", "_id")
+    here = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi")  # labels of other documents take no place in the sample
+    chosen = here.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS).withColumnRenamed("doc_id", "_id")
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -39,7 +39,7 @@ NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Words that announce made-up secrets, and prefixes of issued keys.
 CUES = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "key", "bearer", "authorization", "credential", "credentials", "auth", "access_key", "secret_key", "private_key")
 PREFIXES = ("ghp_", "gho_", "sk-", "sk_live_", "xoxb-", "glpat-", "eyJ")
-#: Rows that the training sample is drawn from, texts of it at most, characters of each at most.
+#: Distinct texts that the training sample is drawn from, texts of it at most, characters of each at most.
 TRAIN_POOL, TRAIN_ROWS, TRAIN_CHARS = 20_000, 1_500, 20_000
 #: Windows of tokens that the weights are fitted to at most.
 WINDOWS = 4_000
@@ -308,9 +308,10 @@ def m_start(text: str, start: int) -> int:
 
 
 def training_sample(docs: DataFrame) -> DataFrame:
-    """text: at most TRAIN_ROWS distinct texts with what looks like a secret, chosen by a hash of the text among about TRAIN_POOL rows; of
+    """text: at most TRAIN_ROWS distinct texts with what looks like a secret, chosen by a hash of the text among about TRAIN_POOL distinct ones; of
     longer ones a stretch of TRAIN_CHARS characters whose place the hash decides."""
-    n, h = docs.count(), F.xxhash64("text")
+    h = F.xxhash64("text")
+    n = docs.agg(F.approx_count_distinct(h)).first()[0]  # copies don't thin out the others
     one_in = max(1, n // TRAIN_POOL)
     pool = docs.filter(F.pmod(h, F.lit(one_in)) == 0) if one_in > 1 else docs
     begin = F.pmod(h, F.greatest(F.length("text") - TRAIN_CHARS + 1, F.lit(1))).cast("int") + 1

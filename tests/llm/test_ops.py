@@ -342,15 +342,35 @@ def test_language_edges(docs, none, spark):
 def test_language_samples_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(langid, "TRAIN_ROWS", 20)
     monkeypatch.setattr(langid, "TRAIN_CHARS", 50)
-    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    monkeypatch.setattr(langid, "TRAIN_TEXTS", 200)
+    monkeypatch.setattr(langid, "TRAIN_LEAST", 5)
     rows = [("the same text", "en")] * 400 + [(prose(i, 30), "en") for i in range(100)] + [(prose(i, 4), f"x{i}") for i in range(30)] + [("y" * 5000, "de")] * 3 + [("z", "fr")] * 2
     found = []
     monkeypatch.setattr(langid, "PartialMatching", lambda samples, *a: found.append(samples))
     langid.train(spark.createDataFrame(rows, "text string, lang string").repartition(3))
-    assert set(found[0]) == {"en", "de", "fr"} and 5 <= len(found[0]["en"]) <= 20 and len(set(found[0]["en"])) == len(found[0]["en"])
+    assert set(found[0]) == {"en", "de", "fr", *[f"x{i}" for i in range(30)]} and len(found[0]["en"]) == len(set(found[0]["en"])) == 6
     assert [len(t) for t in found[0]["de"]] == [50] and all(len(t) <= 50 for t in found[0]["en"])
 
 
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_no_language_is_lost_over_its_copies(spark, seed):
+    others = spark.createDataFrame([(prose(1000 * seed + i, 30), "en") for i in range(60)], "text string, lang string")
+    table = spark.range(200_000).selectExpr(f"'copy number {seed} of one text' AS text", "'en' AS lang").unionByName(others)
+    model = langid.train(table)
+    assert model.langs == ["en"] and model.predict([prose(7, 20)])[0] == ["en"]
+
+
+def test_many_languages(spark):
+    words = lambda i, n: " ".join("".join(np.random.default_rng([i, k]).choice([chr(97 + (i * 7 + j) % 26) for j in range(5)], 6)) for k in range(n))
+    table = spark.createDataFrame([(words(i, 30 + k), f"l{i:03}") for i in range(150) for k in range(3)], "text string, lang string")
+    assert len(langid.train(table).langs) == 150
+
+
+def test_letters_are_letters():
+    model = langid.PartialMatching({"en": [BASE.encode()]})
+    assert model.predict(["½ 12", "²²", "①②", "Ⅷ", "_ 1", "½ a", "漢"])[0] == ["und"] * 5 + ["en"] * 2
+
+
 def test_language_held_out_accuracy(spark):
     got = langid.op1_language_id(spark, SF).join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert len(got) > 20 and np.mean([r["lang_pred"] == r["lang"] for r in got]) > 0.9

@@ -100,3 +100,25 @@ def test_held_out_rows_teach_nothing(spark):
     kept = [r["doc_id"] for r in docs.filter(quality.held_out()).select("doc_id").collect()]
     assert kept and all(zlib.crc32(str(d).encode()) % 5 == 0 for d in kept)
     assert secrets.training_texts(docs.limit(0)) == []
+
+
+def test_columns_of_any_name(spark, tmp_path):
+    names = ["a.b", "a b", "score", "_key", "_row", "h", "lang_pred", "`tick`", "k1", "_column0"]
+    rows = [(*r, *[f"{n}{i}" for n in names]) for i, r in enumerate(ROWS)]
+    fields = [*[f.split()[0] for f in SCHEMA.split(", ")], *[f"x{i}" for i in range(len(names))]]
+    docs = spark.createDataFrame(rows, SCHEMA + "".join(f", x{i} string" for i in range(len(names)))).toDF(*fields[:5], "other.score", *names)
+    spark.createDataFrame([(1, 1, 0), (8, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for name, stage in cp.STAGES[:-1]:
+        after = materialize(stage(spark, docs, str(tmp_path)), "t")
+        assert after.columns == docs.columns, name
+        given = {(r["doc_id"], r["a.b"]): tuple(r)[5:] for r in docs.collect()}
+        assert all(given[r["doc_id"], r["a.b"]] == tuple(r)[5:] for r in after.collect()), name
+    assert cp.packing_stage(spark, docs, str(tmp_path)).count() >= len(ROWS)
+
+
+def test_columns_that_differ_in_case_only(spark, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (8, 1, 0), (6, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.createDataFrame([(*r, 1) for r in ROWS], SCHEMA + ", other int").toDF("doc_id", "text", "lang", "source", "n_chars", "Text", "LANG")
+    for name, stage in cp.STAGES[:-1]:
+        after = stage(spark, docs, str(tmp_path))
+        assert after.columns == docs.columns and len(after.collect()) > 0, name
