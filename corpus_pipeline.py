@@ -7,6 +7,9 @@ handled whole; an empty table stays empty; extra columns of any name are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,8 +18,24 @@ from segmill.llm.common import free_name, materialize, read_table
 
 MOST_BITS = 6.5
 SIMILAR = 80
+#: Columns that stages read; all others go through a stage under names of their places, so that dots, spaces or letter case do no harm.
+READ = ("doc_id", "text", "lang", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_names(stage: Stage) -> Stage:
+    """The stage for tables whose other columns have any names; the result has the names of docs again."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        names = docs.columns
+        return stage(spark, docs.toDF(*[n if n in READ else f"_column{i}" for i, n in enumerate(names)]), sf_dir).toDF(*names)
+
+    return run
 
 
+@any_names
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a quality score below 0.3, learned from the labels in sf_dir. Without usable labels every score is 0.5 and all
     stay, with labels of one class it is that class's share. Null and empty texts are scored like any other, repeated rows alike; rows
@@ -27,6 +46,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return scored.filter(F.col(name) >= quality.THRESHOLD).select(docs.columns)
 
 
+@any_names
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a letter (null and empty texts among them), and those whose shortest code takes over 6.5 bits a byte, which is
     no language that was learned. A document that names a language nothing was learned about stays, as does everything with a letter if
@@ -40,6 +60,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return found.filter((F.col(lang) != langid.UNKNOWN) & ((F.col(bits) <= MOST_BITS) | foreign)).select(docs.columns)
 
 
+@any_names
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of each group of texts with a shingle similarity of 0.8 or more: that with the smallest doc_id (null last), the first
     written among equals. Rows are told apart by a key of their own, so texts that share a doc_id are no duplicates because of it, and
@@ -54,6 +75,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     return keyed.join(first, key, "left_semi").select("_row.*")
 
 
+@any_names
 def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Puts [SECRET] in the place of every secret; n_chars follows. Null texts stay null; no row is dropped, repeated rows change alike."""
     return secrets.redact(docs, secrets.fit(docs))
