@@ -1,7 +1,8 @@
 """Order exports as all-string tables, and results as files.
 
-A delimited file is read by Spark; only its first bytes come to the driver, to learn delimiter and header. The encoding follows from all
-lines. ``_row_id`` follows the order of rows in files.
+A delimited file is read by Spark; only its first bytes come to the driver, to learn delimiter and header. One pass over all lines tells the
+encoding and whether quoted cells hold line ends; if they do, ``quoted`` puts the records together, by as many tasks as lines are read by. A
+second pass over the cells tells empty columns, empty rows and rows with too many cells. ``_row_id`` follows the order of rows in files.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import quoted
+
 ROW = "_row_id"
 #: Cells that count as missing when a file is read.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
@@ -37,11 +40,11 @@ def _head(spark: SparkSession, path: str) -> bytes:
         stream.close()
 
 
-def text_facts(spark: SparkSession, path: str) -> tuple[str, bool]:
-    """(encoding, whether a quoted cell may hold a line end). One pass over all lines: a single one that isn't UTF-8 makes the whole
-    input Latin-1, and only a line with an odd number of quotes can leave a cell open."""
-    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
-    row = spark.read.text(path).agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), F.bool_or(quotes % 2 == 1).alias("open")).first()
+def text_facts(spark: SparkSession, path: str, delimiter: str = ",") -> tuple[str, bool]:
+    """(encoding, whether a quoted cell holds a line end). One pass over all lines: a single one that isn't UTF-8 makes the whole input
+    Latin-1."""
+    table = quoted.lines(spark, path, delimiter)
+    row = table.agg(F.bool_and(F.is_valid_utf8("value")).alias("utf8"), quoted.opens(table).alias("open")).first()
     return "UTF-8" if row["utf8"] in (True, None) else "ISO-8859-1", bool(row["open"])
 
 
@@ -62,21 +65,35 @@ def header_of(text: str, delimiter: str) -> list[str]:
     return out
 
 
-def read_delimited(spark: SparkSession, path: str) -> DataFrame:
-    """All cells as strings. Files are split between tasks unless quoted cells hold line ends; then each file is one task's."""
-    encoding, open_cells = text_facts(spark, path)
-    text = _head(spark, path).decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", errors="ignore")
-    delimiter = delimiter_of(text)
-    names = header_of(text, delimiter)
+def _cells(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]]:
+    """c0, c1 and so on, _more (what a row has beyond the header's cells) and the row's id; and the columns' names."""
+    head = _head(spark, path)
+    delimiter = delimiter_of(head.decode("latin-1"))
+    encoding, open_cells = text_facts(spark, path, delimiter)
+    names = header_of(head.decode("utf-8-sig" if encoding == "UTF-8" else "latin-1", errors="ignore"), delimiter)
     if not names:
         raise ValueError(f"{path} is empty")
-    fields = [T.StructField(f"c{i}", T.StringType()) for i in range(len(names))]
-    more = [T.StructField("_more", T.StringType())]  # a row with more cells than the header has fills it
-    df = spark.read.schema(T.StructType(fields + more)).csv(path, sep=delimiter, encoding=encoding, header=True, enforceSchema=True, multiLine=open_cells, quote='"', escape='"', ignoreLeadingWhiteSpace=True)
-    df = df.withColumn(ROW, F.monotonically_increasing_id())
-    if not df.filter("_more IS NOT NULL").isEmpty():
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*(f"c{i}" for i in range(len(names))), "_more"]])
+    options = {"sep": delimiter, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": "true"}
+    if not open_cells:
+        return spark.read.schema(schema).options(**options, header="true", enforceSchema="true", encoding=encoding).csv(path).withColumn(ROW, F.monotonically_increasing_id()), names
+    table = quoted.lines(spark, path, delimiter)
+    found = quoted.records(table, quoted.plan_ranges(table)).filter("NOT first")
+    text = F.regexp_replace(F.decode("bytes", encoding), "\r$", "")
+    rows = found.select(text.alias("text"), F.col("place").alias(ROW)).filter(F.trim("text") != "")
+    return rows.select(F.from_csv("text", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r"), ROW).select("r.*", ROW), names
+
+
+def _named(cells: DataFrame, names: list[str]) -> DataFrame:
+    return cells.select(*[F.when(~F.col(f"c{i}").isin(MISSING), F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], ROW)
+
+
+def read_delimited(spark: SparkSession, path: str) -> DataFrame:
+    """All cells as strings. Files are split between tasks, whether or not quoted cells hold line ends."""
+    cells, names = _cells(spark, path)
+    if not cells.filter("_more IS NOT NULL").isEmpty():
         raise ValueError(f"{path}: a row has more cells than the header")
-    return df.select(*[F.when(~F.col(f"c{i}").isin(MISSING), F.col(f"c{i}")).alias(n) for i, n in enumerate(names)], ROW)
+    return _named(cells, names)
 
 
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
@@ -90,14 +107,30 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(rows.astype(object).where(rows.notna(), None), schema)
 
 
+def _filled(names: list[str]):
+    return reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in names], F.lit(False))
+
+
 def drop_empty(df: DataFrame) -> DataFrame:
     """Without rows, then columns, that have no value; one aggregation finds the columns."""
     names = [c for c in df.columns if c != ROW]
-    df = df.filter(reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in names], F.lit(False)))
+    df = df.filter(_filled(names))
     counts = df.agg(*[F.count(f"`{c}`").alias(str(i)) for i, c in enumerate(names)]).first()
     return df.select(*[F.col(f"`{c}`") for i, c in enumerate(names) if counts[i]], ROW)
 
 
+def _delimited(spark: SparkSession, path: str) -> DataFrame:
+    """As ``drop_empty`` of ``read_delimited``, with one pass over the cells for all that must be known about them."""
+    cells, names = _cells(spark, path)
+    df = _named(cells, names)
+    value = [F.when(~F.col(f"c{i}").isin(MISSING), F.col(f"c{i}")) for i in range(len(names))]
+    counts = cells.agg(F.count("_more"), *map(F.count, value)).first()
+    if counts[0]:
+        raise ValueError(f"{path}: a row has more cells than the header")
+    kept = [n for i, n in enumerate(names) if counts[1 + i]]
+    return df.select(*[F.col(f"`{n}`") for n in kept], ROW).filter(_filled(kept))
+
+
 def load_raw_file(spark: SparkSession, path: str) -> DataFrame:
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix not in DELIMITED + EXCEL:
@@ -105,8 +138,8 @@ def load_raw_file(spark: SparkSession, path: str) -> DataFrame:
     fs_path = spark._jvm.org.apache.hadoop.fs.Path(path)
     if not fs_path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path):
         raise FileNotFoundError(path)
-    df = drop_empty(read_excel(spark, path) if suffix in EXCEL else read_delimited(spark, path))
-    if len(df.columns) < 2 or df.isEmpty():
+    df = drop_empty(read_excel(spark, path)) if suffix in EXCEL else _delimited(spark, path)
+    if len(df.columns) < 2:  # a column that is left has a value
         raise ValueError(f"{path} has no rows")
     return df
 
