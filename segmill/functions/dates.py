@@ -34,75 +34,68 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _month(part: Column) -> Column:
+def _parts(text: Column) -> Column:
+    """The text's parts, each with its text, number, size and the month that it names."""
     names = F.array(*[F.lit(x) for m in MONTHS for x in (m, m[:3], "sept" if m == "september" else m[:3])])
-    at = F.array_position(names, part)
-    return F.when(at > 0, F.floor((at - 1) / 3).cast("int") + 1)
+
+    def one(x: Column) -> Column:
+        at = F.array_position(names, x)
+        return F.struct(x.alias("s"), x.try_cast("int").alias("n"), F.length(x).alias("l"), F.when(at > 0, F.floor((at - 1) / 3).cast("int") + 1).alias("m"))
+
+    return F.transform(F.filter(F.split(text, _CUTS), lambda x: x != ""), one)
 
 
 def _year(part: Column) -> Column:
     """Two digits mean the year within fifty years of this one."""
-    y, now = part.try_cast("int"), F.year(F.current_date())
-    near = now - F.pmod(now, F.lit(100)) + y
+    now = F.year(F.current_date())
+    near = now - F.pmod(now, F.lit(100)) + part["n"]
     short = F.when(near >= now + 50, near - 100).when(near < now - 50, near + 100).otherwise(near)
-    return F.when(F.length(part) == 4, y).when(F.length(part) <= 2, short)
+    return F.when(part["l"] == 4, part["n"]).when(part["l"] <= 2, short)
 
 
-def _is_year(part: Column) -> Column:
-    """Whether a part can only be a year."""
-    return (F.length(part) == 4) | (part.try_cast("int") > 31)
+def _three(p: Column, day_first: bool) -> Column:
+    """Where the year, the month and the day stand among three parts, as three digits."""
+    a, b, c = (F.get(p, F.lit(i)) for i in range(3))
+    is_year = lambda x: (x["l"] == 4) | (x["n"] > 31)
+    year_first = F.when(((a["l"] < 4) | (b["n"] > 12)) & (c["n"] <= 12), 21).otherwise(12) if day_first else F.lit(12)
+    day_before = (a["n"] > 12) | ((b["n"] <= 12) & F.lit(day_first))
+    return (
+        F.when(a["m"].isNotNull(), F.when(is_year(b), 102).otherwise(201)).when(b["m"].isNotNull(), F.when(is_year(a), 12).otherwise(210))
+        .when(c["m"].isNotNull(), F.when(is_year(b), 120).otherwise(21)).when(is_year(a), year_first).when(day_before, 210).otherwise(201)
+    )
 
 
-def _ymd(year: Column, month: Column, day: Column) -> Column:
-    return F.struct(_year(year).alias("y"), month.cast("int").alias("m"), day.try_cast("int").alias("d"))
+def _date(p: Column, day_first: bool) -> Column:
+    """year, month, day of one to three parts: a year with a month means its first day, eight digits are year, month and day."""
+    part = lambda i: F.get(p, i)
+    a, b = part(F.lit(0)), part(F.lit(1))
+    ymd = lambda y, m, d: F.struct(y.alias("y"), m.cast("int").alias("m"), d.cast("int").alias("d"))
+    three = let(_three(p, day_first), lambda o: ymd(_year(part((o / 100).cast("int"))), let(part((o / 10).cast("int") % 10), lambda x: F.coalesce(x["m"], x["n"])), part(o % 10)["n"]))
+    month = lambda x: F.coalesce(x["m"], F.when(x["l"] <= 2, x["n"]))
+    two = F.when(a["l"] == 4, ymd(a["n"], month(b), F.lit(1))).when(b["l"] == 4, ymd(b["n"], month(a), F.lit(1)))
+    cut = lambda i, n: F.substring(a["s"], i, n).try_cast("int")
+    one = F.when(a["l"] == 4, ymd(a["n"], F.lit(1), F.lit(1))).when(a["l"] == 8, ymd(cut(1, 4), cut(5, 2), cut(7, 2)))
+    sound = F.forall(p, lambda x: x["s"].rlike(r"^(?:\d{1,4}|\d{8}|[a-z]+)$"))
+    return F.when(sound, F.when(F.size(p) == 3, three).when(F.size(p) == 2, two).when(F.size(p) == 1, one))
 
 
-def _three(p: Column, day_first: bool) -> Column:
-    a, b, c = (F.get(p, F.lit(i)) for i in range(3))
-    number = lambda x: x.try_cast("int")
-    year_first = _ymd(a, number(c), b) if day_first else _ymd(a, number(b), c)
-    if day_first:
-        year_first = F.when(((F.length(a) < 4) | (number(b) > 12)) & (number(c) <= 12), year_first).otherwise(_ymd(a, number(b), c))
-    day_before = (number(a) > 12) | ((number(b) <= 12) & F.lit(day_first))
-    numbers = F.when(_is_year(a), year_first).when(day_before, _ymd(c, number(b), a)).otherwise(_ymd(c, number(a), b))
-    return let(
-        F.array(_month(a), _month(b), _month(c)),
-        lambda m: F.when(F.get(m, F.lit(0)).isNotNull(), F.when(_is_year(b), _ymd(b, F.get(m, F.lit(0)), c)).otherwise(_ymd(c, F.get(m, F.lit(0)), b)))
-        .when(F.get(m, F.lit(1)).isNotNull(), F.when(_is_year(a), _ymd(a, F.get(m, F.lit(1)), c)).otherwise(_ymd(c, F.get(m, F.lit(1)), a)))
-        .when(F.get(m, F.lit(2)).isNotNull(), F.when(_is_year(b), _ymd(b, F.get(m, F.lit(2)), a)).otherwise(_ymd(a, F.get(m, F.lit(2)), b)))
-        .otherwise(numbers),
-    )
-
-
-def _two(p: Column) -> Column:
-    """A year of four digits and a month, in any order; the first day."""
-    a, b = F.get(p, F.lit(0)), F.get(p, F.lit(1))
-    month = lambda x: F.coalesce(_month(x), F.when(F.length(x) <= 2, x.try_cast("int")))
-    return F.when(F.length(a) == 4, _ymd(a, month(b), F.lit("1"))).when(F.length(b) == 4, _ymd(b, month(a), F.lit("1")))
-
-
-def _one(p: Column) -> Column:
-    """A year, or year, month and day without anything between them."""
-    a = F.get(p, F.lit(0))
-    whole = _ymd(F.substring(a, 1, 4), F.substring(a, 5, 2).try_cast("int"), F.substring(a, 7, 2))
-    return F.when(F.length(a) == 4, _ymd(a, F.lit(1), F.lit("1"))).when(F.length(a) == 8, whole)
+def _clock(time: Column) -> Column:
+    """hour, minute, second, and behind, the minutes of a zone (null without one), of a time's groups."""
+    t = lambda i: F.nullif(F.get(time, F.lit(i)), F.lit(""))
+    number = lambda i: F.coalesce(t(i), F.lit("0")).try_cast("int")
+    hour = F.when(t(4).isNull(), number(0)).when(number(0).between(1, 12), number(0) % 12 + F.when(t(4) == "p", 12).otherwise(0))
+    exact = (number(2) + F.rpad(F.coalesce(t(3), F.lit("0")), 6, "0").try_cast("int") / F.lit(1_000_000)).cast("decimal(16,6)")
+    behind = F.when(t(5).isNotNull(), F.when(t(5).startswith("-"), -1).otherwise(1) * (F.abs(number(5)) * 60 + number(6)))
+    return F.struct(hour.alias("hour"), number(1).alias("minute"), exact.alias("second"), behind.alias("behind"))
 
 
 def _read(date: Column, time: Column, day_first: bool) -> Column:
-    parts = F.filter(F.split(date, _CUTS), lambda x: x != "")
-    sound = lambda p: F.forall(p, lambda x: x.rlike(r"^(?:\d{1,4}|\d{8}|[a-z]+)$"))
-    ymd = let(parts, lambda p: F.when(sound(p), F.when(F.size(p) == 3, _three(p, day_first)).when(F.size(p) == 2, _two(p)).when(F.size(p) == 1, _one(p))))
-    t = lambda i: F.nullif(F.get(time, F.lit(i)), F.lit(""))
-    half, clock = t(4), F.coalesce(t(0), F.lit("0")).try_cast("int")
-    hour = F.when(half.isNull(), clock).when(clock.between(1, 12), clock % 12 + F.when(half == "p", 12).otherwise(0))
-    second = F.coalesce(t(2), F.lit("0")).try_cast("int")
-    exact = (second + F.rpad(F.coalesce(t(3), F.lit("0")), 6, "0").try_cast("int") / F.lit(1_000_000)).cast("decimal(16,6)")
-    sign = F.when(t(5).startswith("-"), -1).otherwise(1)
-    behind = sign * (F.abs(F.coalesce(t(5), F.lit("0")).try_cast("int")) * 60 + F.coalesce(t(6), F.lit("0")).try_cast("int"))
-    fields = lambda d: F.try_make_timestamp_ntz(d["y"], d["m"], d["d"], hour, F.coalesce(t(1), F.lit("0")).try_cast("int"), exact)
-    fine = lambda d: d["y"].between(FIRST_YEAR, LAST_YEAR) & (hour < 24) & (second < 60)
-    at = let(ymd, lambda d: F.when(fine(d), fields(d)))
-    return F.when(t(5).isNull(), at).otherwise(at - F.make_dt_interval(F.lit(0), F.lit(0), behind))
+    def at(d: Column, c: Column) -> Column:
+        fine = d["y"].between(FIRST_YEAR, LAST_YEAR) & (c["hour"] < 24) & (c["second"] < 60)
+        local = F.when(fine, F.try_make_timestamp_ntz(d["y"], d["m"], d["d"], c["hour"], c["minute"], c["second"]))
+        return local - F.make_dt_interval(F.lit(0), F.lit(0), F.coalesce(c["behind"], F.lit(0)))
+
+    return let(let(_parts(date), lambda p: _date(p, day_first)), lambda d: let(let(time, _clock), lambda c: at(d, c)))
 
 
 def _any_shape(first: Column, day_first: bool) -> Column:
