@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmill.operators import cells, clustering, embedding, neighbours, silhouette
+from segmill.operators import cells, clustering, embedding, neighbours, silhouette, sweep
 from segmill.scratch import Scratch
 
 
@@ -183,3 +183,47 @@ def test_silhouette_module_agrees_with_blocks(spark):
     blocks = clustering.cluster_metrics(df, names).first()["silhouette"]
     low, high, _ = silhouette.mean_silhouette(df, F.array(*names), F.col("cluster"), 6, 0.0)
     assert low == pytest.approx(blocks, abs=1e-10) and high == pytest.approx(blocks, abs=1e-10)
+
+
+def plain_fits(x, centers):
+    """Lloyd's steps of one fit from given centers, every point against every center."""
+    work = 0
+    for _ in range(sweep.MOST_PASSES):
+        own, far = sweep.nearest(x, centers[None])
+        work += len(x) * len(centers)
+        new = np.array([x[own[:, 0] == c].mean(0) if (own[:, 0] == c).any() else centers[c] for c in range(len(centers))])
+        done = ((new - centers) ** 2).sum() <= sweep.TOLERANCE
+        centers, cost = new, far.sum()
+        if done:
+            return centers, cost, work
+
+
+def test_cells_give_the_same_sums_as_points():
+    rng = np.random.default_rng(4)
+    x, w, centers = rng.normal(size=(50, 3)) * 0.3, rng.integers(1, 4, 50).astype(float), rng.normal(size=(6, 5, 3))
+    centers[2, 3] = centers[2, 1]
+    m = cells.Moments.of(x, w)
+    radius = float(np.sqrt(((x - m.mean) ** 2).sum(1).max()))
+    got, work = sweep.cell_sums(cells.Cell(0, 0, np.arange(50), x, w), m.mean, float(m.spread), radius, centers)
+    own, far = sweep.nearest(x, centers)
+    for f in range(6):
+        for c in range(5):
+            mine = own[:, f] == c
+            assert np.allclose(got[f * 5 + c], [*(w[mine] @ x[mine]), w[mine].sum(), (w * far[:, f])[mine].sum()])
+    assert work < 50 * 30
+
+
+def test_the_grid_equals_plain_fits_with_fewer_distances(spark):
+    x = np.concatenate([curved(2500)[:, :3], np.repeat(curved(1, 3)[:, :3], 200, 0)])
+    table = spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "row long, x array<double>")
+    ks, seeds, starts, work, plain_work = [2, 5, 9], [1, 2], 2, [], 0
+    got = sweep.fit_grid(table, 3, ks, seeds, starts, work)
+    sequences = np.array([s * 1_000 + t for s in seeds for t in range(starts)])
+    first = sweep.first_centers(table, 3, sequences, max(ks))
+    for k in ks:
+        fits = [plain_fits(x, first[i, :k]) for i in range(4)]
+        plain_work += sum(f[2] for f in fits)
+        for s in range(2):
+            best = min(fits[2 * s : 2 * s + 2], key=lambda f: f[1])
+            assert np.allclose(np.sort(got[k][s], 0), np.sort(best[0], 0), atol=1e-6)
+    assert sum(work) < plain_work / 2
