@@ -22,31 +22,50 @@ def present(df: DataFrame) -> list[str]:
     return [f for f in FIELDS if f in df.columns]
 
 
+#: One in so many ranks is how far a sketch of a column's ranks may be off.
+ACCURACY = 10_000
+
+
 def quintile_edges(df: DataFrame, fields: list[str] | None = None, shares: tuple[float, ...] = (0.2, 0.4, 0.6, 0.8)) -> DataFrame:
-    """One row: for each feature the exact quantiles, interpolated. Values are counted, put in order by ranges, and each range's count tells
-    which ranks it holds, so no task sees more than its range."""
+    """One row: for each feature the exact quantiles, interpolated; null for a feature without values. A mergeable sketch of each feature's ranks
+    brackets every quantile in one pass; a second pass counts the values below a bracket and, one by one, those inside, which are a few in
+    ten thousand. A bracket that misses its rank is opened to all values."""
     fields = fields or present(df)
-    scratch = Scratch(df.sparkSession, "quantiles")
-    long = df.select(*[F.col(f).cast("double").alias(f) for f in fields]).unpivot([], fields, "f", "v").filter("v IS NOT NULL")
-    counts = long.groupBy("f", "v").agg(F.count("*").alias("n"))
-    ordered = scratch.keep(counts.repartitionByRange("f", "v").withColumn("part", F.spark_partition_id()), "values")
-    parts = ordered.groupBy("f", "part").agg(F.sum("n").alias("here"))
-    before = Window.partitionBy("f").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
-    whole = Window.partitionBy("f")
-    parts = parts.select("f", "part", F.coalesce(F.sum("here").over(before), F.lit(0)).alias("before"), F.sum("here").over(whole).alias("all"), "here")
-    exact = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), (F.lit(s) * (F.col("all") - 1)).alias("place")) for i, s in enumerate(shares)]))
-    wanted = parts.select("*", exact.alias("w")).select("f", "part", "before", "here", "w.*")
-    wanted = wanted.select("*", F.explode(F.array_distinct(F.array(F.floor("place"), F.ceil("place")))).alias("rank")).filter("rank >= before AND rank < before + here")
-    running = F.sum("n").over(Window.partitionBy("f", "part").orderBy("v"))
-    cells = ordered.join(F.broadcast(parts.select("f", "part", "before").join(wanted.select("f", "part").distinct(), ["f", "part"])), ["f", "part"])  # only ranges that hold a rank
-    cells = cells.withColumn("end", running + F.col("before"))
-    at = cells.join(F.broadcast(wanted.select("f", "part", "i", "place", "rank")), ["f", "part"]).filter("rank >= end - n AND rank < end")  # two rows for each quantile
-    edges = at.groupBy("f", "i").agg(F.min("v").alias("low"), F.max("v").alias("high"), F.first("place").alias("place"))
-    edges = edges.withColumn("v", F.col("low") + (F.col("high") - F.col("low")) * (F.col("place") - F.floor("place")))
-    found = {r["f"]: r["v"] for r in edges.groupBy("f").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("v")).collect()}  # one row for each feature
-    scratch.drop()
-    values = [F.array(*map(F.lit, found[f])) if f in found else F.lit(None).cast("array<double>") for f in fields]
-    return df.sparkSession.range(1).select(*[v.alias(f) for f, v in zip(fields, values)])
+    values = df.select(*[F.col(f"`{f}`").cast("double").alias(str(i)) for i, f in enumerate(fields)])
+    slack = 3 / ACCURACY
+    probes = [min(max(s + d, 0.0), 1.0) for s in shares for d in (-slack, slack)]
+    facts = [x for i in range(len(fields)) for x in (F.count(str(i)), F.min(str(i)), F.max(str(i)), F.percentile_approx(str(i), probes, ACCURACY))]
+    row = values.agg(*facts).first() if fields else []
+    known = {i: row[4 * i : 4 * i + 4] for i in range(len(fields)) if row[4 * i]}
+    places = {(i, j): share * (known[i][0] - 1) for i in known for j, share in enumerate(shares)}
+    open_ends = {(i, j): (known[i][3][2 * j], known[i][3][2 * j + 1]) for i, j in places}
+    found: dict[tuple[int, int], float] = {}
+    while missing := {k: v for k, v in places.items() if k not in found}:
+        found |= _exact(values, {k: (*open_ends[k], v) for k, v in missing.items()})
+        open_ends |= {(i, j): (known[i][1], known[i][2]) for i, j in missing}
+    edges = [F.array(*[F.lit(found[i, j]) for j in range(len(shares))]) if i in known else F.lit(None).cast("array<double>") for i in range(len(fields))]
+    return df.sparkSession.range(1).select(*[e.alias(f) for e, f in zip(edges, fields)])
+
+
+def _exact(values: DataFrame, wanted: dict[tuple[int, int], tuple[float, float, float]]) -> dict[tuple[int, int], float]:
+    """wanted: by column and number the bracket of a quantile and its place among the ranks. The quantiles whose ranks lie in their brackets."""
+    entry = lambda i, j, v: F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), v.alias("v"))
+    none = F.lit(None).cast("double")
+    cells = [F.when(F.col(str(i)) < low, entry(i, j, none)).when(F.col(str(i)) <= high, entry(i, j, F.col(str(i)))) for (i, j), (low, high, _) in wanted.items()]
+    counts = values.select(F.explode(F.array_compact(F.array(*cells))).alias("e")).groupBy("e.i", "e.j", "e.v").agg(F.count("*").alias("n"))
+    running = F.sum("n").over(Window.partitionBy("i", "j").orderBy(F.col("v").asc_nulls_first()))  # a bracket's values; those below it are one row
+    ends = counts.withColumn("end", running)
+    ranks = values.sparkSession.createDataFrame([(i, j, r) for (i, j), (_, _, place) in wanted.items() for r in {int(place), -int(-place // 1)}], "i int, j int, r long")
+    at = ends.join(F.broadcast(ranks), ["i", "j"]).filter("v IS NOT NULL AND r >= end - n AND r < end")  # two rows for each quantile
+    hit: dict[tuple[int, int], dict[int, float]] = {}
+    for r in at.select("i", "j", "r", "v").collect():
+        hit.setdefault((r["i"], r["j"]), {})[r["r"]] = r["v"]
+    out = {}
+    for k, (_, _, place) in wanted.items():
+        low, high = int(place), -int(-place // 1)
+        if k in hit and low in hit[k] and high in hit[k]:
+            out[k] = hit[k][low] + (hit[k][high] - hit[k][low]) * (place - low)
+    return out
 
 
 def band(value: Column, edges: Column) -> Column:

@@ -58,10 +58,10 @@ Translator = Callable[[str, dict], Translation]
 
 
 def schema_summary(df: DataFrame, values: int = 8, rows: int = 3) -> dict:
-    """Column types, the values of columns with few of them, some rows; one pass over the rows."""
+    """Column types, the first values of columns that name things, some rows. However many values a column has, tasks send ``values`` of them."""
     named = [c for c in ("persona", "priority", "top_category") if c in df.columns]
-    seen = df.agg(*[F.slice(F.sort_array(F.collect_set(c)), 1, values).alias(c) for c in named]).first() if named else {}  # names of segments and the like
-    return {"columns": dict(df.dtypes), "values": {c: seen[c] for c in named}, "rows": [r.asDict() for r in df.limit(rows).collect()]}
+    first = lambda c: [r[0] for r in df.select(c).filter(F.col(c).isNotNull()).distinct().orderBy(c).limit(values).collect()]
+    return {"columns": dict(df.dtypes), "values": {c: first(c) for c in named}, "rows": [r.asDict() for r in df.limit(rows).collect()]}
 
 
 def translate(question: str, schema: dict) -> Translation:

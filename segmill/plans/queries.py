@@ -6,12 +6,11 @@ import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import scalars as S
 from ..functions.categories import CATEGORIES, normalize_category
 from ..operators import cleaning, clustering, embedding, features, mapping, personas, questions, revenue
-from ..schema import ACTIONS, AT_RISK, FIELDS, K_TABLE, MARGIN
+from ..schema import ACTIONS, AT_RISK, FIELDS, MARGIN
 from ..scratch import materialize
 from ..sources.files import ROW, sample_orders
 
@@ -483,18 +482,21 @@ def embedding_projection(spark, sf):
     return shown.agg(F.count("*").alias("customers"), F.count(F.col("dim_x") + F.col("dim_y")).alias("placed")).withColumn("trustworthy", F.lit(trust >= 0.9))
 
 
-#: A published selection table, for which k = 2 must be recommended.
-PUBLISHED = [
-    (2, 0.3377, 1.1185, 0.9993, 0.4002, False), (3, 0.3333, 1.1159, 0.9902, 0.2356, False), (4, 0.3006, 1.1163, 0.9984, 0.1676, False), (5, 0.2937, 1.0583, 1.0, 0.1568, False),
-    (6, 0.2831, 1.1163, 0.9862, 0.0632, False), (7, 0.2764, 1.1079, 0.9283, 0.0625, False), (8, 0.277, 1.0903, 0.9624, 0.0337, False), (9, 0.2643, 1.1197, 0.6547, 0.042, False),
-    (10, 0.2579, 1.1244, 0.7559, 0.0219, True), (11, 0.2583, 1.0934, 0.8626, 0.0178, True), (12, 0.2567, 1.084, 0.7835, 0.0178, True), (13, 0.2552, 1.0852, 0.8133, 0.018, True),
-    (14, 0.2558, 1.0874, 0.796, 0.0122, True), (15, 0.2526, 1.0878, 0.732, 0.0122, True),
-]
+#: A table of choices made from order lines: k by line number, its measures by averages that stand in for them.
+CHOICES = f"""SELECT CAST(l_linenumber + 1 AS INTEGER) AS k, {r_('avg(l_discount)', 4)} AS avg_silhouette, {r_('avg(l_tax)', 4)} AS avg_davies_bouldin, {r_('avg(l_quantity) / 50 + (l_linenumber % 3) * 0.15', 4)} AS avg_stability_ari,
+  {r_('count(*) / (SELECT count(*) FROM lineitem)', 4)} AS min_cluster_pct, count(*) < 0.1 * (SELECT count(*) FROM lineitem) AS disqualified FROM lineitem GROUP BY l_linenumber"""
 
 
-@query("recommend_k", f"SELECT CAST(k AS INTEGER) AS k FROM (VALUES {', '.join(str(r).replace('True', 'true').replace('False', 'false') for r in PUBLISHED)}) t(k, s, d, a, p, q) WHERE NOT q AND a > 0.7 ORDER BY s DESC, k LIMIT 1")
+@query("recommend_k", f"SELECT k FROM ({CHOICES}) ORDER BY CASE WHEN avg_silhouette IS NULL THEN 3 WHEN disqualified THEN 2 WHEN avg_stability_ari > 0.7 THEN 0 ELSE 1 END, avg_silhouette DESC, k LIMIT 1")
 def recommend_k(spark, sf):
-    return clustering.recommend_k(spark.createDataFrame(PUBLISHED, K_TABLE)).select("k")
+    lines = _t(spark, sf, "lineitem")
+    share = F.col("n") / F.sum("n").over(Window.partitionBy())  # seven rows
+    by = lines.groupBy("l_linenumber").agg(F.avg("l_discount").alias("d"), F.avg("l_tax").alias("t"), F.avg("l_quantity").alias("q"), F.count("*").alias("n"))
+    table = by.select(
+        (F.col("l_linenumber") + 1).cast("int").alias("k"), F.col("d").cast("double").alias("avg_silhouette"), F.col("t").cast("double").alias("avg_davies_bouldin"),
+        (F.col("q") / 50 + F.col("l_linenumber") % 3 * 0.15).cast("double").alias("avg_stability_ari"), share.alias("min_cluster_pct"), (share < 0.1).alias("disqualified"),
+    )
+    return clustering.recommend_k(rounded(table, 4)).select("k")
 
 
 GROUPS = "SELECT CAST(c_custkey AS VARCHAR) AS customer_id, c_custkey % 3 AS cluster FROM customer"
@@ -603,11 +605,20 @@ for _n, (_name, _sql) in enumerate({
     query(_name, _sql)(_ask(_n))
 
 
-@query("schema_fields", f"SELECT * FROM (VALUES {', '.join(str((i, n, k)) for i, (n, k) in enumerate(FIELDS.items()))}) t(position, field, kind)")
+LINE_FIELDS = {"customer_id": "o_custkey", "order_id": "o_orderkey", "order_date": "o_orderdate", "order_value": "l_extendedprice", "quantity": "l_quantity", "product_category": "p_type"}
+
+
+@query("schema_fields", f"WITH j AS (SELECT * FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey), n AS (SELECT {', '.join(f'count({c}) AS {f}' for f, c in LINE_FIELDS.items())} FROM j) " + " UNION ALL ".join(f"SELECT {i} AS position, '{n}' AS field, '{k}' AS kind, {n if n in LINE_FIELDS else 0}::BIGINT AS filled FROM n" for i, (n, k) in enumerate(FIELDS.items())))
 def schema_fields(spark, sf):
-    return spark.createDataFrame([(i, n, k) for i, (n, k) in enumerate(FIELDS.items())], T.StructType.fromDDL("position int, field string, kind string"))
+    """The fields of an order line, and how many of the given lines have each."""
+    typed = cleaning.coerce_types(order_lines(spark, sf).select(*[F.col(c).cast("string").alias(c) for c in LINE_FIELDS]))
+    counts = typed.agg(*[F.count(c).alias(c) for c in LINE_FIELDS])
+    rows = [F.struct(F.lit(i).alias("position"), F.lit(n).alias("field"), F.lit(k).alias("kind"), (F.col(n) if n in LINE_FIELDS else F.lit(0)).cast("long").alias("filled")) for i, (n, k) in enumerate(FIELDS.items())]
+    return counts.select(F.inline(F.array(*rows)))
 
 
-@query("known_categories", f"SELECT unnest([{', '.join(map(repr, CATEGORIES))}]) AS category")
+@query("known_categories", f"SELECT c AS category, count(p_partkey) AS parts FROM (SELECT unnest([{', '.join(map(repr, CATEGORIES))}]) AS c, unnest(range({len(CATEGORIES)})) AS i) LEFT JOIN part ON p_partkey % {len(CATEGORIES)} = i GROUP BY 1")
 def known_categories(spark, sf):
-    return spark.createDataFrame([(c,) for c in CATEGORIES], "raw string").select(normalize_category(F.upper("raw")).alias("category"))
+    """Parts by category, each written in capitals by turns."""
+    typed = F.element_at(F.array(*[F.lit(c.upper()) for c in CATEGORIES]), (F.col("p_partkey") % len(CATEGORIES) + 1).cast("int"))
+    return _t(spark, sf, "part").select(normalize_category(typed).alias("category")).groupBy("category").agg(F.count("*").alias("parts"))
