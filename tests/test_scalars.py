@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from segmill.functions import scalars as S
-from segmill.functions.categories import category, normalize_category
+from segmill.functions.categories import most_similar, normalize_category
 
 
 def apply(spark, f, values, kind="string"):
@@ -62,7 +62,7 @@ def test_ids(spark):
 def test_category(spark):
     cases = {"TOYS": "Toys", "Beuaty": "Beauty", "buety": "Beauty", "Electrnics": "Electronics", "port": "Sports", "home and garden": "Home & Garden", "home": "Home", "t-shirts": "T-Shirts", "3d printers": "3D Printers", "unknown": None, None: None, " Food  & Grocery": "Food & Grocery"}
     assert apply(spark, normalize_category, cases) == list(cases.values())
-    assert category("apparel") == "Apparel"
+    assert most_similar("apparel") is None
 
 
 def test_rounding_and_formats(spark):
@@ -86,3 +86,33 @@ def test_currencies(spark, text, codes):
 def test_labels(spark):
     assert apply(spark, S.normalize_label, ["At-Risk_High "]) == ["at risk high"]
     assert apply(spark, lambda c: S.contains_any(c, ["at-risk", "churn"]), ["At-Risk High Value", "New", "Churned"]) == [True, False, True]
+
+
+def test_similar_labels_are_those_of_the_library(spark):
+    import difflib
+
+    import numpy as np
+
+    from segmill.functions import categories
+
+    lows = [c.lower() for c in categories.CATEGORIES]
+    rng = np.random.default_rng(0)
+
+    def typo():
+        word = list(rng.choice(lows))
+        for _ in range(rng.integers(0, 5)):
+            i = int(rng.integers(0, max(1, len(word))))
+            word[i : i + int(rng.integers(0, 2))] = list(rng.choice(list("abcdeorst &"), rng.integers(0, 2)))
+        return "".join(word)
+
+    for value in {typo() for _ in range(10_000)} | {"", "x", "zz top", "books toys"}:
+        near = difflib.get_close_matches(value, lows, n=1, cutoff=categories.SIMILAR)
+        assert (categories.most_similar(value) or "").lower() == (near[0] if near else ""), value
+
+
+def test_spellings_of_categories(spark):
+    from segmill.functions import categories
+
+    cases = {" toys ": "Toys", "TOYS": "Toys", "Home  and\tgarden": "Home & Garden", "N/A": None, "": None, " ": None, None: None, "Beuaty": "Beauty", "t-shirts": "T-Shirts", "pet   food": "Pet Food", " Sprots ": "Sports"}
+    df = spark.createDataFrame([(v,) for v in cases], "v string")
+    assert [r[0] for r in df.select(categories.normalize_category("v")).collect()] == list(cases.values())
