@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..schema import CONFIDENT, FIELDS, MIN_REQUIRED, REQUIRED, SAMPLES
 from ..sources.files import ROW, load_raw_file
+from .assignment import map_by_values
 from .models import Provider, structured
 
 NONE = "none"
@@ -82,6 +83,14 @@ def _fits(kind: str, samples: list[str]) -> float:
     return sum(map(tests[kind], samples)) / len(samples) if samples else 0.5
 
 
+def name_scores(columns: list[str]) -> dict[str, dict[str, float]]:
+    """How well each column's name, without any value, fits each field."""
+    plain = {c: re.sub(r"[^a-z0-9]", "", c.lower().replace("#", "number")) for c in columns}
+    exact = lambda n, words: max((1.0 - 0.02 * i for i, w in enumerate(words) if n == w), default=0.0)
+    part = lambda n, words: 0.55 if any(len(w) > 3 and (w in n or len(n) > 3 and n in w) for w in words) else 0.0
+    return {c: {t: max(exact(n, words), part(n, words)) for t, words in SYNONYMS.items()} for c, n in plain.items()}
+
+
 def propose(profile: list[dict]) -> list[dict]:
     """raw_column, internal_field, confidence for every column."""
     out = []
@@ -218,9 +227,13 @@ def apply_mapping(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(f"`{column[f]}`").alias(f) for f in FIELDS if f in column], *keep)
 
 
-def run_mapping(spark: SparkSession, path: str, mapper: Mapper = propose) -> tuple[DataFrame, list[dict], MappingReport]:
-    """Reads, profiles, proposes, settles duplicates and validates: (raw table, proposals, report)."""
+def run_mapping(spark: SparkSession, path: str, mapper: Mapper | None = propose) -> tuple[DataFrame, list[dict], MappingReport]:
+    """Reads, profiles, proposes, settles duplicates and validates: (raw table, proposals, report). Without a mapper the columns are assigned by
+    what all their rows hold, names helping where they tell something (``assignment``)."""
     raw = load_raw_file(spark, path)
+    if mapper is None:
+        proposals = checked(map_by_values(raw, name_scores([c for c in raw.columns if c != ROW])))
+        return raw, proposals, validate_mapping(proposals)
     profile = [r.asDict() for r in profile_columns(raw).collect()]  # one row per column
     proposals = resolve_duplicates(checked(mapper(profile)))
     return raw, proposals, validate_mapping(proposals)

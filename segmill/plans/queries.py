@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..functions.categories import CATEGORIES, normalize_category
-from ..operators import cleaning, clustering, embedding, features, mapping, personas, questions, revenue
+from ..operators import assignment, cleaning, clustering, embedding, features, mapping, personas, questions, revenue
 from ..schema import ACTIONS, AT_RISK, FIELDS, MARGIN
 from ..scratch import materialize
 from ..sources.files import ROW, sample_orders
@@ -605,6 +605,25 @@ for _n, (_name, _sql) in enumerate({
     query(_name, _sql)(_ask(_n))
 
 
+#: Columns of order lines under names that tell nothing: what they must be mapped to, and the value that each row has.
+NAMELESS = {
+    "k1": ("customer_id", "concat('C', o_custkey)"), "k2": ("order_id", "concat('#', o_orderkey)"), "k3": ("order_date", "date_format(o_orderdate, 'MM/dd/yyyy')"),
+    "k4": ("order_value", "format_string('%.2f', l_extendedprice)"), "k5": ("quantity", "cast(cast(l_quantity AS int) AS string)"),
+    "k6": ("unit_price", "format_string('%.2f', l_extendedprice / l_quantity)"), "k7": ("customer_email", "concat('u', o_custkey, '@mail.example.com')"),
+    "k8": ("signup_date", "date_format(date_add(DATE'1990-01-01', cast(o_custkey % 900 AS int)), 'yyyy-MM-dd')"),
+}
+
+
+@query("map_by_values", "WITH n AS (SELECT count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey) " + " UNION ALL ".join(f"SELECT '{c}' AS raw_column, '{f}' AS internal_field, n AS filled FROM n" for c, (f, _) in NAMELESS.items()))
+def map_by_values(spark, sf):
+    """The fields that columns without telling names are assigned to by what they hold, and how many values each has."""
+    o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
+    lines = l.join(o, l["l_orderkey"] == o["o_orderkey"]).selectExpr(*[f"{e} AS {c}" for c, (_, e) in NAMELESS.items()])
+    found = {m["raw_column"]: m["internal_field"] for m in assignment.map_by_values(lines)}
+    counts = lines.agg(*[F.count(c).alias(c) for c in NAMELESS])
+    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("raw_column"), F.lit(found[c]).alias("internal_field"), F.col(c).alias("filled")) for c in NAMELESS])))
+
+
 LINE_FIELDS = {"customer_id": "o_custkey", "order_id": "o_orderkey", "order_date": "o_orderdate", "order_value": "l_extendedprice", "quantity": "l_quantity", "product_category": "p_type"}
 
 
