@@ -207,15 +207,16 @@ def embedding_projection(points: DataFrame, columns: list[str], k: int = NEIGHBO
 
 
 def neighbour_distances(points: DataFrame, columns: list[str], k: int) -> DataFrame:
-    """row, rank (from 1), far: the exact distances from each distinct point to its k nearest distinct others; with row and the columns as ``x``."""
+    """x (the columns), rank (from 1), far: the exact distances from each distinct point to its k nearest distinct others."""
     scratch = Scratch(points.sparkSession, "neighbours")
-    x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns])
-    distinct = weighted(points, x, F.lit(0), scratch)
-    found = neighbours(distinct, len(columns), k, scratch, exact=True)
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("far", "other")))
-    out = Scratch(points.sparkSession, "distances").keep(distinct.select("row", "x").join(ranked, "row").select("x", "rank", "far"), "distances")
-    scratch.drop()
-    return out
+    try:
+        x = F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in columns])
+        distinct = weighted(points, x, F.lit(0), scratch)
+        found = neighbours(distinct, len(columns), k, scratch, exact=True)
+        ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("row").orderBy("far", "other")))
+        return Scratch(points.sparkSession, "distances").keep(distinct.select("row", "x").join(ranked, "row").select("x", "rank", "far"), "distances")
+    finally:
+        scratch.drop()
 
 
 def trustworthiness(points: DataFrame, columns: list[str], dims: tuple[str, str] = ("dim_x", "dim_y"), k: int = NEIGHBOURS, queries: int = 1_000) -> float:
