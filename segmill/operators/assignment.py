@@ -68,13 +68,17 @@ def column_relations(df: DataFrame, keys: list[str], dates: list[str], numbers:
 def scores(features: dict[str, dict[str, float]], depends: dict, products: dict) -> dict[str, dict[str, float]]:
     """By column and field, between 0 and 1, from values alone."""
     out: dict[str, dict[str, float]] = {}
+    sure = lambda ds: max((max(0.0, 1 - 4 * (d - 1)) for d in ds if d >= 0.9), default=0.0)
+    keys = {a for a, _ in depends}
+    # An order determines the day of the order and, by its customer, that of the sign-up; only a key that another key determines tells them apart.
+    grouped = {b for (_, b), d in depends.items() if b in keys and sure([d]) > 0.5}
     for c, f in features.items():
         key = (1 - f["date"]) * (1 - f["email"]) * (1 - f["cents"]) * (1 - f["spaced"]) if f["n"] else 0.0
         plain = max(0.0, f["amount"] - f["date"])
         few = 1 - f["unique"]
         holds = [d for (a, b), d in depends.items() if a == c and b in features]  # what c determines
         held = [d for (a, b), d in depends.items() if b == c]
-        sure = lambda ds: max((max(0.0, 1 - 4 * (d - 1)) for d in ds if d >= 0.9), default=0.0)
+        by_customer = [d for (a, b), d in depends.items() if b == c and a in (grouped or keys)]
         whole = max((v for (a, b, _), v in products.items() if c in (a, b)), default=0.0)
         made = max((v for (_, _, t), v in products.items() if t == c), default=0.0)
         words = f["words"] * (1 - f["email"])
@@ -87,7 +91,7 @@ def scores(features: dict[str, dict[str, float]], depends: dict, products: dict)
             "unit_price": plain * f["cents"] * (0.3 + 0.5 * whole) * (1 - 0.5 * made),
             "product_category": words * (0.5 + 0.5 * few),
             "customer_email": f["email"],
-            "signup_date": f["date"] * (0.45 + 0.3 * few + 0.25 * sure(held)),
+            "signup_date": f["date"] * (0.45 + 0.3 * few + 0.25 * sure(by_customer)),
             "support_tickets": f["whole"] * few * (0.5 if f["mean"] < 10 else 0.1) * (1 - 0.5 * whole),
         }
     return out

@@ -78,3 +78,13 @@ def test_a_file_is_mapped_without_a_mapper(spark, tmp_path):
     raw, proposals, report = mapping.run_mapping(spark, str(tmp_path / "x.csv"), None)
     assert {p["raw_column"]: p["internal_field"] for p in proposals} == {c: f for c, f in want.items() if c in raw.columns}
     assert report.status != "rejected" and mapping.apply_mapping(raw, report.mapping).count() == 600
+
+
+def test_the_customers_day_is_told_from_the_orders_day():
+    """Among very many rows hardly any day is unique, and an order determines both days; distinct counts are off by a few hundredths."""
+    plain = {"n": 6e5, "date": 0.0, "whole": 0.0, "amount": 1.0, "email": 0.0, "words": 0.0, "cents": 0.0, "spaced": 0.0, "mean": 0.0}
+    features = {c: plain | {"distinct": n, "unique": n / 6e5} for c, n in (("order", 1.5e5), ("customer", 1.5e4))}
+    features |= {c: plain | {"amount": 0.0, "date": 1.0, "distinct": n, "unique": n / 6e5} for c, n in (("ordered", 2400), ("signed", 900))}
+    depends = {("order", "customer"): 1.02, ("customer", "order"): 10.0, ("order", "ordered"): 0.99, ("order", "signed"): 1.02, ("customer", "ordered"): 9.8, ("customer", "signed"): 1.03}
+    valued = assignment.scores(features, depends, {})
+    assert valued["ordered"]["order_date"] + valued["signed"]["signup_date"] > valued["signed"]["order_date"] + valued["ordered"]["signup_date"] + 0.1
