@@ -227,3 +227,20 @@ def test_the_grid_equals_plain_fits_with_fewer_distances(spark):
             best = min(fits[2 * s : 2 * s + 2], key=lambda f: f[1])
             assert np.allclose(np.sort(got[k][s], 0), np.sort(best[0], 0), atol=1e-6)
     assert sum(work) < plain_work / 2
+
+
+def test_points_meet_blocks_packed(spark, scratch, monkeypatch):
+    """Many blocks, chunks of uneven size and copies; what travels to a block is a row for a chunk, not for a point."""
+    monkeypatch.setattr(sweep, "CHUNKED", 100)
+    monkeypatch.setattr(sweep, "HELD", 8 * 150 * 11)
+    x = np.concatenate([curved(1_100), np.repeat(curved(1, 9), 30, 0)])
+    labels = np.stack([(x[:, 0] > 0).astype(int) + (x[:, 1] > 1), (x[:, 2] > 0.5).astype(int)], 1)
+    points = scratch.keep(spark.createDataFrame([(i, list(map(float, r)), list(map(int, c))) for i, (r, c) in enumerate(zip(x, labels))], "row long, x array<double>, c array<int>").repartition(7), "uneven")
+    own = lambda batch: np.array(batch.column(2).to_pylist(), int).reshape(-1, 2)
+    chunks = sweep._chunks(points, 6, own, scratch)
+    assert chunks.count() < len(x) // 20 and chunks.agg(F.sum("n")).first()[0] == len(x)
+    dealt, blocks = sweep.blocks_of(chunks, 150)
+    assert {r["block"] for r in dealt.collect()} == set(range(blocks))
+    found = sweep.silhouette_sums(points, 6, [np.bincount(c).astype(float) for c in labels.T], own).groupBy("labeling").agg((F.sum("total") / F.sum("n")).alias("s"), F.sum("n").alias("n")).orderBy("labeling").collect()
+    assert [r["n"] for r in found] == [len(x)] * 2
+    assert [r["s"] for r in found] == pytest.approx([plain_silhouette(x, c) for c in labels.T], abs=1e-8)
