@@ -244,3 +244,25 @@ def test_points_meet_blocks_packed(spark, scratch, monkeypatch):
     found = sweep.silhouette_sums(points, 6, [np.bincount(c).astype(float) for c in labels.T], own).groupBy("labeling").agg((F.sum("total") / F.sum("n")).alias("s"), F.sum("n").alias("n")).orderBy("labeling").collect()
     assert [r["n"] for r in found] == [len(x)] * 2
     assert [r["s"] for r in found] == pytest.approx([plain_silhouette(x, c) for c in labels.T], abs=1e-8)
+
+
+@pytest.mark.parametrize("tolerance", [0.0, 0.05])
+def test_cells_travel_in_bundles(spark, monkeypatch, tolerance):
+    """A few bundles in several blocks stand for many cells, and each meets a block once."""
+    monkeypatch.setattr(silhouette, "CHUNKED", 200)
+    monkeypatch.setattr(silhouette, "HELD", 8 * 400 * 12)
+    x = np.concatenate([curved(1_200), np.repeat(curved(1, 9), 30, 0)])
+    labels = (x[:, 0] > 0).astype(int) + (x[:, 1] > 1)
+    scratch = Scratch(spark, "bundles")
+    points = cells.weighted(frame(spark, x, labels), F.array(*[f"f{i}" for i in range(6)]), F.col("cluster"), scratch)
+    table = cells.make_cells(points, 6, scratch)
+    tree = cells.Tree(table, 6)
+    bundles, of = silhouette._bundles(table, tree, scratch)
+    found = bundles.collect()
+    assert len({r["block"] for r in found}) > 2 and len(found) == of.max() + 1 < table.count() / 2
+    assert sorted(np.concatenate([np.frombuffer(r["places"], "<i4") for r in found])) == list(range(len(of)))
+    row = silhouette.point_silhouettes(points, 6, tolerance, scratch).agg(F.sum(F.col("low") * F.col("weight")).alias("low"), F.sum(F.col("high") * F.col("weight")).alias("high"), F.sum("weight").alias("n")).first()
+    scratch.drop()
+    want = plain_silhouette(x, labels)
+    assert row["n"] == len(x) and row["low"] / len(x) - 1e-8 <= want <= row["high"] / len(x) + 1e-8
+    assert row["high"] - row["low"] <= len(x) * (tolerance + 1e-12)
