@@ -266,3 +266,16 @@ def test_cells_travel_in_bundles(spark, monkeypatch, tolerance):
     want = plain_silhouette(x, labels)
     assert row["n"] == len(x) and row["low"] / len(x) - 1e-8 <= want <= row["high"] / len(x) + 1e-8
     assert row["high"] - row["low"] <= len(x) * (tolerance + 1e-12)
+
+
+def test_the_starts_of_the_final_fit_go_through_the_points_together(spark):
+    df = frame(spark, np.concatenate([curved(200), curved(200, 3) + 20, curved(100, 5) - 20])).drop("cluster")
+    names, jobs, cost = df.columns, {}, {}
+    for starts in (1, 5):
+        spark.sparkContext.setJobGroup(f"starts {starts}", "")
+        model = clustering.fit_final(df, names, 3, starts=starts)
+        jobs[starts] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"starts {starts}"))
+    spark.sparkContext.setJobGroup("rest", "")
+    assert jobs[5] < 2 * jobs[1] + 20
+    found = model.transform(df).groupBy("cluster").count().collect()
+    assert sorted(r["count"] for r in found) == [100, 200, 200]
