@@ -279,3 +279,19 @@ def test_the_starts_of_the_final_fit_go_through_the_points_together(spark):
     assert jobs[5] < 2 * jobs[1] + 20
     found = model.transform(df).groupBy("cluster").count().collect()
     assert sorted(r["count"] for r in found) == [100, 200, 200]
+
+
+def test_as_many_blocks_for_few_points_as_for_many(spark, scratch):
+    """What travels is the points once for each block: it grows no faster than they do."""
+    seen = []
+    for n in (700, 2_800):
+        table = scratch.keep(spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(curved(n))], "row long, x array<double>"), "some")
+        chunks = sweep._chunks(table, 6, lambda batch: np.zeros((batch.num_rows, 1), int), scratch, -(-n // sweep._blocks(table, n, 100_000)))
+        seen.append(sweep.blocks_of(chunks, 100_000)[1])
+    assert seen[0] == seen[1] == 2 * spark.sparkContext.defaultParallelism
+
+
+def test_numbers_travel_as_short_as_they_stay_the_same():
+    for values, size, types in ((np.array([0.5, -0.0, np.inf]), 4, sweep.FLOATS), (np.array([0.1]), 8, sweep.FLOATS), (np.array([1e300]), 8, sweep.FLOATS), (np.array([np.nan]), 8, sweep.FLOATS), (np.array([0, 255]), 1, sweep.INTEGERS), (np.array([256]), 2, sweep.INTEGERS), (np.array([-1]), 4, sweep.INTEGERS), (np.array([1 << 40]), 8, sweep.INTEGERS)):
+        raw = sweep.packed(values, types)
+        assert len(raw) == 1 + size * len(values) and np.array_equal(sweep.unpacked(raw, types), values, equal_nan=True)
