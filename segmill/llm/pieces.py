@@ -192,15 +192,20 @@ class Lattices:
         np.exp(cdf, out=cdf)
         np.cumsum(cdf, axis=1, out=cdf)
         cdf /= cdf[:, -1:]
-        self.cdf = cdf
+        #: As many columns as fill whole words of eight comparisons; those added are never passed.
+        self.cdf = np.full((self.rows, -(-width // 8) * 8), 2, np.float32)
+        self.cdf[:, :width] = cdf
 
     def walk(self, flags: np.ndarray, at: np.ndarray, seed: np.ndarray) -> None:
         """Samples on from each place to the end of its word; every piece's first character is marked in ``flags``."""
         while len(at):
             flags[at] = True
             u = np.minimum(_uniform(seed, at - self.begin[self.owner[at]]).astype(np.float32), np.float32(1 - 2**-24))
-            at = at + (self.cdf[self.row[at]] <= u[:, None]).sum(1, dtype=np.int8) + 1
-            on = at < self.word_end[at - 1]
+            passed = np.bitwise_count((self.cdf.take(self.row[at], axis=0) <= u[:, None]).view(np.uint64))
+            at = at + 1
+            for column in passed.T:
+                at += column
+            on = np.flatnonzero(at < self.word_end[at - 1])
             at, seed = at[on], seed[on]
 
 
@@ -223,7 +228,7 @@ def _scores(lat: Lattices, g: np.ndarray, row: np.ndarray, length: np.ndarray, b
 def _regions(lat: Lattices, g: np.ndarray, avoided: dict[int, tuple], starts: np.ndarray, length: np.ndarray, cum: np.ndarray, begin: np.ndarray, first: np.ndarray, end: np.ndarray, noise: np.ndarray, most: int) -> list[list[tuple[float, int]]]:
     """For each path (pieces begin[i] to end[i] of all pieces, new from first[i] on) the ``most`` best (score, number of the piece) among
     the regions that leave it. A region's mass is at most the probability of the path so far, so that pieces near the beginning
-    settle it, unless the rest with the largest noise that it has could still win; then the whole path is looked at."""
+    settle it, unless the rest with the largest noise that it has could still win; then the path is looked at as far as that noise could."""
     at = first[:, None] + np.arange(min(NEAR, int((end - first).max())))
     inside = at < end[:, None]
     at = np.minimum(at, len(starts) - 1)
@@ -237,9 +242,12 @@ def _regions(lat: Lattices, g: np.ndarray, avoided: dict[int, tuple], starts: np
     if len(rest):
         ends = np.stack((first[rest] + score.shape[1], end[rest]), 1)
         largest = -np.log(-np.log(np.maximum.reduceat(np.append(noise, 0), ends.ravel())[::2]))
-        open_ = (top < most) | (cum[ends[:, 0]] - cum[begin[rest]] + largest >= best[rest].min(1))
-        for i in rest[open_].tolist():
-            all_ = np.arange(first[i], end[i])[None]
+        least = best[rest].min(1) if top == most else np.full(len(rest), -np.inf)
+        open_ = cum[ends[:, 0]] - cum[begin[rest]] + largest >= least
+        for i, bar in zip(rest[open_].tolist(), (least - largest + cum[begin[rest]])[open_].tolist()):
+            # as far as a region with the largest noise reaches the least of the best; ``cum`` never rises
+            last = int(first[i] + np.searchsorted(-cum[first[i] : end[i]], 1e-9 - bar, side="right"))
+            all_ = np.arange(first[i], last)[None]
             whole = _scores(lat, g[i : i + 1], lat.row[starts[all_]], length[all_], cum[all_] - cum[begin[i]], {0: avoided[i]} if i in avoided else {}, noise[all_])[0]
             out[i] = [(float(whole[j]), int(first[i] + j)) for j in np.argsort(-whole, kind="stable")[:most].tolist() if whole[j] > -np.inf]
     return out
