@@ -54,7 +54,10 @@ def _search(rows: DataFrame, wanted: DataFrame, cells: DataFrame, most: int) ->
             part = slice(lo, lo + 64)
             d = _far(q.x[part, None], other.x)
             d[q.rows[part, None] == other.rows] = np.inf
-            far[part], names[part] = _best(np.concatenate((far[part], d), 1), np.concatenate((names[part], np.broadcast_to(other.rows, d.shape)), 1), most)
+            hit = np.flatnonzero((d <= far[part, -1:]).any(1))  # the others keep what they have
+            at = lo + hit
+            if len(hit):
+                far[at], names[at] = _best(np.concatenate((far[at], d[hit]), 1), np.concatenate((names[at], np.broadcast_to(other.rows, (len(hit), len(other.rows)))), 1), most)
 
     def end(state: list) -> pa.RecordBatch:
         q, far, names = state

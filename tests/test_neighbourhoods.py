@@ -295,3 +295,19 @@ def test_numbers_travel_as_short_as_they_stay_the_same():
     for values, size, types in ((np.array([0.5, -0.0, np.inf]), 4, sweep.FLOATS), (np.array([0.1]), 8, sweep.FLOATS), (np.array([1e300]), 8, sweep.FLOATS), (np.array([np.nan]), 8, sweep.FLOATS), (np.array([0, 255]), 1, sweep.INTEGERS), (np.array([256]), 2, sweep.INTEGERS), (np.array([-1]), 4, sweep.INTEGERS), (np.array([1 << 40]), 8, sweep.INTEGERS)):
         raw = sweep.packed(values, types)
         assert len(raw) == 1 + size * len(values) and np.array_equal(sweep.unpacked(raw, types), values, equal_nan=True)
+
+
+def test_only_points_that_a_cell_reaches_are_sorted_again(spark, scratch, monkeypatch):
+    """A far cell changes nothing; begin and add are those that ``_search`` hands to ``meet``."""
+    held, sorts, plain = {}, [], neighbours._best
+    monkeypatch.setattr(neighbours, "meet", lambda rows, wanted, table, begin, add, end, schema: held.update(begin=begin, add=add))
+    monkeypatch.setattr(neighbours, "_best", lambda far, names, k: sorts.append(len(far)) or plain(far, names, k))
+    neighbours._search(None, None, None, 2)
+    near, other = np.arange(12.0).reshape(6, 2), np.arange(12.0).reshape(6, 2) + 100
+    state = held["begin"]({"cell": 1, "label": 0, "rows": np.arange(6).tobytes(), "xs": near.tobytes(), "weights": np.ones(6).tobytes()})
+    held["add"](state, cells.Cell(1, 0, np.arange(6), near, np.ones(6)))
+    first = [v.copy() for v in state[1:]]
+    held["add"](state, cells.Cell(2, 0, np.arange(6, 12), other, np.ones(6)))
+    assert sorts == [6] and all((a == b).all() for a, b in zip(first, state[1:]))
+    held["add"](state, cells.Cell(3, 0, np.array([20]), near[:1] + 0.1, np.ones(1)))
+    assert state[2][0, 0] == 20 and sorts[1] < 6
