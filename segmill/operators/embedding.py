@@ -7,6 +7,10 @@ points repel. It goes in rounds: points are dealt by their place in the layout,
 moves its points many times against each other and against the other points as they lay at the round's begin, and the next round deals them
 along other borders. Random numbers depend on the seed, round and part only.
 
+More points than one part begin from a layout of the means of their cells (``cells``), each near the mean next to it, and go through the last
+half of the rounds only. That layout is widened as the points outnumber the cells: sheets of points that main directions fold onto each other
+come apart among the means, and points that lie as thin as the means did stay apart, whatever their number.
+
 Copies of a point share its place.
 """
 
@@ -16,18 +20,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import SEED
 from ..scratch import Scratch
-from .cells import Router, matrix, weighted
-from .neighbours import neighbours
+from .cells import PACKED, Cell, Router, Tree, make_cells, matrix, weighted
+from .neighbours import CLOSE, descend, means_apart, neighbours
 
 NEIGHBOURS, LEAST_GAP, SPREAD = 15, 0.1, 1.0
 ROUNDS, EPOCHS, REPELLED, STEPS = 4, 60, 5, 8
 #: Points that one task moves at most, about; points of the whole layout that each task sees.
 PART, SEEN = 20_000, 4_000
+#: Power of the squared distance by which near means outweigh others in a point's first place.
+SHARP = 8
 
 
 def falloff(least: float = LEAST_GAP, spread: float = SPREAD) -> tuple[float, float]:
@@ -81,6 +87,10 @@ def fuzzy_edges(edges: DataFrame, k: int) -> DataFrame:
     return joint.select(F.explode(F.array(F.struct(F.col("a").alias("row"), F.col("b").alias("other"), "w"), F.struct(F.col("b").alias("row"), F.col("a").alias("other"), "w"))).alias("e")).select("e.*")
 
 
+def _noise(n: int, seed: int) -> Column:
+    return (F.pmod(F.xxhash64("row", F.lit(seed), F.lit(n)), F.lit(10_007)) / 10_007.0 - 0.5) * 1e-3
+
+
 def _start(points: DataFrame, width: int, seed: int) -> DataFrame:
     """row, px, py: the two main directions, drawn to a deviation of 5, with a little noise by row."""
     x = lambda i: F.col("x")[i]
@@ -91,11 +101,10 @@ def _start(points: DataFrame, width: int, seed: int) -> DataFrame:
         cov[i, j] = cov[j, i] = row[f"c{i}_{j}"] or 0.0
     values, vectors = np.linalg.eigh(cov)
     main = [(vectors[:, -1 - i], np.sqrt(max(values[-1 - i], 0))) if i < width else (np.zeros(width), 0.0) for i in range(2)]
-    noise = lambda n: (F.pmod(F.xxhash64("row", F.lit(seed), F.lit(n)), F.lit(10_007)) / 10_007.0 - 0.5) * 1e-3
 
     def place(v: np.ndarray, s: float, n: int):
         v = v * np.sign(v[np.abs(v).argmax()] or 1.0) * (5 / s if s > 0 else 0.0)
-        return (sum(((x(i) - float(mean[i])) * float(v[i]) for i in range(width)), F.lit(0.0)) + noise(n)).cast("double")
+        return (sum(((x(i) - float(mean[i])) * float(v[i]) for i in range(width)), F.lit(0.0)) + _noise(n, seed)).cast("double")
 
     return points.select("row", place(*main[0], 0).alias("px"), place(*main[1], 1).alias("py"))
 
@@ -162,14 +171,14 @@ def _mover(n: int, seen: np.ndarray, epochs: range, total: int, top: float, seed
     return work
 
 
-def lay_out(points: DataFrame, edges: DataFrame, width: int, scratch: Scratch, seed: int = SEED, rounds: int = ROUNDS, epochs: int = EPOCHS) -> DataFrame:
-    """row, px, py of each point. edges: row, other, w in both directions."""
+def lay_out(points: DataFrame, edges: DataFrame, width: int, scratch: Scratch, seed: int = SEED, rounds: int = ROUNDS, epochs: int = EPOCHS, begun: DataFrame | None = None) -> DataFrame:
+    """row, px, py of each point. edges: row, other, w in both directions. begun: places from which the last half of the rounds goes on."""
     n = points.count()
-    now = scratch.keep(_start(points, width, seed), "places")
+    now = scratch.keep(_start(points, width, seed) if begun is None else begun, "places")
     top = edges.agg(F.max("w")).first()[0]
     if top is None:
         return now
-    for r in range(rounds):
+    for r in range(0 if begun is None else rounds // 2, rounds):
         seen = np.array([[p["px"], p["py"]] for p in now.orderBy(F.xxhash64("row", F.lit(seed), F.lit(r))).limit(SEEN).collect()])
         turn = np.array([[np.cos(r), -np.sin(r)], [np.sin(r), np.cos(r)]])
         route = Router(seen @ turn.T, -(-n // PART))
@@ -187,6 +196,31 @@ def lay_out(points: DataFrame, edges: DataFrame, width: int, scratch: Scratch, s
     return now
 
 
+def _among_means(cells: DataFrame, n: int, width: int, k: int, scratch: Scratch, seed: int, **layout) -> DataFrame:
+    """row, px, py of the n points of the cells, by a layout of the cells' means. The driver gets a row for each cell."""
+    tree = Tree(cells, width)
+    points = scratch.keep(cells.select(F.col("cell").alias("row"), F.slice("moments", 1, width).alias("x")), "means")
+    edges = scratch.keep(fuzzy_edges(points.select("row").mapInArrow(means_apart(tree, k), "row long, other long, far double"), k), "weights")
+    placed = lay_out(points, edges, width, scratch, seed, **layout).toPandas().set_index("row")
+    leaves = np.flatnonzero(tree.cell >= 0)
+    names, means = tree.cell[leaves], tree.moments.mean[leaves]
+    wide = float(np.sqrt(n / len(names)))
+    places = wide * placed.loc[names, ["px", "py"]].to_numpy()
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = Cell.read(*[batch.column(j)[i].as_py() for j in range(5)])
+                some = np.argsort(((means - means[names == cell.cell]) ** 2).sum(1), kind="stable")[: CLOSE + 1]
+                d = np.maximum(((cell.x[:, None] - means[some]) ** 2).sum(2), 1e-100)
+                w = (d.min(1, keepdims=True) / d) ** SHARP
+                xy = w / w.sum(1, keepdims=True) @ places[some]
+                yield pa.RecordBatch.from_arrays([pa.array(cell.rows), pa.array(xy[:, 0]), pa.array(xy[:, 1])], ["row", "px", "py"])
+
+    near = cells.select(*PACKED).mapInArrow(place, PLACES)
+    return near.select("row", *[(F.col(c) + _noise(i, seed) * wide).alias(c) for i, c in enumerate(("px", "py"))])
+
+
 def embedding_projection(points: DataFrame, columns: list[str], k: int = NEIGHBOURS, seed: int = SEED, **layout) -> DataFrame:
     """points with dim_x, dim_y. columns: scaled numbers; nulls count as 0. A table without rows stays without; a single point lies at the
     origin, nearly."""
@@ -197,8 +231,10 @@ def embedding_projection(points: DataFrame, columns: list[str], k: int = NEIGHBO
         rest = [c for c in points.columns if c not in ("dim_x", "dim_y")]
         kept = scratch.keep(points.select(*[F.col(f"`{c}`") for c in rest], F.transform(x, lambda v: v + F.lit(0.0)).alias("_x")), "given")
         distinct = weighted(kept, F.col("_x"), F.lit(0), scratch)
-        edges = scratch.keep(fuzzy_edges(neighbours(distinct, width, k, scratch), k), "weights")
-        places = lay_out(distinct, edges, width, scratch, seed, **layout)
+        cells, n = make_cells(distinct, width, scratch), distinct.count()
+        edges = scratch.keep(fuzzy_edges(descend(distinct, cells, width, k, scratch), k), "weights")
+        begun = _among_means(cells, n, width, k, scratch, seed, **layout) if n > PART else None
+        places = lay_out(distinct, edges, width, scratch, seed, **layout, begun=begun)
         named = distinct.select("row", F.col("x").alias("_x")).join(places, "row").select("_x", F.col("px").alias("dim_x"), F.col("py").alias("dim_y"))
         out = Scratch(points.sparkSession, "layout")
         return out.keep(kept.join(named, "_x").select(*[F.col(f"`{c}`") for c in rest], "dim_x", "dim_y"), "layout")

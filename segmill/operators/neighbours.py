@@ -82,6 +82,22 @@ def _close(tree: Tree):
     return run
 
 
+def means_apart(tree: Tree, k: int):
+    """For each cell (cell): the k cells with the nearest means (all others, if there are fewer), as edges."""
+    leaves = np.flatnonzero(tree.cell >= 0)
+    names, means = tree.cell[leaves], tree.moments.mean[leaves]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for cell in batch.column(0).to_pylist():
+                far = _far(means, means[names == cell])
+                far[names == cell] = np.inf
+                some = np.argsort(far, kind="stable")[: min(k, len(names) - 1)]
+                yield _edges(np.full(len(some), cell), names[some], far[some])
+
+    return run
+
+
 def _nearest(edges: DataFrame, k: int) -> DataFrame:
     """The k nearest of each row's edges, without repeats."""
     kept = edges.groupBy("row").agg(F.slice(F.array_sort(F.collect_set(F.struct("far", "other"))), 1, k).alias("e"))

@@ -164,6 +164,16 @@ def test_the_layout_keeps_neighbours_together(spark, monkeypatch):
     assert embedding.trustworthiness(embedding.embedding_projection(df, names), names) >= 0.93
 
 
+def test_layouts_in_many_parts_unfold(spark, monkeypatch):
+    """A cube of six dimensions, which its main directions fold onto themselves, in ten parts."""
+    monkeypatch.setattr(embedding, "PART", 300)
+    x = np.random.default_rng(1).random((3_000, 6))
+    names = [f"f{i}" for i in range(6)]
+    shown = embedding.embedding_projection(frame(spark, x), names)
+    assert shown.filter("dim_x IS NOT NULL AND dim_y IS NOT NULL").count() == 3_000
+    assert embedding.trustworthiness(shown, names) >= 0.89
+
+
 def test_layouts_repeat(spark):
     df = frame(spark, curved(120))
     one, two = ({(r["f0"], r["dim_x"], r["dim_y"]) for r in embedding.embedding_projection(d, ["f0", "f1", "f2"]).collect()} for d in (df, df.repartition(3)))
