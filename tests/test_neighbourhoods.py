@@ -180,6 +180,25 @@ def test_layouts_repeat(spark):
     assert {r[0] for r in one} == {r[0] for r in two}
 
 
+def test_copies_and_labels_do_not_travel_through_silhouettes(spark, scratch, monkeypatch):
+    x = np.concatenate([np.repeat(curved(150), 4, 0), curved(50, 7)])
+    points = scratch.keep(spark.createDataFrame([(i, list(map(float, r))) for i, r in enumerate(x)], "row long, x array<double>").repartition(3), "repeated")
+    centers = {k: np.random.default_rng(k).normal(size=(3, k, 6)) for k in (2, 5)}
+    sizes, sent, plain = sweep.describe_grid(points, 6, centers)[0], [], sweep._chunks
+
+    def chunks(*args):
+        made = plain(*args)
+        sent.extend(made.select("n", "begins", "kinds").collect())
+        return made
+
+    monkeypatch.setattr(sweep, "_chunks", chunks)
+    found = sweep.grid_silhouettes(points, 6, centers, sizes)
+    assert sum(r["n"] for r in sent) == 200 and not any(r["begins"] or r["kinds"] for r in sent)
+    for k in centers:
+        for f, c in enumerate(centers[k]):
+            assert found[k][f] == pytest.approx(plain_silhouette(x, sweep.nearest(x, c[None])[0][:, 0]), abs=1e-9)
+
+
 def test_no_silent_projection(spark):
     with pytest.raises(ValueError):
         clustering.run_clustering(frame(spark, curved(30)).withColumnRenamed("f0", "recency").withColumn("customer_id", F.monotonically_increasing_id().cast("string")).select("customer_id", "recency"), k_override=2, selection=object.__new__(clustering.Selection), projection="sideways")
