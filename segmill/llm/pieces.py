@@ -8,11 +8,11 @@ Gumbel number at the region's log mass, truncated by its parent's. The best regi
 the region's score, and the rest of the region falls apart into regions by where they leave that path. The next score after the
 k-th gives each path's inclusion score 1 - exp(-exp(log p - threshold)); it is 1 if no path is left over.
 
-No piece reaches over the start of a run of spaces, so lattices are built once per distinct word of a slice of texts; sums over paths,
+No piece reaches over the start of a run of spaces, so lattices are built once per distinct end of a word in a slice of texts; sums over paths,
 sampling and truncated noise are numpy over all texts of a slice. Noise depends only on the row's key, the sample's number and the
 place in the text, so results don't depend on batches, partitions or retries.
 
-Long texts are sampled whole; a slice's tables grow with the characters of its distinct words times the longest piece, so a text without any
+Long texts are sampled whole; a slice's tables grow with the distinct ends of its words times the longest piece, so a text without any
 space takes the most memory. Equal perturbed scores (which differ with probability one) go by the order in which regions were found.
 Null and empty texts have one segmentation, without pieces. A text with fewer than k segmentations gives all of them. Equal keys
 and texts give equal results, so repeated rows repeat; an empty table gives no rows. Columns besides the key and the text are ignored.
@@ -147,11 +147,14 @@ class Lattices:
         self.rows = int(base[-1])
         place = np.repeat(self.word_start[one], size) + np.arange(self.rows) - np.repeat(base[:-1], size)
         left = np.repeat(base[1:], size) - np.arange(self.rows)  # characters to the word's end
-        # rows are kept by that distance, so that all rows of a distance lie together
-        order = np.argsort(left.astype(np.int32), kind="stable")
-        where = np.empty(self.rows, np.int32)
-        where[order] = np.arange(self.rows, dtype=np.int32)
-        place, left, word_row = place[order], left[order], order
+        # words with the same end share its rows, which are kept by that distance, so that all rows of a distance lie together
+        _, ending, where = np.unique((sums[place + left] - sums[place]) * inverse[place], return_index=True, return_inverse=True)
+        order = np.argsort(left[ending].astype(np.int32), kind="stable")
+        self.rows = len(order)
+        sorted_ = np.empty(self.rows, np.int32)
+        sorted_[order] = np.arange(self.rows, dtype=np.int32)
+        where, word_row = sorted_[where], ending[order]
+        place, left = place[word_row], left[word_row]
         offset = np.arange(n) - np.repeat(self.word_start, sizes)
         self.row = where[np.repeat(base[which], sizes) + offset]
         self.word_end = np.repeat(self.word_start + sizes, sizes)

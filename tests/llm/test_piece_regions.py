@@ -25,3 +25,12 @@ def test_long_paths_are_looked_at_only_as_far_as_noise_reaches(monkeypatch):
     monkeypatch.setattr(pieces, "NEAR", 1 << 20)
     for one, other in zip(found, pieces.sample(m, texts, np.arange(40), 3)):
         assert [(i.tolist(), *rest) for i, *rest in one] == [(i.tolist(), *rest) for i, *rest in other]
+
+
+def test_words_with_the_same_end_share_its_rows():
+    import public_tokenizers
+
+    from segmill.llm import pieces
+
+    lat = pieces.Lattices(pieces.model(public_tokenizers.path("piece_bpe_32k.model")), ["walking talking", "talking"])
+    assert lat.rows == len({w[i:] for w in ("▁walking", "▁talking") for i in range(8)}) == 10
