@@ -29,38 +29,47 @@ EMAIL = r"^[^@\s]+@[^@\s]+\.[a-z]{2,}\s*$"
 LEAST, MARGIN = 0.35, 0.25
 
 
+def _texts(df: DataFrame) -> DataFrame:
+    """The columns (but not the row number) as trimmed texts, blank ones null."""
+    return df.select(*[S.text_or_null(F.col(f"`{c}`").cast("string")).alias(c) for c in df.columns if c != ROW])
+
+
+def _number(text: Column) -> Column:
+    """``parse_money``; a text of digits and points only needs no search."""
+    return F.when(F.btrim(text, F.lit("0123456789.")) == "", text.try_cast("double")).otherwise(S.parse_money(text))
+
+
 def column_features(df: DataFrame) -> dict[str, dict[str, float]]:
-    """By column: shares of the values that are dates, whole numbers, amounts, addresses, words, or have inner blanks; distinct values per value; mean number."""
-    names = [c for c in df.columns if c != ROW]
-    text = lambda c: S.text_or_null(F.col(f"`{c}`").cast("string"))
-    share = lambda test: F.avg(F.when(test, 1.0).otherwise(0.0))
-
-    def facts(c: str) -> list[Column]:
-        v = text(c)
-        known = lambda e: F.when(v.isNotNull(), e)
-        flags = [v.rlike(DATE), v.rlike(WHOLE), v.rlike(AMOUNT), v.rlike(EMAIL), v.rlike(r"^[A-Za-z][A-Za-z &'-]*$"), v.rlike(r"[.]\d\d?\b|[$€£¥]"), v.rlike(r"\S\s\S*\s?\S")]
-        return [F.count(v), *[F.avg(known(F.when(x, 1.0).otherwise(0.0))) for x in flags], F.approx_count_distinct(v, 0.02), F.avg(S.parse_money(v))]
-
-    row = df.agg(*[f for c in names for f in facts(c)]).first() if names else []
-    keys = ("n", "date", "whole", "amount", "email", "words", "cents", "spaced", "distinct", "mean")
+    """By column: shares of the values that are dates, whole numbers, amounts, addresses, words, or have inner blanks; distinct values per value; mean number.
+
+    The patterns tell no digit from another, so that they are tried once for each shape of a column's values (its digits as 0), not for each value."""
+    names, texts = [c for c in df.columns if c != ROW], _texts(df)
+    shape = lambda i: F.translate(F.col(f"`{names[i]}`"), "123456789", "0" * 9)
+    each = texts.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), shape(i).alias("v")) for i in range(len(names))])).alias("e")).select("e.*") if names else None
+    v, tests = F.col("v"), {"date": DATE, "whole": WHOLE, "amount": AMOUNT, "email": EMAIL, "words": r"^[A-Za-z][A-Za-z &'-]*$", "cents": r"[.]\d\d?\b|[$€£¥]", "spaced": r"\S\s\S*\s?\S"}
+    share = lambda p: F.sum(F.when(v.rlike(p), F.col("count")).otherwise(0)) / F.sum("count")
+    shapes = each.filter("v IS NOT NULL").groupBy("i", "v").count().groupBy("i").agg(F.sum("count").alias("n"), *[share(p).alias(t) for t, p in tests.items()]).collect() if names else []  # one row for a column
+    found = {names[r["i"]]: r.asDict() for r in shapes}
+    row = texts.agg(*[a for c in names for a in (F.approx_count_distinct(f"`{c}`", 0.02), F.avg(_number(F.col(f"`{c}`"))))]).first() if names else []
     out = {}
     for i, c in enumerate(names):
-        f = dict(zip(keys, row[i * len(keys) : (i + 1) * len(keys)]))
-        out[c] = {k: float(v or 0) for k, v in f.items()} | {"unique": min(1.0, f["distinct"] / f["n"]) if f["n"] else 0.0}
+        f = {k: float(found[c][k]) if c in found else 0.0 for k in ("n", *tests)} | {"distinct": float(row[2 * i]), "mean": float(row[2 * i + 1] or 0)}
+        out[c] = f | {"unique": min(1.0, f["distinct"] / f["n"]) if f["n"] else 0.0}
     return out
 
 
 def column_relations(df: DataFrame, keys: list[str], dates: list[str], numbers: list[str]) -> tuple[dict, dict]:
-    """(a, b): distinct pairs per distinct a, near 1 if a determines b; (a, b, c): the share of rows with a * b = c, to a hundredth."""
-    text = lambda c: S.text_or_null(F.col(f"`{c}`").cast("string"))
+    """(a, b): distinct pairs per distinct a, near 1 if a determines b; (a, b, c): the share of rows with a * b = c, to a hundredth. Each text is hashed
+    once, each number read once for a row."""
     pairs = [(a, b) for a in keys for b in [*keys, *dates] if a != b]
     triples = [(a, b, c) for c in numbers for a, b in combinations([x for x in numbers if x != c], 2)]
-    money = {c: S.parse_money(text(c)) for c in numbers}
-    near = lambda a, b, c: F.avg(F.when(F.abs(money[a] * money[b] - money[c]) <= 0.011 + 0.001 * F.abs(money[c]), 1.0).otherwise(0.0))
-    both = lambda a, b: F.when(text(a).isNotNull() & text(b).isNotNull(), F.struct(text(a), text(b)))
-    one = lambda a, b: F.when(text(a).isNotNull() & text(b).isNotNull(), text(a))
-    asked = [x for a, b in pairs for x in (F.approx_count_distinct(both(a, b), 0.02), F.approx_count_distinct(one(a, b), 0.02))] + [near(*t) for t in triples]
-    row = df.agg(*asked).first() if asked else []
+    hashed, money = ({c: f"{p}{i}" for i, c in enumerate(dict.fromkeys(some))} for p, some in (("h", [*keys, *dates]), ("m", numbers)))
+    known = lambda c: F.col(f"`{c}`")
+    rows = _texts(df).select(*[F.when(known(c).isNotNull(), F.xxhash64(known(c))).alias(h) for c, h in hashed.items()], *[_number(known(c)).alias(m) for c, m in money.items()])
+    both = lambda a, b, value: F.when(F.col(hashed[a]).isNotNull() & F.col(hashed[b]).isNotNull(), value)
+    near = lambda a, b, c: F.avg(F.when(F.abs(F.col(money[a]) * F.col(money[b]) - F.col(money[c])) <= 0.011 + 0.001 * F.abs(F.col(money[c])), 1.0).otherwise(0.0))
+    asked = [x for a, b in pairs for x in (F.approx_count_distinct(both(a, b, F.xxhash64(hashed[a], hashed[b])), 0.02), F.approx_count_distinct(both(a, b, F.col(hashed[a])), 0.02))] + [near(*t) for t in triples]
+    row = rows.agg(*asked).first() if asked else []
     depends = {p: row[2 * i] / row[2 * i + 1] if row[2 * i + 1] else np.inf for i, p in enumerate(pairs)}
     return depends, {t: float(row[2 * len(pairs) + i] or 0) for i, t in enumerate(triples)}
 

@@ -11,7 +11,7 @@ from ..functions import scalars as S
 from ..functions.categories import CATEGORIES, normalize_category
 from ..operators import assignment, cleaning, clustering, embedding, features, mapping, personas, questions, revenue
 from ..schema import ACTIONS, AT_RISK, FIELDS, MARGIN
-from ..scratch import materialize
+from ..scratch import Scratch, materialize
 from ..sources.files import ROW, sample_orders
 
 QUERIES: dict = {}
@@ -619,9 +619,14 @@ def map_by_values(spark, sf):
     """The fields that columns without telling names are assigned to by what they hold, and how many values each has."""
     o, l = _t(spark, sf, "orders"), _t(spark, sf, "lineitem")
     lines = l.join(o, l["l_orderkey"] == o["o_orderkey"]).selectExpr(*[f"{e} AS {c}" for c, (_, e) in NAMELESS.items()])
-    found = {m["raw_column"]: m["internal_field"] for m in assignment.map_by_values(lines)}
-    counts = lines.agg(*[F.count(c).alias(c) for c in NAMELESS])
-    return counts.select(F.inline(F.array(*[F.struct(F.lit(c).alias("raw_column"), F.lit(found[c]).alias("internal_field"), F.col(c).alias("filled")) for c in NAMELESS])))
+    scratch = Scratch(spark, "nameless")
+    try:
+        lines = scratch.keep(lines, "lines")  # joined once, read by several passes
+        found = {m["raw_column"]: m["internal_field"] for m in assignment.map_by_values(lines)}
+        counts = lines.agg(*[F.count(c).alias(c) for c in NAMELESS]).first()
+    finally:
+        scratch.drop()
+    return spark.createDataFrame([(c, found[c], counts[c]) for c in NAMELESS], "raw_column string, internal_field string, filled long")
 
 
 LINE_FIELDS = {"customer_id": "o_custkey", "order_id": "o_orderkey", "order_date": "o_orderdate", "order_value": "l_extendedprice", "quantity": "l_quantity", "product_category": "p_type"}

@@ -1,6 +1,7 @@
 """Columns mapped by what they hold, and the assignment against every permutation."""
 
 import datetime as dt
+import re
 from itertools import permutations
 
 import numpy as np
@@ -88,3 +89,25 @@ def test_the_customers_day_is_told_from_the_orders_day():
     depends = {("order", "customer"): 1.02, ("customer", "order"): 10.0, ("order", "ordered"): 0.99, ("order", "signed"): 1.02, ("customer", "ordered"): 9.8, ("customer", "signed"): 1.03}
     valued = assignment.scores(features, depends, {})
     assert valued["ordered"]["order_date"] + valued["signed"]["signup_date"] > valued["signed"]["order_date"] + valued["ordered"]["signup_date"] + 0.1
+
+
+def test_patterns_meet_shapes_and_numbers_are_read_once(spark, monkeypatch):
+    """Neither are patterns tried on every row, nor is a column's number read again for each product."""
+    frames, plans = type(spark.range(1)), []
+    for name in ("collect", "first"):
+
+        def run(self, *args, plain=getattr(frames, name)):
+            plans.append(self._jdf.queryExecution().executedPlan().toString())
+            return plain(self, *args)
+
+        monkeypatch.setattr(frames, name, run)
+    df = spark.createDataFrame([(f"{i}", f"{i % 7}", f"{i * (i % 7)}.00", f"0{i}/03/2020") for i in range(100, 300)] + [(None, " ", "x", "-5")], "a string, b string, c string, d string")
+    features = assignment.column_features(df)
+    assert all(re.search(r"keys=\[i#\d+, v#\d+\]", p) for p in plans if "RLIKE" in p) and any("RLIKE" in p for p in plans)
+    assert (features["a"]["n"], features["b"]["n"], features["c"]["n"]) == (200, 200, 201)
+    assert features["d"]["date"] == 200 / 201 and features["d"]["amount"] == 1 / 201 and features["c"]["cents"] == 200 / 201 and features["b"]["whole"] == 1
+    assert features["b"]["mean"] == pytest.approx(np.mean([i % 7 for i in range(100, 300)]))
+    plans.clear()
+    depends, products = assignment.column_relations(df, ["a", "b"], ["d"], ["a", "b", "c"])
+    assert sum(p.count("regexp_replace(") for p in plans) <= 3 * 4  # a number holds it twice, a plan is printed twice
+    assert products["a", "b", "c"] == 200 / 201 and depends["a", "b"] == pytest.approx(1, abs=0.05) and depends["b", "a"] > 20
