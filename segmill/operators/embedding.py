@@ -25,8 +25,9 @@ from pyspark.sql import functions as F
 
 from ..schema import SEED
 from ..scratch import Scratch
-from .cells import PACKED, Cell, Router, Tree, make_cells, matrix, weighted
-from .neighbours import CLOSE, descend, means_apart, neighbours
+from .balls import nearer, nearest
+from .cells import PACKED, Cell, Router, Tree, make_cells, weighted
+from .neighbours import CLOSE, EDGES, begin, descend, means_apart, neighbours
 
 NEIGHBOURS, LEAST_GAP, SPREAD = 15, 0.1, 1.0
 ROUNDS, EPOCHS, REPELLED, STEPS = 4, 60, 5, 8
@@ -255,50 +256,43 @@ def neighbour_distances(points: DataFrame, columns: list[str], k: int) -> DataFr
         scratch.drop()
 
 
-def trustworthiness(points: DataFrame, columns: list[str], dims: tuple[str, str] = ("dim_x", "dim_y"), k: int = NEIGHBOURS, queries: int = 1_000) -> float:
-    """How far the neighbours in the layout are neighbours among ``columns`` too (1: all are). Averaged over ``queries`` rows chosen by hash, each
-    compared exactly with all rows; over all rows if there aren't more."""
-    array = lambda names: F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) for c in names])
+def _closest(cells: DataFrame, width: int, k: int, scratch: Scratch) -> DataFrame:
+    """row, other, far: the exact k nearest of each point (all others, if there are fewer)."""
+    n = cells.agg(F.sum("n")).first()[0] or 0
+    k = min(k, n - 1)
+    if k < 1:
+        return cells.sparkSession.createDataFrame([], EDGES)
+    some = begin(cells, width, k, scratch)
+    return nearest(cells, width, k, some.groupBy("row").agg(F.when(F.count("*") >= k, F.max("far")).otherwise(F.lit(float("inf"))).alias("reach")), scratch)
+
+
+def trustworthiness(points: DataFrame, columns: list[str], dims: tuple[str, str] = ("dim_x", "dim_y"), k: int = NEIGHBOURS) -> float:
+    """How far the neighbours in the layout are neighbours among ``columns`` too (1: all are), over all rows, each compared with all rows; of
+    rows equally near in the layout, copies come first. Copies count with their number."""
+    array = lambda names: F.array(*[F.coalesce(F.col(f"`{c}`").cast("double"), F.lit(0.0)) + F.lit(0.0) for c in names])
     scratch = Scratch(points.sparkSession, "trust")
     try:
-        both = scratch.keep(points.select(F.monotonically_increasing_id().alias("row"), array(columns).alias("x"), array(dims).alias("y")), "both")
-        n = both.count()
+        counted = points.select(array(columns).alias("x"), array(dims).alias("y")).groupBy("x", "y").agg(F.count("*").cast("double").alias("weight"))
+        both = scratch.keep(counted.select(F.monotonically_increasing_id().alias("row"), "x", "y", "weight", F.lit(0).alias("label")), "both")
+        n = int(both.agg(F.sum("weight")).first()[0] or 0)
         if n < 3 * k:
             k = max(1, n // 3)
-        asked = both.orderBy(F.xxhash64("row")).limit(queries).collect()
         if n < 4:
             return 1.0
-        names = np.array([a["row"] for a in asked])
-        qx, qy = (np.array([a[c] for a in asked], float) for c in ("x", "y"))
-
-        def closest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows, x, y = batch.column(0).to_numpy(), matrix(batch.column(1), len(columns)), matrix(batch.column(2), 2)
-                for i in range(len(names)):
-                    d = ((y - qy[i]) ** 2).sum(1)
-                    d[rows == names[i]] = np.inf
-                    at = np.argsort(d, kind="stable")[:k]
-                    at = at[np.isfinite(d[at])]
-                    yield pa.RecordBatch.from_arrays([pa.array([i] * len(at), pa.int32()), pa.array(d[at]), pa.array(np.sqrt(((x[at] - qx[i]) ** 2).sum(1)))], ["q", "near", "far"])
-
-        near = both.mapInArrow(closest, "q int, near double, far double").withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("near", "far"))).filter(F.col("r") <= k)
-        far = [[] for _ in names]
-        for row in near.select("q", "far").collect():  # k rows for each query
-            far[row["q"]].append(row["far"])
-        limits = np.sort(np.array(far), 1)
-
-        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            closer = np.zeros(limits.shape, np.int64)
-            for batch in batches:
-                rows, x = batch.column(0).to_numpy(), matrix(batch.column(1), len(columns))
-                for i in range(len(names)):
-                    d = np.sqrt(((x - qx[i]) ** 2).sum(1))[rows != names[i]]
-                    d.sort()
-                    closer[i] += np.searchsorted(d, limits[i] * (1 - 1e-12))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(closer.size)), pa.array(closer.ravel())], ["at", "n"])
-
-        ranks = both.select("row", "x").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n"))
-        lost = ranks.agg(F.sum(F.greatest(F.col("n") + 1 - k, F.lit(0))).alias("lost")).first()["lost"]  # rank less k, where beyond k
-        return 1 - 2 * lost / (len(names) * k * (2 * n - 3 * k - 1))
+        near = _closest(make_cells(both.select("row", F.col("y").alias("x"), "weight", "label"), 2, scratch), 2, k, scratch)
+        other = near.join(both.select(F.col("row").alias("other"), F.col("x").alias("ox"), F.col("weight").alias("ow")), "other").join(both.select("row", "x", "weight"), "row")
+        # Of the k places the row's own copies take the first ones, at distance 0.
+        before = F.col("weight") - 1 + F.coalesce(F.sum("ow").over(Window.partitionBy("row").orderBy("far", "other").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+        taken = other.withColumn("many", F.least(F.col("ow"), k - before)).filter(F.col("many") > 0)
+        apart = F.sqrt(F.aggregate(F.zip_with("x", "ox", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)) * (1 - 1e-12)
+        lists = taken.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(apart.alias("d"), "many"))).alias("e"))  # at most k of a row
+        # Lists shorter than k begin with distances of 0, nearer than which nothing lies.
+        filled = scratch.keep(lists.select("row", F.concat(F.array_repeat(F.lit(0.0), k - F.size("e")), F.col("e")["d"]).alias("limits"), F.concat(F.array_repeat(F.lit(0.0), k - F.size("e")), F.col("e")["many"]).alias("many")), "limits")
+        places = both.join(filled, "row", "left").select("row", "x", "weight", "label", F.coalesce("limits", F.array_repeat(F.lit(0.0), k)).alias("limits"))
+        found = nearer(make_cells(both.select("row", "x", "weight", "label"), len(columns), scratch), len(columns), places.select("row", "limits"), scratch)
+        # The row itself counts among the nearer ones, so that the count is the rank.
+        loss = F.aggregate(F.zip_with("counts", "many", lambda c, m: F.greatest(c - k, F.lit(0.0)) * m), F.lit(0.0), lambda a, b: a + b)
+        lost = found.join(filled, "row").join(both.select("row", "weight"), "row").agg(F.sum(loss * F.col("weight")).alias("lost")).first()["lost"] or 0.0
+        return 1 - 2 * lost / (n * k * (2 * n - 3 * k - 1))
     finally:
         scratch.drop()

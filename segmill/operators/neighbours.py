@@ -142,13 +142,18 @@ def _compare(width: int):
     return run
 
 
+def begin(cells: DataFrame, width: int, k: int, scratch: Scratch) -> DataFrame:
+    """The k nearest of each point among the points of its cell and of the CLOSE cells with the nearest means."""
+    close = cells.select("cell").mapInArrow(_close(Tree(cells, width)), "cell long, other long")
+    return scratch.keep(_search(cells.select(*PACKED), close, cells, k), "edges")
+
+
 def descend(points: DataFrame, cells: DataFrame, width: int, k: int, scratch: Scratch) -> DataFrame:
     """Nearly always the k nearest of each point (all others, if there are fewer). points: row, x."""
     n = points.count()
     if n < 2:
         return points.sparkSession.createDataFrame([], EDGES)
-    close = cells.select("cell").mapInArrow(_close(Tree(cells, width)), "cell long, other long")
-    edges = scratch.keep(_search(cells.select(*PACKED), close, cells, min(k, n - 1)), "edges")
+    edges = begin(cells, width, min(k, n - 1), scratch)
     tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(MOST_ROUNDS):
         reach = edges.groupBy("row").agg(F.when(F.count("*") >= min(k, n - 1), F.max("far")).otherwise(F.lit(float("inf"))).alias("reach"))

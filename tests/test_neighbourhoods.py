@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from segmill.operators import cells, clustering, embedding, neighbours, silhouette, sweep
+from segmill.operators import balls, cells, clustering, embedding, neighbours, silhouette, sweep
 from segmill.scratch import Scratch
 
 
@@ -340,3 +340,46 @@ def test_only_points_that_a_cell_reaches_are_sorted_again(spark, scratch, monkey
     assert sorts == [6] and all((a == b).all() for a, b in zip(first, state[1:]))
     held["add"](state, cells.Cell(3, 0, np.array([20]), near[:1] + 0.1, np.ones(1)))
     assert state[2][0, 0] == 20 and sorts[1] < 6
+
+
+def plain_trust(x, y, k):
+    """Over all rows at once; of rows equally near in the layout, those nearer among the columns first."""
+    far, near = (np.sqrt(((v[:, None] - v) ** 2).sum(2)) for v in (x, y))
+    np.fill_diagonal(far, np.inf)
+    np.fill_diagonal(near, np.inf)
+    rank = 1 + (far[:, None] < far[:, :, None] * (1 - 1e-12)).sum(2)
+    n = len(x)
+    lost = sum(max(rank[i, j] - k, 0) for i in range(n) for j in np.lexsort((far[i], near[i]))[:k])
+    return 1 - 2 * lost / (n * k * (2 * n - 3 * k - 1))
+
+
+def test_trustworthiness_is_of_all_rows(spark):
+    """More rows than were once asked, copies of all numbers, and a layout that is right but for a few rows."""
+    x = np.concatenate([curved(1_100), np.repeat(curved(1, 5), 30, 0), np.repeat(curved(20, 6), 4, 0)])
+    y = x[:, :2] * 1.0
+    bad = np.random.default_rng(2).permutation(1_100)[:60]
+    y[bad] = y[bad[::-1]]
+    names = [f"f{i}" for i in range(6)]
+    df = spark.createDataFrame([(*map(float, r), *map(float, p)) for r, p in zip(x, y)], ", ".join(f"{c} double" for c in (*names, "dim_x", "dim_y")))
+    assert embedding.trustworthiness(df, names) == pytest.approx(plain_trust(x, y, 15), abs=1e-12)
+    assert embedding.trustworthiness(df.limit(20), names) == pytest.approx(plain_trust(x[:20], y[:20], 6), abs=1e-12)
+
+
+@pytest.mark.parametrize("pairs", [1 << 22, 50])
+def test_balls_hold_what_lies_in_them(spark, scratch, monkeypatch, pairs):
+    monkeypatch.setattr(balls, "PAIRS", pairs)
+    monkeypatch.setattr("segmill.operators.silhouette.CHUNKED", 150)
+    x = np.concatenate([curved(700), np.repeat(curved(1, 5), 7, 0)])
+    points = cells.weighted(frame(spark, x), F.array(*[f"f{i}" for i in range(6)]), F.lit(0), scratch)
+    table = cells.make_cells(points, 6, scratch, size=32)
+    found = points.toPandas()
+    p, w, names = np.array(found["x"].tolist()), found["weight"].to_numpy(), found["row"].to_numpy()
+    d = np.sqrt(((p[:, None] - p) ** 2).sum(2))
+    other = d + np.diag(np.full(len(p), np.inf))
+    reach = spark.createDataFrame([(int(n), float(v)) for n, v in zip(names, np.sort(other, 1)[:, 9] * 1.3)], "row long, reach double")
+    got = balls.nearest(table, 6, 10, reach, scratch).toPandas().groupby("row")["other"].apply(set)
+    assert all(got[n] == set(names[np.argsort(other[i])[:10]]) for i, n in enumerate(names))
+    limits = np.sort(np.random.default_rng(1).random((len(p), 3)) * [0.5, 3, 20], 1)
+    asked = spark.createDataFrame([(int(n), list(map(float, v))) for n, v in zip(names, limits)], "row long, limits array<double>")
+    counts = balls.nearer(table, 6, asked, scratch).toPandas().set_index("row").loc[names, "counts"]
+    assert np.allclose(np.array(counts.tolist()), ((d[:, :, None] < limits[:, None]) * w[None, :, None]).sum(1))
