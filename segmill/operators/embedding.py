@@ -1,6 +1,6 @@
 """A two-dimensional layout of points that keeps neighbours together.
 
-The neighbour graph (``neighbours``) gets fuzzy weights: each point's distances, less the nearest one, are scaled by a width found by
+The neighbour graph (exact, ``balls``) gets fuzzy weights: each point's distances, less the nearest one, are scaled by a width found by
 bisection so that its weights add up to log2 of the number of neighbours; the two weights of a pair are joined as a probabilistic union. The
 layout begins with the two main directions and moves by stochastic gradient descent: neighbours attract each other by weight, randomly drawn
 points repel. It goes in rounds: points are dealt by their place in the layout, so that most neighbours meet in one task, each task
@@ -27,7 +27,7 @@ from ..schema import SEED
 from ..scratch import Scratch
 from .balls import nearer, nearest
 from .cells import PACKED, Cell, Router, Tree, make_cells, weighted
-from .neighbours import CLOSE, EDGES, begin, descend, means_apart, neighbours
+from .neighbours import CLOSE, EDGES, begin, means_apart, neighbours
 
 NEIGHBOURS, LEAST_GAP, SPREAD = 15, 0.1, 1.0
 ROUNDS, EPOCHS, REPELLED, STEPS = 4, 60, 5, 8
@@ -114,18 +114,19 @@ def move(places: np.ndarray, head: np.ndarray, tail: np.ndarray, fixed: np.ndarr
     """Moves ``places`` along edges head -> tail; tails from len(places) on are rows of ``fixed``, which don't move. A part ``share`` of what
     repels is drawn from the places, the rest from ``seen``."""
     a, b = curve
-    places = places.copy()
-    n = len(places)
+    n, drawn = len(places), len(places) + len(fixed)
+    table = np.concatenate((places, fixed, seen)).astype(np.float32)  # of which a step needs no more; the first n move
     every = top / np.maximum(w, top / total)
     due = every * rng.random(len(w)) + epochs.start
 
-    def point(i: np.ndarray) -> np.ndarray:
-        return np.where((i < n)[:, None], places[np.minimum(i, n - 1)], fixed[np.maximum(i - n, 0)]) if len(fixed) else places[i]
+    a, b, tiny = np.float32(a), np.float32(b), np.float32(1e-12)
 
-    def push(at: np.ndarray, by: np.ndarray, rate: float) -> None:
-        by = np.clip(by, -4, 4) * rate
+    def power(d2: np.ndarray) -> np.ndarray:
+        return np.exp(b * np.log(np.maximum(d2, tiny)))
+
+    def push(at: np.ndarray, by: np.ndarray) -> None:
         for c in range(2):
-            places[:, c] += np.bincount(at, by[:, c], n)
+            table[:n, c] += np.bincount(at, by[..., c], n)
 
     for epoch in epochs:
         rate = 1 - epoch / total
@@ -134,17 +135,20 @@ def move(places: np.ndarray, head: np.ndarray, tail: np.ndarray, fixed: np.ndarr
         for part in np.array_split(rng.permutation(active), STEPS):
             if not len(part):
                 continue
-            gap = places[head[part]] - point(tail[part])
-            d2 = (gap**2).sum(1, keepdims=True)
-            pull = np.where(d2 > 0, -2 * a * b * np.maximum(d2, 1e-12) ** (b - 1) / (1 + a * d2**b), 0)
-            push(head[part], pull * gap, rate)
-            at = np.repeat(head[part], REPELLED)
-            local = rng.random(len(at)) < share
-            other = np.where(local[:, None], places[rng.integers(0, n, len(at))], seen[rng.integers(0, len(seen), len(at))])
-            gap = places[at] - other
-            d2 = (gap**2).sum(1, keepdims=True)
-            push(at, np.where(d2 > 0, 2 * b / ((0.001 + d2) * (1 + a * d2**b)), 0) * gap, rate)
-    return places
+            at = head[part]
+            gap = table[at] - table[tail[part]]
+            d2 = (gap * gap).sum(1)
+            p = power(d2)
+            gap *= np.where(d2 > 0, -2 * a * b * p / (np.maximum(d2, tiny) * (1 + a * p)), np.float32(0))[:, None]
+            push(at, np.clip(gap, -4, 4, out=gap) * np.float32(rate))
+            u = rng.random((len(at), REPELLED))
+            other = np.where(u < share, np.minimum(u * (n / share), n - 1), np.minimum(drawn + (u - share) * (len(seen) / max(1 - share, 1e-12)), len(table) - 1)).astype(np.int64)
+            gap = table[at][:, None] - table[other]
+            d2 = gap[..., 0] * gap[..., 0] + gap[..., 1] * gap[..., 1]
+            gap *= np.where(d2 > 0, 2 * b / ((np.float32(0.001) + d2) * (1 + a * power(d2))), np.float32(0))[..., None]
+            np.clip(gap, -4, 4, out=gap)
+            push(at, np.stack([gap[..., c].sum(1) for c in range(2)], 1) * np.float32(rate))
+    return table[:n].astype(float)
 
 
 PLACES = "row long, px double, py double"
@@ -233,7 +237,7 @@ def embedding_projection(points: DataFrame, columns: list[str], k: int = NEIGHBO
         kept = scratch.keep(points.select(*[F.col(f"`{c}`") for c in rest], F.transform(x, lambda v: v + F.lit(0.0)).alias("_x")), "given")
         distinct = weighted(kept, F.col("_x"), F.lit(0), scratch)
         cells, n = make_cells(distinct, width, scratch), distinct.count()
-        edges = scratch.keep(fuzzy_edges(descend(distinct, cells, width, k, scratch), k), "weights")
+        edges = scratch.keep(fuzzy_edges(_closest(cells, width, k, scratch), k), "weights")
         begun = _among_means(cells, n, width, k, scratch, seed, **layout) if n > PART else None
         places = lay_out(distinct, edges, width, scratch, seed, **layout, begun=begun)
         named = distinct.select("row", F.col("x").alias("_x")).join(places, "row").select("_x", F.col("px").alias("dim_x"), F.col("py").alias("dim_y"))

@@ -383,3 +383,12 @@ def test_balls_hold_what_lies_in_them(spark, scratch, monkeypatch, pairs):
     asked = spark.createDataFrame([(int(n), list(map(float, v))) for n, v in zip(names, limits)], "row long, limits array<double>")
     counts = balls.nearer(table, 6, asked, scratch).toPandas().set_index("row").loc[names, "counts"]
     assert np.allclose(np.array(counts.tolist()), ((d[:, :, None] < limits[:, None]) * w[None, :, None]).sum(1))
+
+
+def test_the_layout_begins_from_exact_neighbours(spark, monkeypatch):
+    x = np.random.default_rng(3).random((2_000, 6))
+    names, seen, plain = [f"f{i}" for i in range(6)], [], embedding.fuzzy_edges
+    monkeypatch.setattr(embedding, "fuzzy_edges", lambda edges, k: seen.append(np.sort(edges.toPandas()["far"])) or plain(edges, k))
+    embedding.embedding_projection(frame(spark, x), names, rounds=1, epochs=1)
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2)) + np.diag(np.full(2_000, np.inf))
+    assert np.allclose(seen[0], np.sort(np.sort(d, 1)[:, :15].ravel()), rtol=1e-12)
