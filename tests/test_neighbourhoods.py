@@ -392,3 +392,26 @@ def test_the_layout_begins_from_exact_neighbours(spark, monkeypatch):
     embedding.embedding_projection(frame(spark, x), names, rounds=1, epochs=1)
     d = np.sqrt(((x[:, None] - x) ** 2).sum(2)) + np.diag(np.full(2_000, np.inf))
     assert np.allclose(seen[0], np.sort(np.sort(d, 1)[:, :15].ravel()), rtol=1e-12)
+
+
+def test_exact_silhouettes_compare_copies_once(spark, monkeypatch):
+    x = np.concatenate([np.repeat(curved(150), 4, 0), curved(350, 7)])
+    labels = (x[:, 0] > 0).astype(int) + 3 * (x[:, 1] > 1)
+    sent, plain = [], sweep._chunks
+    monkeypatch.setattr(sweep, "_chunks", lambda *args: sent.append(plain(*args)) or sent[-1].cache())
+    monkeypatch.setattr(sweep, "CHUNKED", 60)
+    df = frame(spark, np.concatenate([x, x[:2]]), [*labels, None, None])
+    found = clustering.silhouettes(df, [f"f{i}" for i in range(6)])
+    assert sent[0].agg(F.sum("n")).first()[0] == 500
+    assert found.count() == 952 and found.filter("silhouette IS NULL").count() == 2
+    assert found.agg(F.avg("silhouette")).first()[0] == pytest.approx(plain_silhouette(x, labels), abs=1e-10)
+
+
+def test_both_sums_of_a_pair_of_blocks():
+    rng = np.random.default_rng(0)
+    x, y = rng.normal(size=(150, 3)), rng.normal(size=(2_200, 3))
+    wx, wy = np.eye(4)[np.sort(rng.integers(0, 4, 150))] * 2, np.eye(3)[rng.integers(0, 3, 2_200)]
+    d = np.sqrt(((x[:, None] - y) ** 2).sum(2))
+    mine, theirs = sweep.both_sums(x, y, wx, wy, False)
+    assert np.allclose(mine, d @ wy) and np.allclose(theirs, d.T @ wx)
+    assert np.allclose(sweep.both_sums(y, y, wy, wy, True)[0], np.sqrt(((y[:, None] - y) ** 2).sum(2)) @ wy)
