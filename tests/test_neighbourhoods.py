@@ -415,3 +415,11 @@ def test_both_sums_of_a_pair_of_blocks():
     mine, theirs = sweep.both_sums(x, y, wx, wy, False)
     assert np.allclose(mine, d @ wy) and np.allclose(theirs, d.T @ wx)
     assert np.allclose(sweep.both_sums(y, y, wy, wy, True)[0], np.sqrt(((y[:, None] - y) ** 2).sum(2)) @ wy)
+
+
+def test_exact_bounds_compute_each_distance_once(spark):
+    x = np.concatenate([curved(400), np.repeat(curved(1, 9), 30, 0)])
+    labels = 2 * (x[:, 0] > 0).astype(int) + 5
+    row = clustering.silhouette_bounds(frame(spark, x, labels), [f"f{i}" for i in range(6)], tolerance=0.0).first()
+    assert row["distances"] == 401 * 400 // 2
+    assert row["silhouette_low"] == row["silhouette_high"] == pytest.approx(plain_silhouette(x, labels), abs=1e-10)
