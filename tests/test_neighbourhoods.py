@@ -423,3 +423,10 @@ def test_exact_bounds_compute_each_distance_once(spark):
     row = clustering.silhouette_bounds(frame(spark, x, labels), [f"f{i}" for i in range(6)], tolerance=0.0).first()
     assert row["distances"] == 401 * 400 // 2
     assert row["silhouette_low"] == row["silhouette_high"] == pytest.approx(plain_silhouette(x, labels), abs=1e-10)
+
+
+def test_a_chunk_is_summed_for_its_own_clusters_only():
+    clusters = np.array([[0, 7, 900], [0, 8, 900], [1, 7, 900]])
+    used, member = sweep._members(clusters)
+    assert used.tolist() == [0, 1, 7, 8, 900]
+    assert np.array_equal(member, [[1, 0, 1, 0, 1], [1, 0, 0, 1, 1], [0, 1, 1, 0, 1]])
